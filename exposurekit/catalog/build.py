@@ -503,13 +503,14 @@ PRICE_SQL = {
 @query(
     "usage_cost",
     "v_usage",
-    f"""select run, sum(calls)::bigint calls, sum(tin)::bigint tin, sum(tout)::bigint tout, round(sum(usd), 6) usd from (
+    f"""select run, sum(calls)::bigint calls, sum(tin)::bigint tin, sum(tout)::bigint tout, round(sum(usd) * 1000, 6) as milli_usd from (
        select run, count(*) calls, sum(tokens_in) tin, sum(tokens_out) tout,
        sum(tokens_in)::double / 1e6 * {PRICE_SQL['in']} + sum(tokens_out)::double / 1e6 * {PRICE_SQL['out']} usd
        from v_usage group by run, model, provider) group by run""",
 )
 def usage_cost(v: Views):
-    return cost.usage_cost(v.usage())
+    spent = cost.usage_cost(v.usage())
+    return spent.withColumn("milli_usd", F.col("usd") * 1000).drop("usd")
 
 
 @query(

@@ -16,6 +16,9 @@ from .views import Views, uniform, uniform_sql
 CATEGORICAL = ("u_age", "u_gender", "s_country")
 NUMERIC = ("u_device_price", "r_value", "r_spend", "r_score")
 FEATURES = [*CATEGORICAL, *NUMERIC]
+# kinds that are the same at every table size, so that SQL can state the layout
+ALWAYS_NUMERIC = ("r_value", "r_spend", "r_score")
+FIXED_KINDS = [*CATEGORICAL, *ALWAYS_NUMERIC]
 
 MODEL_ROWS_SQL = f"""rows as (select m.row_id, clicked, m.u_age, m.u_gender, s_country, u_device_price, r_value,
       case when m.u_gender is not null then r_value end r_spend, p_a r_score,
@@ -63,16 +66,16 @@ def encoding_sql(categorical, numeric, source: str, flagged=()) -> str:
     return f", {MODEL_ROWS_SQL}, {', '.join(ctes)} select row_id, position::bigint as position, value from ({body})"
 
 
-@query("encode_train_fit", MODEL_VIEWS, encoding_sql(CATEGORICAL, NUMERIC, "rows where part = 'train'", ["r_spend"]))
+@query("encode_train_fit", MODEL_VIEWS, encoding_sql(CATEGORICAL, ALWAYS_NUMERIC, "rows where part = 'train'", ["r_spend"]))
 def encode_train_fit(v: Views):
     rows, train, _ = model_rows(v)
-    return entries(encode.encode_train_fit(train, FEATURES), rows)
+    return entries(encode.encode_train_fit(train, FIXED_KINDS), rows)
 
 
-@query("encode_union_fit", MODEL_VIEWS, encoding_sql(CATEGORICAL, NUMERIC, "rows", ["r_spend"]))
+@query("encode_union_fit", MODEL_VIEWS, encoding_sql(CATEGORICAL, ALWAYS_NUMERIC, "rows", ["r_spend"]))
 def encode_union_fit(v: Views):
     rows, train, test = model_rows(v)
-    return entries(encode.encode_union_fit(train, test, FEATURES), rows)
+    return entries(encode.encode_union_fit(train, test, FIXED_KINDS), rows)
 
 
 @query("encode_all_string", MODEL_VIEWS, encoding_sql(FEATURES, (), "rows"))

@@ -57,25 +57,21 @@ def permutation_importance(
     slots = sorted(used_slots(scorer.model))
     tries = F.sequence(F.lit(0), F.lit(repeats - 1))
     values = F.array(*[F.struct(F.lit(s).alias("slot"), F.col("_v")[s].alias("value")) for s in slots])
-    donors = (
-        base.select(row_id, F.explode(values).alias("_s"))
-        .select(row_id, "_s.slot", "_s.value", F.explode(tries).alias("repeat"))
-        .withColumn("_seed", F.concat_ws(":", F.lit(str(seed)), "slot", "repeat"))
-    )
+
+    def by_slot_and_try(df: DataFrame, *extra: str) -> DataFrame:
+        long = df.select(row_id, *extra, F.explode(values).alias("_s"))
+        return long.select(row_id, *extra, "_s.slot", "_s.value", F.explode(tries).alias("repeat"))
+
+    donors = by_slot_and_try(base).withColumn("_seed", F.concat_ws(":", F.lit(str(seed)), "slot", "repeat"))
     donors = with_ordinal(donors, row_id, F.col("_seed"), by=["slot", "repeat"]).select(
         "slot", "repeat", "ordinal", F.col("value").alias("_new")
     )
-    targets = with_ordinal(base, row_id, f"{seed}:rows").select(
-        "ordinal", "_y", "_v", "hard", F.explode(F.array(*[F.lit(s) for s in slots])).alias("slot")
-    )
-    targets = targets.select("*", F.explode(tries).alias("repeat"))
-    moved = targets.join(donors, ["slot", "repeat", "ordinal"]).filter(
-        F.col("_new") != F.element_at("_v", F.col("slot") + 1)
-    )
+    takers = by_slot_and_try(with_ordinal(base, row_id, f"{seed}:rows"), "ordinal")
+    moved = takers.join(donors, ["slot", "repeat", "ordinal"]).filter(F.col("_new") != F.col("value"))
+    # whole vectors travel only to rows that did change
+    changed = moved.select(row_id, "slot", "_new").join(base.withColumnRenamed("hard", "_before"), row_id)
     swapped = F.transform("_v", lambda x, i: F.when(i == F.col("slot"), F.col("_new")).otherwise(x))
-    rescored = scorer.score_encoded(
-        moved.select("slot", "_y", F.col("hard").alias("_before"), array_to_vector(swapped).alias(vector))
-    )
+    rescored = scorer.score_encoded(changed.select("slot", "_y", "_before", array_to_vector(swapped).alias(vector)))
     lost = (F.col("_before") == F.col("_y")).cast("int") - (F.col("hard") == F.col("_y")).cast("int")
     n = base.agg(F.count(F.lit(1)).alias("n")).scalar()
     return rescored.groupBy("slot").agg(F.sum(lost).alias("_lost")).select(
@@ -151,9 +147,6 @@ def ranking_lists(rankings: DataFrame) -> dict[str, list[str]]:
     return out
 
 
-BASE = "base"
-
-
 def variant_outcomes(
     scorer: Scorer,
     test: DataFrame,
@@ -164,41 +157,32 @@ def variant_outcomes(
     label: str = "clicked",
     row_id: str = "row_id",
 ) -> DataFrame:
-    """``row_id, method, kind, k, correct, same`` of every deletion and perturbation, one scoring job.
+    """``row_id, method, kind, k, correct, same`` of every deletion and perturbation.
 
-    ``same`` compares with the row's prediction on the untouched features.
+    ``same`` compares with the row's prediction on the untouched features, which each
+    row carries along: one scan of the test rows, no join. The result is written once,
+    since each metric reads it again.
     """
-    lists = ranking_lists(rankings)
-    variants: dict[str, Sequence[str]] = {BASE: ()}
-    names = []
-    for i, (method, order) in enumerate(lists.items()):
-        for k in ks:
-            variants[f"{i}:top:{k}"] = order[:k]
-            names.append((f"{i}:top:{k}", method, "deletion", k))
-        variants[f"{i}:bottom:{bottom}"] = order[-bottom:]
-        names.append((f"{i}:bottom:{bottom}", method, "stability", bottom))
+    variants: dict[str, Sequence[str]] = {}
+    for method, order in ranking_lists(rankings).items():
+        variants |= {f"deletion:{k}:{method}": order[:k] for k in ks}
+        variants[f"stability:{bottom}:{method}"] = order[-bottom:]
     features = scorer.encoder.features
-    rows = ablated_variants(test.select(row_id, label, *features), variants, features, impute, scorer.encoder.numeric)
-    scored = scorer.predict(rows).select(row_id, "variant", F.col(label).alias("_y"), "hard")
-    scored = cut_lineage(scored, "variants")
-    base = scored.filter(F.col("variant") == BASE).select(row_id, F.col("hard").alias("_base"))
-    meta = F.broadcast(  # one row per variant
-        test.sparkSession.createDataFrame(names, "variant string, method string, kind string, k int")
-    )
-    return (
-        scored.filter(F.col("variant") != BASE)
-        .join(base, row_id)
-        .join(meta, "variant")
-        .select(
-            row_id,
-            "method",
-            "kind",
-            "k",
-            (F.col("hard") == F.col("_y")).cast("int").alias("correct"),
-            (F.col("hard") == F.col("_base")).cast("int").alias("same"),
-            (F.col("_base") == F.col("_y")).cast("int").alias("base_correct"),
-        )
+    base = scorer.predict(test.select(row_id, label, *features)).drop("prob").withColumnRenamed("hard", "_base")
+    rows = ablated_variants(base, variants, features, impute, scorer.encoder.numeric)
+    scored = scorer.predict(rows)
+    parts = F.split("variant", ":", 3)
+    y = F.col(label)
+    outcomes = scored.select(
+        row_id,
+        parts[2].alias("method"),
+        parts[0].alias("kind"),
+        parts[1].cast("int").alias("k"),
+        (F.col("hard") == y).cast("int").alias("correct"),
+        (F.col("hard") == F.col("_base")).cast("int").alias("same"),
+        (F.col("_base") == y).cast("int").alias("base_correct"),
     )
+    return cut_lineage(outcomes, "outcomes")
 
 
 def single_deletion(outcomes: DataFrame) -> DataFrame:

@@ -26,21 +26,24 @@ def joint_cells(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def replicates(cells: DataFrame, columns: Sequence[str], draws: int, tasks: int | None) -> DataFrame:
-    """One row per replicate carrying the (small, ordered) cell table."""
+    """One row per task: its range of replicate numbers and the (small, ordered) cell table."""
     spark = cells.sparkSession
+    tasks = min(tasks or spark.sparkContext.defaultParallelism, draws)
     table = cells.agg(F.array_sort(F.collect_list(F.struct(*columns, "n"))).alias("cells")).scalar()
-    return spark.range(0, draws, 1, tasks or spark.sparkContext.defaultParallelism).withColumn("cells", table)
+    first = F.floor(F.col("id") * draws / tasks)
+    last = F.floor((F.col("id") + 1) * draws / tasks)
+    return spark.range(0, tasks, 1, tasks).select(first.alias("first"), last.alias("last"), table.alias("cells"))
 
 
-def drawn_counts(batch: pd.DataFrame, columns: Sequence[str], seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(replicate, cell matrix, drawn counts); each replicate has its own seed sequence."""
-    for b, cells in zip(batch["id"], batch["cells"]):
+def drawn_counts(batch: pd.DataFrame, columns: Sequence[str], seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(cell matrix, drawn counts) per replicate; each replicate has its own seed sequence."""
+    for first, last, cells in zip(batch["first"], batch["last"], batch["cells"]):
         matrix = np.array([[c[k] for k in columns] for c in cells], dtype=np.int64).reshape(-1, len(columns))
         counts = np.array([c["n"] for c in cells], dtype=np.int64)
         n = int(counts.sum())
-        if n:
-            rng = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, int(b)])))
-            yield int(b), matrix, rng.multinomial(n, counts / n)
+        for b in range(first, last) if n else ():
+            rng = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, b])))
+            yield matrix, rng.multinomial(n, counts / n)
 
 
 def macro_f1(y: np.ndarray, p: np.ndarray, w: np.ndarray) -> float:
@@ -65,7 +68,7 @@ def bootstrap_scores(
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for _, m, w in drawn_counts(batch, columns, seed):
+            for m, w in drawn_counts(batch, columns, seed):
                 for j, scorer in enumerate(scorers, start=1):
                     out.append((scorer, "acc", float(w[m[:, 0] == m[:, j]].sum() / w.sum())))
                     out.append((scorer, "f1_macro", macro_f1(m[:, 0], m[:, j], w)))
@@ -95,7 +98,7 @@ def bootstrap_explanations(
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for _, m, w in drawn_counts(batch, columns, seed):
+            for m, w in drawn_counts(batch, columns, seed):
                 shares = (w[:, None] * m).sum(axis=0) / w.sum()
                 for i, name in enumerate(methods):
                     out.append((name, "drop", float(shares[0] - shares[1 + 2 * i])))
