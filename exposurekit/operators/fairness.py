@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import cell_counts, confusion
+from ..session import cut_lineage
+from .metrics import cell_counts
 from .ordinal import exact_quantiles
 from .skew import lookup_join
 
@@ -81,6 +82,38 @@ def rate_spread(rates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def score_cells(preds: DataFrame, dims: Sequence[str], y: str, prob: str) -> DataFrame:
+    """Rows counted by all dimensions, label and probability; written once, read by several passes."""
+    counted = preds.groupBy(*dims, F.col(y).alias("_y"), F.col(prob).alias("_prob")).agg(F.count(F.lit(1)).alias("_n"))
+    return cut_lineage(counted, "score-cells")
+
+
+def per_dimension(cells: DataFrame, dims: Sequence[str]) -> DataFrame:
+    return cells.select("_y", "_prob", "_n", F.explode(dimension_pairs(dims, overall=False)).alias("_g")).select(
+        "_y", "_prob", "_n", "_g.dim", "_g.group"
+    )
+
+
+def thresholds(cells: DataFrame, dims: Sequence[str], levels: Mapping[str, Sequence[str]] | None) -> DataFrame:
+    decided = F.when(F.col("_prob") >= 0.5, 1).otherwise(0)
+    counts = cell_counts(F.col("_y"), decided, F.col("_n"))
+    tp, fn = counts["tp"], counts["fn"]
+    # 1 - TPR is the overall FNR
+    target = F.lit(1.0) - (F.lit(1.0) - fn / F.greatest(tp + fn, F.lit(1)))
+    share = cells.agg(target.alias("q")).scalar()
+    long = per_dimension(cells, dims)
+    found = exact_quantiles(long.filter(F.col("_y") == 1), "_prob", {"tau": share}, ["dim", "group"], weight="_n")
+    groups = long.select("dim", "group").distinct()
+    if levels:
+        listed = cells.sparkSession.createDataFrame(
+            [(d, g) for d, gs in levels.items() for g in gs], "dim string, group string"
+        )
+        groups = groups.filter(~F.col("dim").isin(*levels)).unionByName(listed)
+    return groups.join(found, ["dim", "group"], "left").select(
+        "dim", "group", F.coalesce("tau", F.lit(0.5)).alias("tau")
+    )
+
+
 def equal_opportunity(
     preds: DataFrame,
     dims: Sequence[str],
@@ -93,24 +126,7 @@ def equal_opportunity(
     The target is the TPR at 0.5 over all rows; tau is the (1 - target) quantile of
     the group's positive scores, 0.5 for a group without positives.
     """
-    decided = preds.withColumn("_hard", F.when(F.col(prob) >= 0.5, 1).otherwise(0))
-    tp, fn = F.col("tp"), F.col("fn")
-    # 1 - TPR is the overall FNR
-    target = F.lit(1.0) - (F.lit(1.0) - fn / F.greatest(tp + fn, F.lit(1)))
-    share = confusion(decided, y, "_hard").select(target.alias("q")).scalar()
-    long = preds.select(y, prob, F.explode(dimension_pairs(dims, overall=False)).alias("_g")).select(
-        y, prob, "_g.dim", "_g.group"
-    )
-    found = exact_quantiles(long.filter(F.col(y) == 1), prob, {"tau": share}, ["dim", "group"])
-    groups = long.select("dim", "group").distinct()
-    if levels:
-        listed = preds.sparkSession.createDataFrame(
-            [(d, g) for d, gs in levels.items() for g in gs], "dim string, group string"
-        )
-        groups = groups.filter(~F.col("dim").isin(*levels)).unionByName(listed)
-    return groups.join(found, ["dim", "group"], "left").select(
-        "dim", "group", F.coalesce("tau", F.lit(0.5)).alias("tau")
-    )
+    return thresholds(score_cells(preds, dims, y, prob), dims, levels)
 
 
 def recalibrated_audit(
@@ -127,12 +143,9 @@ def recalibrated_audit(
     thresholds. Thresholds come from the audited rows, or from ``calibration`` rows.
     Rows whose group has no threshold keep the 0.5 decision.
     """
-    taus = equal_opportunity(preds if calibration is None else calibration, dims, y, prob, levels)
-    counted = preds.groupBy(*dims, F.col(y).alias("_y"), F.col(prob).alias("_prob")).agg(F.count(F.lit(1)).alias("_n"))
-    long = counted.select(
-        "_y", "_prob", "_n", F.explode(dimension_pairs(dims, overall=False)).alias("_g")
-    ).select("_y", "_prob", "_n", "_g.dim", "_g.group")
-    joined = lookup_join(long, taus, ["dim", "group"], ["_y", "_prob"])
+    audited = score_cells(preds, dims, y, prob)
+    taus = thresholds(audited if calibration is None else score_cells(calibration, dims, y, prob), dims, levels)
+    joined = lookup_join(per_dimension(audited, dims), taus, ["dim", "group"], ["_y", "_prob"])
     base = F.when(F.col("_prob") >= 0.5, 1).otherwise(0)
     moved = F.when(F.col("_prob") >= F.coalesce("tau", F.lit(0.5)), 1).otherwise(0)
     before = cell_counts(F.col("_y"), base, F.col("_n"))

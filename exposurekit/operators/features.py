@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import fill_defaults, tier
 from ..functions.wording import GIFT_TIERS
@@ -42,8 +43,15 @@ def clean_dim(df: DataFrame, key: str, prefix: str, drop: Sequence[str]) -> Data
 
 
 def time_cutoff(df: DataFrame, ts: str, share: float = 0.6) -> Column:
-    """tmin + share * (tmax - tmin), as a scalar subquery the scan can filter with."""
-    return df.agg((F.min(ts) + F.lit(share) * (F.max(ts) - F.min(ts))).alias("cutoff")).scalar()
+    """tmin + share * (tmax - tmin), as a scalar subquery the scan can filter with.
+
+    For whole-number times the cutoff is rounded up: the same rows lie before it, and
+    the comparison stays on the stored type, which file statistics can answer.
+    """
+    cutoff = F.min(ts) + F.lit(share) * (F.max(ts) - F.min(ts))
+    if isinstance(df.schema[ts].dataType, T.IntegralType):
+        cutoff = F.ceil(cutoff).cast(df.schema[ts].dataType)
+    return df.agg(cutoff.alias("cutoff")).scalar()
 
 
 def time_window_split(df: DataFrame, ts: str, share: float = 0.6) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import broadcast_if_small
 
 HASH_DIGITS = 4  # 65,536 buckets: bucket tables stay below 65,537 rows per group
 VALUE_BUCKET_BITS = 10  # 1,024 value buckets
@@ -33,33 +36,26 @@ def seeded_key(identity: Column, seed: int | str | Column) -> Column:
 
 
 def hash_bucket(key: Column, digits: int = HASH_DIGITS) -> Column:
-    return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
+    """Leading hex digits, which sort like the whole key.
 
+    Never null, so a join on it adds no null check that would evaluate it again.
+    """
+    return F.coalesce(F.substring(key, 1, digits), F.lit("0" * digits))
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality of both sides' key columns."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
 
+def with_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Adds the ``by`` columns as one struct ``_g``, which is never null itself.
 
-def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], bounded: bool, how: str = "inner") -> DataFrame:
-    """Join a bucket table back to rows. ``bounded`` says its size has a fixed limit."""
-    renamed = right
-    for key in keys:
-        renamed = renamed.withColumnRenamed(key, f"_r_{key}")
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
-    small = F.broadcast(renamed) if bounded else renamed
-    return left.join(small, condition, how).drop(*[f"_r_{key}" for key in keys])
+    Two missing groups are the same group, and equality on ``_g`` stays a plain one, so a
+    join after a window or grouping on it needs no further shuffle.
+    """
+    return (df.withColumn("_g", F.struct(*by)), ["_g"]) if by else (df, [])
 
 
-def bucket_spans(keyed: DataFrame, by: Sequence[str], bucket: str = "_bucket") -> DataFrame:
+def bucket_spans(keyed: DataFrame, group: Sequence[str]) -> DataFrame:
     """Per group and bucket: positions [_start, _end). Partial counts combine map-side."""
-    counts = keyed.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    end = F.sum("_n").over(Window.partitionBy(*by).orderBy(bucket))
+    counts = keyed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    end = F.sum("_n").over(Window.partitionBy(*group).orderBy("_bucket"))
     return counts.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_n")).drop("_n")
 
 
@@ -74,14 +70,16 @@ def with_ordinal(
     """Zero-based position of each row in the seeded order, per ``by`` group.
 
     ``row_id`` must be unique within a group. Without groups the offsets are at most
-    16**digits rows and are broadcast; with groups Spark chooses the join.
+    16**digits rows and are broadcast; with groups they join on the partitioning and
+    order the ranking already has.
     """
-    keyed = df.withColumn("_key", seeded_key(F.col(row_id), seed)).withColumn("_bucket", hash_bucket(F.col("_key"), digits))
-    spans = bucket_spans(keyed, by).drop("_end")
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_key", row_id)
+    keyed, group = with_group(df, by)
+    keyed = keyed.withColumn("_key", seeded_key(F.col(row_id), seed)).withColumn("_bucket", hash_bucket(F.col("_key"), digits))
+    spans = bucket_spans(keyed, group).drop("_end")
+    inside = Window.partitionBy(*group, "_bucket").orderBy("_key", row_id)
     ranked = keyed.withColumn("_rank", F.row_number().over(inside))
-    placed = attach(ranked, spans, [*by, "_bucket"], bounded=not by)
-    return placed.withColumn(name, F.col("_start") + F.col("_rank") - 1).drop("_key", "_bucket", "_rank", "_start")
+    placed = ranked.join(spans if by else F.broadcast(spans), [*group, "_bucket"])
+    return placed.select(*df.columns, (F.col("_start") + F.col("_rank") - 1).alias(name))
 
 
 def cut_points(
@@ -99,46 +97,63 @@ def cut_points(
     Only rows of the buckets that hold a position are sorted, copies of one row as a
     single counted row. Positions may be expressions over ``by``.
     """
-    keyed = df.select(*by, seeded_key(identity, seed).alias("_key")).withColumn("_bucket", hash_bucket(F.col("_key"), digits))
+    keyed, group = with_group(df.select(*by, seeded_key(identity, seed).alias("_key")), by)
+    keyed = keyed.drop(*by).withColumn("_bucket", hash_bucket(F.col("_key"), digits))
     wanted = F.array(
         *[
             F.struct(F.lit(i).alias("cut"), (p if isinstance(p, Column) else F.lit(p)).cast("long").alias("position"))
             for i, p in enumerate(positions)
         ]
     )
+    spans = bucket_spans(keyed, group)
     hits = (
-        bucket_spans(keyed, by)
+        (spans.select("*", "_g.*") if by else spans)
         .withColumn("_w", F.explode(wanted))
-        .select("*", "_w.cut", "_w.position")
-        .drop("_w")
+        .select(*group, "_bucket", "_start", "_end", "_w.cut", "_w.position")
         .filter((F.col("position") >= F.col("_start")) & (F.col("position") < F.col("_end")))
     )
-    rows = attach(keyed, hits.drop("_end"), [*by, "_bucket"], bounded=not by)
-    counted = rows.groupBy(*by, "cut", "position", "_start", "_key").agg(F.count(F.lit(1)).alias("_n"))
-    running = F.sum("_n").over(Window.partitionBy(*by, "cut").orderBy("_key"))
+    # one row per wanted position; many groups are counted before they may be broadcast
+    hits = broadcast_if_small(hits.drop("_end"), "cuts") if by else F.broadcast(hits.drop("_end"))
+    rows = keyed.join(hits, [*group, "_bucket"])
+    counted = rows.groupBy(*group, "cut", "position", "_start", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    running = F.sum("_n").over(Window.partitionBy(*group, "cut").orderBy("_key"))
     return (
         counted.withColumn("_after", F.col("_start") + running)
         .withColumn("before", F.col("_after") - F.col("_n"))
         .filter((F.col("position") >= F.col("before")) & (F.col("position") < F.col("_after")))
-        .select(*by, "cut", "position", F.col("_key").alias("cut_key"), "before")
+        .select(*[F.col(f"_g.{c}").alias(c) for c in by], "cut", "position", F.col("_key").alias("cut_key"), "before")
     )
 
 
 def value_limits(df: DataFrame, value: str, bits: int = VALUE_BUCKET_BITS) -> Column:
-    """Bucket limits that split the rows of ``df`` about evenly, as a scalar subquery."""
+    """Bucket limits that split the rows of ``df`` about evenly, as a constant array.
+
+    Limits are found first and then fixed, so that every later pass puts a value into
+    the same bucket. They only balance the work: results do not depend on them.
+    Sketches are merged in two steps, the second over a bounded list of values.
+    """
     buckets = 1 << bits
     shares = [i / buckets for i in range(1, buckets)]
-    return df.agg(F.percentile_approx(value, shares, 10 * buckets).alias("limits")).scalar()
+    accuracy = 4 * buckets
+    present = df.select(F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    parts = present.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("_part")).agg(
+        F.percentile_approx("_v", shares, accuracy).alias("_q")
+    )
+    merged = parts.select(F.explode("_q").alias("_v")).agg(F.percentile_approx("_v", shares, accuracy).alias("q"))
+    limits = sorted(set(merged.first()["q"] or []))  # fewer than 2**bits numbers
+    kind = df.schema[value].dataType
+    return F.array(*[F.lit(x) for x in limits]).cast(T.ArrayType(kind))
 
 
 def value_bucket(value: Column, limits: Column, bits: int = VALUE_BUCKET_BITS) -> Column:
     """How many limits are at most ``value``, by bisection of the limit array."""
     halves = F.array(*[F.lit(1 << i) for i in reversed(range(bits))])
-    return F.aggregate(
+    found = F.aggregate(
         halves,
         F.lit(0),
         lambda low, half: F.when(value >= F.try_element_at(limits, low + half), low + half).otherwise(low),
     )
+    return F.coalesce(found, F.lit(0))
 
 
 def prefix_sums(
@@ -148,32 +163,36 @@ def prefix_sums(
     by: Sequence[str] = (),
     descending: bool = False,
     bits: int = VALUE_BUCKET_BITS,
+    limits: Column | None = None,
 ) -> DataFrame:
     """Inclusive running sums ``<v>_cum`` and group totals ``<v>_all`` along ``order``.
 
-    ``order`` must be unique and not missing within a group.
+    ``order`` must be unique and not missing within a group. ``limits`` saves a pass
+    over ``cells`` where they are known from cheaper rows.
     """
-    bucketed = cells.withColumn("_limits", value_limits(cells, order, bits)).withColumn(
-        "_bucket", value_bucket(F.col(order), F.col("_limits"), bits)
-    ).drop("_limits")
-    across = Window.partitionBy(*by).orderBy(F.desc("_bucket") if descending else F.asc("_bucket"))
-    whole = Window.partitionBy(*by)
-    totals = bucketed.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    limits = value_limits(cells, order, bits) if limits is None else limits
+    grouped, group = with_group(cells, by)
+    bucketed = grouped.withColumn("_bucket", value_bucket(F.col(order), limits, bits))
+    across = Window.partitionBy(*group).orderBy(F.desc("_bucket") if descending else F.asc("_bucket"))
+    whole = Window.partitionBy(*group)
+    totals = bucketed.groupBy(*group, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     totals = totals.select(
-        *by,
+        *group,
         "_bucket",
         *[(F.sum(f"_t_{v}").over(across) - F.col(f"_t_{v}")).alias(f"_o_{v}") for v in values],
         *[F.sum(f"_t_{v}").over(whole).alias(f"{v}_all") for v in values],
     )
     inside = (
-        Window.partitionBy(*by, "_bucket")
+        Window.partitionBy(*group, "_bucket")
         .orderBy(F.desc(order) if descending else F.asc(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     running = bucketed.withColumns({f"_p_{v}": F.sum(v).over(inside) for v in values})
-    placed = attach(running, totals, [*by, "_bucket"], bounded=not by)
-    return placed.withColumns({f"{v}_cum": F.col(f"_o_{v}") + F.col(f"_p_{v}") for v in values}).drop(
-        "_bucket", *[f"_o_{v}" for v in values], *[f"_p_{v}" for v in values]
+    placed = running.join(totals if by else F.broadcast(totals), [*group, "_bucket"])
+    return placed.select(
+        *cells.columns,
+        *[(F.col(f"_o_{v}") + F.col(f"_p_{v}")).alias(f"{v}_cum") for v in values],
+        *[f"{v}_all" for v in values],
     )
 
 
@@ -182,27 +201,61 @@ def exact_quantiles(
     value: str,
     shares: Mapping[str, float | Column],
     by: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
-    """Linearly interpolated quantiles per group, one column per entry of ``shares``."""
-    cells = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    placed = prefix_sums(cells, value, ["_c"], by)
-    first, after = F.col("_c_cum") - F.col("_c"), F.col("_c_cum")
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((position >= first) & (position < after), F.col(value)))
+    """Linearly interpolated quantiles per group, one column per entry of ``shares``.
 
-    aggs = []
+    Rows are counted per value bucket; only buckets that hold a wanted position are
+    looked into, so nothing but their values is sorted. ``weight`` counts a row several
+    times.
+    """
+    rows, group = with_group(df.filter(F.col(value).isNotNull()), by)
+    rows = rows.select(
+        *group,
+        F.col(value).alias("_v"),
+        (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_w"),
+        value_bucket(F.col(value), value_limits(df, value)).alias("_bucket"),
+    )
+    end = F.sum("_n").over(Window.partitionBy(*group).orderBy("_bucket"))
+    spans = (
+        rows.groupBy(*group, "_bucket")
+        .agg(F.sum("_w").alias("_n"))
+        .withColumns({"_end": end, "_all": F.sum("_n").over(Window.partitionBy(*group))})
+        .withColumn("_start", F.col("_end") - F.col("_n"))
+    )
+    wanted = []
     for name, share in shares.items():
-        share = share if isinstance(share, Column) else F.lit(float(share))
-        position = share * (F.col("_c_all") - 1)
-        aggs += [
-            at(F.floor(position)).alias(f"_lo_{name}"),
-            at(F.ceil(position)).alias(f"_hi_{name}"),
-            F.max(position - F.floor(position)).alias(f"_t_{name}"),
+        exact = (share if isinstance(share, Column) else F.lit(float(share))) * (F.col("_all") - 1)
+        for side in (F.floor(exact), F.ceil(exact)):
+            wanted.append(F.struct(F.lit(name).alias("name"), exact.alias("exact"), side.cast("long").alias("position")))
+    hits = (
+        spans.select(*group, "_bucket", "_start", "_end", F.explode(F.array(*wanted)).alias("_p"))
+        .select("*", "_p.*")
+        .filter((F.col("position") >= F.col("_start")) & (F.col("position") < F.col("_end")))
+        .select(*group, "_bucket", "_start", "name", "exact", "position")
+        .distinct()
+    )
+    hits = broadcast_if_small(hits, "positions") if by else F.broadcast(hits)
+    found = rows.join(hits, [*group, "_bucket"])
+    counted = found.groupBy(*group, "name", "exact", "position", "_start", "_v").agg(F.sum("_w").alias("_n"))
+    running = F.sum("_n").over(Window.partitionBy(*group, "name", "position").orderBy("_v"))
+    at = (
+        counted.withColumn("_after", F.col("_start") + running)
+        .filter((F.col("position") >= F.col("_after") - F.col("_n")) & (F.col("position") < F.col("_after")))
+    )
+
+    def side(name: str, position: Column) -> Column:
+        return F.max(F.when((F.col("name") == name) & (F.col("position") == position), F.col("_v")))
+
+    sides = []
+    for name in shares:
+        sides += [
+            side(name, F.floor("exact")).alias(f"_lo_{name}"),
+            side(name, F.ceil("exact")).alias(f"_hi_{name}"),
+            F.max(F.when(F.col("name") == name, F.col("exact") - F.floor("exact"))).alias(f"_t_{name}"),
         ]
-    found = placed.groupBy(*by).agg(*aggs)
-    return found.select(
-        *by,
+    return at.groupBy(*group).agg(*sides).select(
+        *[F.col(f"_g.{c}").alias(c) for c in by],
         *[
             (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_t_{n}")).alias(n)
             for n in shares

@@ -47,7 +47,7 @@ def class_balance(df: DataFrame, column: str, classes: Sequence) -> DataFrame:
         [(i, c) for i, c in enumerate(classes)], f"position int, class {kind}"
     )
     counted = df.groupBy(F.col(column).alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    total = counted.agg(F.sum("n").alias("total")).scalar()
     n = F.coalesce(F.col("n"), F.lit(0))
     return listed.join(counted, "class", "left").select(
         "position", "class", n.alias("n"), (n / F.nullif(total, F.lit(0))).alias("share")

@@ -131,11 +131,11 @@ def labeled_examples_block(
     seed: int = 42,
 ) -> DataFrame:
     """One prompt per group listing its first ``k`` labelled rows."""
-    line = F.concat(
-        F.lit(f"[{label}="), F.col(label).cast("string"), F.lit("] "), feature_line(df, features)
-    )
-    shown = first_rows(df.select(*by, row_id, line.alias("line")), k, row_id, seed, by)
-    blocks = shown.groupBy(*by).agg(joined_lines("ordinal", "line").alias("block"), F.count(F.lit(1)).alias("n"))
+    # only the chosen rows are turned into text
+    wanted = dict.fromkeys([*by, row_id, label, *features])
+    shown = first_rows(df.select(*wanted), k, row_id, seed, by)
+    line = F.concat(F.lit(f"[{label}="), F.col(label).cast("string"), F.lit("] "), feature_line(shown, features))
+    blocks = shown.withColumn("line", line).groupBy(*by).agg(joined_lines("ordinal", "line").alias("block"), F.count(F.lit(1)).alias("n"))
     return blocks.select(*by, F.concat(F.lit(W.EXAMPLES_HEAD), "block").alias("prompt"), "n")
 
 

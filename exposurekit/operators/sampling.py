@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinal import attach, cut_points, exact_quantiles, seeded_key, text_key, with_ordinal
+from .ordinal import cut_points, exact_quantiles, seeded_key, text_key, with_ordinal
 from .profile import unpivot_text
 
 
@@ -34,18 +34,26 @@ def first_per_class(
     for cls, quota in quotas.items():
         wanted = F.when(F.col(label) == cls, quota).otherwise(wanted)
     pool = df.filter(F.col(label).isin(*quotas))
-    # one cut per class: the first row that is no longer wanted
-    cuts = cut_points(pool, key, seed, [wanted], by=[label]).drop("cut")
-    cuts = cuts.withColumn("_room", F.col("position") - F.col("before")).drop("position", "before")
-    # at most one row per listed class
-    marked = attach(pool.withColumn("_key", seeded_key(key, seed)), cuts, [label], bounded=True, how="left")
-    whole = marked.filter(F.col("cut_key").isNull() | (F.col("_key") < F.col("cut_key")))
+    # one cut per listed class: the first row that is no longer wanted
+    cuts = cut_points(pool, key, seed, [wanted], by=[label]).select(
+        F.col(label).alias("cls"), "cut_key", (F.col("position") - F.col("before")).alias("room")
+    )
+    found = {r["cls"]: r for r in cuts.collect()}
+    order = seeded_key(key, seed)
+    kept = F.lit(False)
+    for cls in quotas:
+        mine = F.col(label) == cls
+        kept = kept | (mine & (order < found[cls]["cut_key"]) if cls in found else mine)
+    sample = pool.filter(kept)
     if unique:
-        return whole.select(*df.columns)
-    edge = marked.filter((F.col("_key") == F.col("cut_key")) & (F.col("_room") > 0))
-    # the group at the cut: one representative, written as often as there is room
-    copies = edge.dropDuplicates([label, "_key"]).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_room"))))
-    return whole.select(*df.columns).unionByName(copies.select(*df.columns))
+        return sample
+    # the group of copies at a cut: one of them, written as often as there is room
+    for cls, cut in found.items():
+        if cut["room"]:
+            edge = pool.filter((F.col(label) == cls) & (order == cut["cut_key"])).dropDuplicates(list(identity))
+            copies = edge.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(cut["room"])))).drop("_i")
+            sample = sample.unionByName(copies)
+    return sample
 
 
 def balanced_sample(
@@ -161,21 +169,31 @@ def regime_examples(
 def click_regimes(df: DataFrame, titles: Sequence[str], label: str = "clicked") -> dict[str, Column]:
     """The five standing regimes: quartiles of user and streamer rates, of activity, and of category rate."""
 
-    def quantiles(column: str, shares: Mapping[str, float]) -> Column:
-        return exact_quantiles(df, column, shares).select(F.struct(*shares)).scalar()
-
-    user = quantiles("user_ctr", {"lo": 0.25, "hi": 0.75})
-    streamer = quantiles("streamer_ctr", {"lo": 0.25, "hi": 0.75})
-    active = quantiles("user_n", {"hi": 0.75})
-    category = quantiles("cat_ctr", {"hi": 0.80})
+    long = df.unpivot([], ["user_ctr", "streamer_ctr", "user_n", "cat_ctr"], "column", "value")
+    found = exact_quantiles(long, "value", {"lo": 0.25, "hi": 0.75, "top": 0.80}, by=["column"])
+
+    def at(column: str, share: str) -> Column:
+        return F.max(F.when(F.col("column") == column, F.col(share)))
+
+    # all limits in one pass over the four columns, as one scalar
+    limits = found.agg(
+        F.struct(
+            at("user_ctr", "lo").alias("user_lo"),
+            at("user_ctr", "hi").alias("user_hi"),
+            at("streamer_ctr", "lo").alias("streamer_lo"),
+            at("streamer_ctr", "hi").alias("streamer_hi"),
+            at("user_n", "hi").alias("active"),
+            at("cat_ctr", "top").alias("category"),
+        ).alias("limits")
+    ).scalar()
     u, s, n, c = (F.col(x) for x in ("user_ctr", "streamer_ctr", "user_n", "cat_ctr"))
     clicked, passed = F.col(label) == 1, F.col(label) == 0
     conditions = (
-        (u >= user["hi"]) & (s >= streamer["hi"]) & clicked,
-        (u <= user["lo"]) & (s <= streamer["lo"]) & passed,
-        (u <= user["lo"]) & (s >= streamer["hi"]) & clicked,
-        (n >= active["hi"]) & (s <= streamer["lo"]) & passed,
-        (c >= category["hi"]) & clicked,
+        (u >= limits["user_hi"]) & (s >= limits["streamer_hi"]) & clicked,
+        (u <= limits["user_lo"]) & (s <= limits["streamer_lo"]) & passed,
+        (u <= limits["user_lo"]) & (s >= limits["streamer_hi"]) & clicked,
+        (n >= limits["active"]) & (s <= limits["streamer_lo"]) & passed,
+        (c >= limits["category"]) & clicked,
     )
     return dict(zip(titles, conditions))
 

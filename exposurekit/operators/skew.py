@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordinal import attach
+from .ordinal import with_group
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
@@ -36,18 +36,16 @@ def lookup_join(
     lookups), so that finding hot keys does not repeat those joins.
     """
     on = list(on)
-    hot = hot_keys(left if hot_from is None else hot_from, on, share).withColumn("_hot", F.lit(True))
+    hot = hot_keys(left if hot_from is None else hot_from, on, share).select(F.struct(*on).alias("_g"), F.lit(True).alias("_hot"))
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    marked = (
-        attach(left, hot, on, bounded=True, how="left")
-        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = (
-        attach(right, hot, on, bounded=True, how="left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    )
-    return marked.join(repeated, [*on, "_salt"], "left").drop("_salt")
+
+    def marked(df: DataFrame) -> DataFrame:
+        return with_group(df, on)[0].join(F.broadcast(hot), "_g", "left").drop("_g")  # < 1/share rows
+
+    spread_rows = marked(left).withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
+    repeated = marked(right).withColumn("_salt", F.explode(copies)).drop("_hot")
+    return spread_rows.join(repeated, [*on, "_salt"], "left").drop("_salt")
 
 
 def number_copies(df: DataFrame, name: str = "copy", chunk: int = 65_536) -> DataFrame:

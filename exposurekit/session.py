@@ -7,6 +7,9 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
 
 
 def build_session(app: str = "exposurekit", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,3 +60,12 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Write a narrow table once, count it, and mark it for broadcast only if it is small.
+
+    Beyond ``limit`` rows it is returned unmarked and joins by shuffle.
+    """
+    stored = cut_lineage(df, label)
+    return F.broadcast(stored) if stored.count() <= limit else stored
