@@ -83,6 +83,12 @@ def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
+def chat_messages(df: DataFrame, prompt: str = "prompt", system: str | None = None, name: str = "messages") -> DataFrame:
+    """A prompt column as the message list a chat endpoint takes."""
+    turns = [message("system", F.lit(system))] if system else []
+    return df.withColumn(name, F.array(*turns, message("user", F.col(prompt))))
+
+
 def answer_with_reason(label: Column, rationale: Column) -> Column:
     return F.concat(F.lit("Answer: "), label.cast("string"), F.lit("\nBecause: "), rationale)
 

@@ -138,3 +138,10 @@ def test_missing_answer_policies(spark):
     assert {r["hard"] for r in R.attach_predictions(rows, texts_only).collect()} == {0, 1}
     with pytest.raises(ValueError):
         R.attach_predictions(rows, preds, "other")
+
+
+def test_chat_messages(spark):
+    df = T.teacher_prompt(modelling(spark), FEATURES)
+    told = T.chat_messages(df, system="SYS").orderBy("row_id").first()
+    assert [(m["role"], m["content"]) for m in told["messages"]] == [("system", "SYS"), ("user", told["prompt"])]
+    assert [m["role"] for m in T.chat_messages(df).first()["messages"]] == ["user"]
