@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from .profile import numeric_features, unpivot_text
 
+MAX_LEVELS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Encoder:
@@ -46,13 +48,18 @@ def level_columns(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
 
 
 def fit_encoder(
-    train: DataFrame, features: Sequence[str], numeric: Sequence[str], levels_from: DataFrame | None = None
+    train: DataFrame,
+    features: Sequence[str],
+    numeric: Sequence[str],
+    levels_from: DataFrame | None = None,
+    max_levels: int = MAX_LEVELS,
 ) -> Encoder:
     """Levels from ``train`` (or from ``levels_from``, e.g. train and test together).
 
     An unseen level encodes to all zeros: the indexer gives it an extra last index, and
     the encoder drops the last slot. Missing numbers take the train mean, plus a 0/1
-    slot where train misses any.
+    slot where train misses any. Every level becomes a model coefficient, and both sit on
+    the driver, so more than about ``max_levels`` of them are refused rather than cut.
     """
     categorical = [f for f in features if f not in numeric]
     means, flagged = {}, []
@@ -66,6 +73,9 @@ def fit_encoder(
     stages, slots, inputs = [], [], []
     source = level_columns(train if levels_from is None else levels_from, categorical)
     if categorical:
+        sizes = source.agg(*[F.approx_count_distinct(f"{f}__level").alias(f) for f in categorical]).first().asDict()
+        if sum(sizes.values()) > max_levels:
+            raise ValueError(f"about {sum(sizes.values())} levels to one-hot encode: {sizes}")
         indexer = StringIndexer(
             inputCols=[f"{f}__level" for f in categorical],
             outputCols=[f"{f}__index" for f in categorical],

@@ -108,12 +108,21 @@ def dedupe_first(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
 
 
 def join_dims(
-    sample: DataFrame, user: DataFrame, streamer: DataFrame, room: DataFrame, spread: Sequence[str]
+    sample: DataFrame,
+    user: DataFrame,
+    streamer: DataFrame,
+    room: DataFrame,
+    spread: Sequence[str],
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Left join of user, streamer and room attributes. ``spread`` identifies a row of ``sample``."""
-    out = sample
+    """Left join of user, streamer and room attributes.
+
+    ``spread`` identifies a row of ``sample``; ``hot_from`` is a cheaper frame with the
+    same keys, where ``sample`` itself carries earlier joins.
+    """
+    out, keys = sample, sample if hot_from is None else hot_from
     for dim, key in ((user, "user_id"), (streamer, "streamer_id"), (room, "live_id")):
-        out = lookup_join(out, dim, [key], spread, hot_from=sample.select(key))
+        out = lookup_join(out, dim, [key], spread, hot_from=keys.select(key))
     return out
 
 

@@ -8,7 +8,7 @@ plan over them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ from ..operators.ordinal import text_key
 from ..operators.sampling import balanced_sample
 from ..operators.skew import number_copies
 from ..session import cut_lineage
-from ..sources.tables import restrict_to_keys
+from ..sources.tables import keep_keys, key_list, restrict_to_keys
 
 KEYS = ("user_id", "live_id", "streamer_id")
 USER_DROP = ("reg_timestamp", "first_watch_live_timestamp")
@@ -62,6 +62,16 @@ def room_features(room: DataFrame, keys: DataFrame, order_by: Sequence[str], dur
     )
 
 
+def sampled_dims(
+    keys: Mapping[str, DataFrame], user: DataFrame, streamer: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """User and streamer attributes of the keys a sample holds. The large tables are filtered, not shuffled."""
+    return (
+        clean_dim(keep_keys(user, keys["user_id"], "user_id"), "user_id", "u_", USER_DROP),
+        clean_dim(keep_keys(streamer, keys["streamer_id"], "streamer_id"), "streamer_id", "s_", STREAMER_DROP),
+    )
+
+
 def static_table(
     log: DataFrame,
     user: DataFrame,
@@ -73,13 +83,8 @@ def static_table(
     """Balanced sample of all exposures with user, streamer, room and time features."""
     sample = balanced_sample(log, "clicked", settings.static_per_class, log.columns, settings.seed)
     sample = cut_lineage(identified(sample), "sample")
-    joined = join_dims(
-        sample,
-        clean_dim(user, "user_id", "u_", USER_DROP),
-        clean_dim(streamer, "streamer_id", "s_", STREAMER_DROP),
-        room_features(room, sample, room_order),
-        ["row_id"],
-    )
+    keys = {k: key_list(sample, k) for k in ("user_id", "streamer_id")}
+    joined = join_dims(sample, *sampled_dims(keys, user, streamer), room_features(room, sample, room_order), ["row_id"])
     timed = context_time(joined, "timestamp", settings.time_zone)
     return order_columns(timed, ["row_id", *KEYS], ["clicked"], ["u_", "s_"], CONTEXT)
 
@@ -97,24 +102,22 @@ def history_table(
     g = global_rate(hist).scalar()
     sample = balanced_sample(later, "clicked", settings.history_per_class, log.columns, settings.seed, equal=False)
     sample = cut_lineage(identified(sample), "sample")
-    users = clean_dim(user, "user_id", "u_", USER_DROP)
-    streamers = clean_dim(streamer, "streamer_id", "s_", STREAMER_DROP)
-    rooms = dedupe_first(room.filter(F.col("live_id").isNotNull()), "live_id", room_order).select(
-        "live_id",
-        F.col("live_type").alias("r_live_type"),
-        F.col("live_content_category").alias("r_content_category"),
-    )
-    with_rates = join_history(
-        sample,
-        smoothed_rate(hist, "user_id", "user", settings.smoothing, g=g),
-        smoothed_rate(hist, "streamer_id", "streamer", settings.smoothing, g=g),
-        g,
-        ["row_id"],
-    )
-    joined = join_dims(with_rates, users, streamers, restrict_to_keys(rooms, sample, "live_id"), ["row_id"])
-    rates = category_rate_by_room(hist, rooms, "r_content_category")
+    # rates are needed for sampled users and streamers only; g is of the whole history
+    keys = {k: key_list(sample, k) for k in ("user_id", "streamer_id")}
+    rates = [
+        smoothed_rate(keep_keys(hist, keys[f"{p}_id"], f"{p}_id"), f"{p}_id", p, settings.smoothing, g=g)
+        for p in ("user", "streamer")
+    ]
+    with_rates = join_history(sample, *rates, g, ["row_id"])
+    # at most one room per sampled row
+    rooms = cut_lineage(room_features(room, sample, room_order), "rooms")
+    joined = join_dims(with_rates, *sampled_dims(keys, user, streamer), rooms, ["row_id"], hot_from=sample)
     categories = sample.select("live_id").join(rooms, "live_id", "left").select("r_content_category")
-    rated = join_category_rate(joined, rates, "r_content_category", g, ["row_id"], hot_from=categories)
+    every_room = dedupe_first(room.filter(F.col("live_id").isNotNull()), "live_id", room_order).select(
+        "live_id", F.col("live_content_category").alias("r_content_category")
+    )
+    by_category = category_rate_by_room(hist, every_room, "r_content_category")
+    rated = join_category_rate(joined, by_category, "r_content_category", g, ["row_id"], hot_from=categories)
     timed = context_time(rated, "timestamp", settings.time_zone)
     return order_columns(timed, ["row_id", *KEYS], ["clicked", *HISTORY_FEATURES], ["u_", "s_"], CONTEXT)
 

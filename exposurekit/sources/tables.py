@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.wording import STREAMER_FEATURES, USER_FEATURES
+from ..session import broadcast_if_small
+
+KEY_ROWS = 1_000_000
 
 INTERACTION = T.StructType(
     [T.StructField(c, T.LongType()) for c in ("user_id", "live_id", "streamer_id", "timestamp")]
@@ -76,9 +79,22 @@ def exposures(pos: DataFrame, neg: DataFrame, label: str = "clicked") -> DataFra
     return pos.select(*keys, F.lit(1).alias(label)).unionByName(neg.select(*keys, F.lit(0).alias(label)))
 
 
-def restrict_to_keys(dim: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Rows of ``dim`` whose key occurs in ``keys``. Keys are made distinct first, so a hot key is one row."""
-    return dim.join(keys.select(on).distinct(), on, "left_semi")
+def key_list(rows: DataFrame, on: str) -> DataFrame:
+    """The distinct keys of ``rows``, written once; a hot key is one row.
+
+    Up to KEY_ROWS of them (long integers, a few megabytes) are marked for broadcast.
+    """
+    return broadcast_if_small(rows.select(on).filter(F.col(on).isNotNull()).distinct(), "keys", KEY_ROWS)
+
+
+def restrict_to_keys(table: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``table`` whose key occurs in ``keys``: a filter on the scan while the keys are few."""
+    return keep_keys(table, key_list(keys, on), on)
+
+
+def keep_keys(table: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """``restrict_to_keys`` with a ``key_list`` that several tables share."""
+    return table.join(keys, on, "left_semi")
 
 
 def read_modeling(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:

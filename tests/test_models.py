@@ -51,6 +51,12 @@ def test_encoder_variants(planted):
     assert text.numeric == () and len(text.slots) == 7
 
 
+def test_too_many_levels_are_refused(planted):
+    train, _, _, _ = planted
+    with pytest.raises(ValueError, match="levels"):
+        encode.fit_encoder(train, ["color", "level"], [], max_levels=5)
+
+
 @pytest.mark.parametrize("fit", [models.fit_logreg, models.fit_sparse_tree, lambda e, t: models.fit_gbt(e, t, rounds=10)])
 def test_models_find_the_signal(planted, fit):
     _, test, encoder, encoded = planted
