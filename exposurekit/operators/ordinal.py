@@ -4,13 +4,14 @@ A global ``row_number()`` or running sum pulls every row into one task. Here row
 fall into many buckets that follow the sort order; bucket totals are a small table
 whose own running sum gives each bucket its offset, and only rows of the same bucket
 are sorted together. Hash buckets are even by construction. Value buckets take their
-limits from a quantile sketch of the distinct values, so mass in a narrow range
-spreads out, and equal values are counted into one row before any sort.
+limits from a quantile sketch, as many as the number of rows asks for, so mass in a
+narrow range spreads out, and equal values are counted into one row before any sort.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import isfinite
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ from pyspark.sql import types as T
 from ..session import broadcast_if_small
 
 HASH_DIGITS = 4  # 65,536 buckets: bucket tables stay below 65,537 rows per group
-VALUE_BUCKET_BITS = 10  # 1,024 value buckets
+MAX_VALUE_BUCKETS = 4_096
+ROWS_PER_VALUE_BUCKET = 1_000  # until the maximum is reached
 
 
 def text_key(columns: Sequence[str]) -> Column:
@@ -125,33 +127,47 @@ def cut_points(
     )
 
 
-def value_limits(df: DataFrame, value: str, bits: int = VALUE_BUCKET_BITS) -> Column:
-    """Bucket limits that split the rows of ``df`` about evenly, as a constant array.
+def constant_array(values: Sequence[float], kind: T.DataType) -> Column:
+    """Numbers as one constant column; a thousand single literals would be slow to build."""
+    suffix = "L" if isinstance(kind, T.IntegralType) else "D"
+    return F.expr(f"array({', '.join(f'{x}{suffix}' for x in values)})").cast(T.ArrayType(kind))
+
+
+def value_limits(df: DataFrame, value: str, rows_per_bucket: int = ROWS_PER_VALUE_BUCKET) -> list:
+    """Ascending values that split the rows of ``df`` about evenly, fewer than MAX_VALUE_BUCKETS.
 
     Limits are found first and then fixed, so that every later pass puts a value into
     the same bucket. They only balance the work: results do not depend on them.
     Sketches are merged in two steps, the second over a bounded list of values.
     """
-    buckets = 1 << bits
-    shares = [i / buckets for i in range(1, buckets)]
-    accuracy = 4 * buckets
+    shares = constant_array([i / MAX_VALUE_BUCKETS for i in range(1, MAX_VALUE_BUCKETS)], T.DoubleType())
+    accuracy = 4 * MAX_VALUE_BUCKETS
     present = df.select(F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
     parts = present.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("_part")).agg(
-        F.percentile_approx("_v", shares, accuracy).alias("_q")
+        F.percentile_approx("_v", shares, accuracy).alias("_q"), F.count(F.lit(1)).alias("_n")
     )
-    merged = parts.select(F.explode("_q").alias("_v")).agg(F.percentile_approx("_v", shares, accuracy).alias("q"))
-    limits = sorted(set(merged.first()["q"] or []))  # fewer than 2**bits numbers
-    kind = df.schema[value].dataType
-    return F.array(*[F.lit(x) for x in limits]).cast(T.ArrayType(kind))
-
-
-def value_bucket(value: Column, limits: Column, bits: int = VALUE_BUCKET_BITS) -> Column:
-    """How many limits are at most ``value``, by bisection of the limit array."""
-    halves = F.array(*[F.lit(1 << i) for i in reversed(range(bits))])
+    found = (
+        parts.select("_n", F.posexplode("_q").alias("_i", "_v"))
+        .agg(F.percentile_approx("_v", shares, accuracy).alias("q"), F.sum(F.when(F.col("_i") == 0, F.col("_n"))).alias("n"))
+        .first()
+    )
+    if not found["n"]:
+        return []
+    buckets = min(MAX_VALUE_BUCKETS, max(2, found["n"] // rows_per_bucket))
+    limits = {found["q"][i * MAX_VALUE_BUCKETS // buckets - 1] for i in range(1, buckets)}
+    return sorted(x for x in limits if isfinite(x))
+
+
+def value_bucket(value: Column, limits: Sequence, kind: T.DataType) -> Column:
+    """How many limits are at most ``value``, by bisection. Never null, as ``hash_bucket``."""
+    if not limits:
+        return F.lit(0)
+    ladder = constant_array(limits, kind)
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(len(limits).bit_length()))])
     found = F.aggregate(
         halves,
         F.lit(0),
-        lambda low, half: F.when(value >= F.try_element_at(limits, low + half), low + half).otherwise(low),
+        lambda low, half: F.when(value >= F.try_element_at(ladder, low + half), low + half).otherwise(low),
     )
     return F.coalesce(found, F.lit(0))
 
@@ -162,17 +178,16 @@ def prefix_sums(
     values: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
-    bits: int = VALUE_BUCKET_BITS,
-    limits: Column | None = None,
+    limits: Sequence | None = None,
 ) -> DataFrame:
     """Inclusive running sums ``<v>_cum`` and group totals ``<v>_all`` along ``order``.
 
     ``order`` must be unique and not missing within a group. ``limits`` saves a pass
     over ``cells`` where they are known from cheaper rows.
     """
-    limits = value_limits(cells, order, bits) if limits is None else limits
+    limits = value_limits(cells, order) if limits is None else limits
     grouped, group = with_group(cells, by)
-    bucketed = grouped.withColumn("_bucket", value_bucket(F.col(order), limits, bits))
+    bucketed = grouped.withColumn("_bucket", value_bucket(F.col(order), limits, cells.schema[order].dataType))
     across = Window.partitionBy(*group).orderBy(F.desc("_bucket") if descending else F.asc("_bucket"))
     whole = Window.partitionBy(*group)
     totals = bucketed.groupBy(*group, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
@@ -214,7 +229,7 @@ def exact_quantiles(
         *group,
         F.col(value).alias("_v"),
         (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_w"),
-        value_bucket(F.col(value), value_limits(df, value)).alias("_bucket"),
+        value_bucket(F.col(value), value_limits(df, value), df.schema[value].dataType).alias("_bucket"),
     )
     end = F.sum("_n").over(Window.partitionBy(*group).orderBy("_bucket"))
     spans = (

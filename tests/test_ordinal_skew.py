@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from exposurekit.operators.ordinal import cut_points, exact_quantiles, prefix_sums, seeded_key, with_ordinal
+from exposurekit.operators.ordinal import cut_points, exact_quantiles, prefix_sums, seeded_key, value_bucket, value_limits, with_ordinal
 from exposurekit.operators.skew import hot_keys, lookup_join, number_copies
 
 
@@ -50,7 +50,9 @@ def test_prefix_sums_over_clustered_values(spark, descending):
         (F.col("id") % 7).alias("w"),
         (F.col("id") % 2).alias("g"),
     )
-    got = prefix_sums(rows, "v", ["w"], ["g"], descending, bits=5)
+    limits = value_limits(rows, "v", rows_per_bucket=100)
+    assert 20 <= len(limits) < 30
+    got = prefix_sums(rows, "v", ["w"], ["g"], descending, limits)
     order = F.desc("v") if descending else F.asc("v")
     frame = Window.partitionBy("g").orderBy(order)
     want = rows.withColumn("c", F.sum("w").over(frame)).withColumn("a", F.sum("w").over(Window.partitionBy("g")))
@@ -59,6 +61,22 @@ def test_prefix_sums_over_clustered_values(spark, descending):
     assert joined.filter("w_cum <> c or w_all <> a").count() == 0
 
 
+def test_value_buckets_are_even_and_ordered(spark):
+    rows = spark.range(10_000).select((F.pow(F.col("id") / 10_000, 8)).alias("v"))
+    limits = value_limits(rows, "v", rows_per_bucket=100)
+    placed = rows.withColumn("b", value_bucket(F.col("v"), limits, rows.schema["v"].dataType))
+    spans = placed.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).orderBy("b").collect()
+    assert len(spans) == len(limits) + 1 == 100
+    assert all(a["hi"] < z["lo"] for a, z in zip(spans, spans[1:]))
+    assert max(s["n"] for s in spans) < 300
+    assert value_limits(rows.filter("v < 0"), "v") == []
+
+
+def test_one_value_holding_every_row(spark):
+    rows = spark.range(5000).select(F.lit(2.5).alias("v"))
+    assert exact_quantiles(rows, "v", {"m": 0.5, "t": 0.9}).first().asDict() == {"m": 2.5, "t": 2.5}
+
+
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(0)
     values = [(int(g), float(x)) for g, x in zip(rng.integers(0, 3, 900), rng.normal(size=900).round(2))]
