@@ -94,7 +94,7 @@ def category_rate_by_room(
         F.sum(label).alias("_s"), F.count(label).alias("_n")
     )
     joined = per_room.join(room.select(live, category).filter(F.col(category).isNotNull()), live)
-    return joined.groupBy(category).agg((F.sum("_s") / F.sum("_n")).alias("cat_ctr"))
+    return joined.groupBy(category).agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("cat_ctr"))
 
 
 def dedupe_first(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:

@@ -28,7 +28,7 @@ def confusion(preds: DataFrame, y: str = "y", hard: str = "hard", by: Sequence[s
 
 
 def ratio(top: Column, bottom: Column) -> Column:
-    return F.when(bottom != 0, top / bottom)
+    return F.try_divide(top, bottom)
 
 
 def accuracy() -> Column:
@@ -93,7 +93,7 @@ def auc_aggregate() -> Column:
 def ap_aggregate() -> Column:
     """Sum over thresholds of recall gained times precision."""
     gained = ratio(F.col("pos").cast("double"), F.col("pos_all"))
-    return F.sum(gained * (F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))))
+    return F.sum(gained * ratio(F.col("pos_cum"), F.col("pos_cum") + F.col("neg_cum")))
 
 
 def roc_auc(preds: DataFrame, y: str = "y", prob: str = "prob", by: Sequence[str] = ()) -> DataFrame:

@@ -30,7 +30,7 @@ def log_summary(df: DataFrame, label: str = "clicked") -> DataFrame:
         F.count_if(F.col(label) == 1).alias("positives"),
         F.count_if(F.col(label) == 0).alias("negatives"),
         F.count(label).alias("total"),
-        (F.count_if(F.col(label) == 1) / F.count(label)).alias("natural_rate"),
+        F.try_divide(F.count_if(F.col(label) == 1), F.count(label)).alias("natural_rate"),
     )
 
 

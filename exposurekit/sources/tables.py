@@ -66,11 +66,39 @@ def read_table(
     return missing_for_nan(df)
 
 
+def numeric_where_possible(df: DataFrame) -> DataFrame:
+    """Text columns that hold only numbers become numbers: bigint if all are whole and none is missing, else double.
+
+    One pass over an attribute table decides for all columns; meant for tables of
+    attributes, never for the log.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return df
+    checks = []
+    for c in texts:
+        number = F.col(c).try_cast("double")
+        checks += [
+            F.count(c).alias(f"present_{c}"),
+            F.count_if(F.col(c).isNotNull() & number.isNull()).alias(f"words_{c}"),
+            F.count_if(F.col(c).isNull() | F.col(c).try_cast("bigint").isNull() | F.col(c).contains(".")).alias(f"parts_{c}"),
+        ]
+    found = df.agg(*checks).first()
+    kinds = {c: "double" if found[f"parts_{c}"] else "bigint" for c in texts if found[f"present_{c}"] and not found[f"words_{c}"]}
+    return df.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()}) if kinds else df
+
+
 def read_dim(
-    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", columns: Sequence[str] | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    fmt: str = "csv",
+    columns: Sequence[str] | None = None,
+    numbers: bool = False,
 ) -> DataFrame:
-    """A user, streamer, room or gift table."""
-    return read_table(spark, path, schema, fmt, columns)
+    """A user, streamer, room or gift table; ``numbers`` turns purely numeric text columns into numbers."""
+    table = read_table(spark, path, schema, fmt, columns)
+    return missing_for_nan(numeric_where_possible(table)) if numbers else table
 
 
 def exposures(pos: DataFrame, neg: DataFrame, label: str = "clicked") -> DataFrame:

@@ -58,6 +58,22 @@ def test_ranking_scores_per_group_and_degenerate(spark):
     assert metrics.average_precision(tied).first()["ap"] == pytest.approx(2 / 3)
 
 
+def test_rows_without_a_label_or_score_are_left_out(spark):
+    rows = [(1, 0.9, 1), (0, 0.2, 0), (None, 0.95, 1), (1, None, 0)]
+    df = spark.createDataFrame(rows, "y int, prob double, hard int")
+    assert metrics.roc_auc(df).first()["auc"] == 1.0
+    assert metrics.average_precision(df).first()["ap"] == 1.0
+    assert metrics.classification_report(df).first()["acc"] == round(2 / 3, 4)
+
+
+def test_empty_tables_score_null(spark):
+    df = spark.createDataFrame([], "row_id int, y int, prob double, hard int")
+    assert metrics.roc_auc(df).first()["auc"] is None
+    assert tuple(metrics.classification_report(df).first()) == (None, None, 0.0)
+    assert ensemble.error_overlap(df, "hard", "hard").first()["wrong_1"] is None
+    assert fairness.group_rates(df.selectExpr("*", "'a' as g"), ["g"]).count() == 0
+
+
 def f1(y, h, c):
     tp, wrong = ((y == c) & (h == c)).sum(), ((y == c) != (h == c)).sum()
     return 2 * tp / (2 * tp + wrong) if 2 * tp + wrong else None

@@ -19,6 +19,15 @@ def test_csv_dimension_by_name(spark, tmp_path):
     assert sorted(tuple(r) for r in out.collect()) == [(5, "18-23", "M"), (6, None, None)]
 
 
+def test_numeric_attributes_become_numbers(spark, tmp_path):
+    path = tmp_path / "user.csv"
+    path.write_text("user_id,age,fans_num,follow_num,country\n5,18-23,7,7,\n6,24-30,8,,\n7,50+,9,2.5,\n")
+    out = tables.read_dim(spark, str(path), tables.USER, numbers=True)
+    kinds = {f.name: f.dataType.simpleString() for f in out.schema.fields}
+    assert kinds == {"user_id": "bigint", "age": "string", "fans_num": "bigint", "follow_num": "double", "country": "string"}
+    assert sorted(r["fans_num"] for r in out.collect()) == [7, 8, 9]
+
+
 def test_exposures_from_files_use_four_columns(spark, tmp_path):
     (tmp_path / "click.csv").write_text("user_id,live_id,streamer_id,timestamp,watch\n1,2,3,4,9\n")
     (tmp_path / "negative.csv").write_text("user_id,live_id,streamer_id,timestamp\n1,2,3,5\n1,2,3,5\n")
