@@ -131,16 +131,17 @@ def error_sample(
 def first_rows(df: DataFrame, k: int, row_id: str, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """First ``k`` rows per group with their position among the group's rows.
 
-    Meant for the short row lists that prompts show: each task keeps its own first k
-    per group before the shuffle, so no group arrives whole anywhere.
+    Meant for the short row lists that prompts show. Each task keeps its own first k per
+    group before the shuffle, and these merge in two steps, so the last one sees at most
+    64 * k rows of a group, however large the group and however many the tasks.
     """
-    keyed = df.withColumn("_key", seeded_key(F.col(row_id), seed))
-    if not by:
-        # ordered limit: k rows per task reach the merge
-        keyed = keyed.orderBy("_key", row_id).limit(k)
-    order = Window.partitionBy(*by).orderBy("_key", row_id)
-    ranked = keyed.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k)
-    return ranked.withColumn("ordinal", F.col("_rank") - 1).drop("_rank", "_key")
+    merged = df.withColumns(
+        {"_key": seeded_key(F.col(row_id), seed), "_part": F.pmod(F.spark_partition_id(), F.lit(64))}
+    )
+    for keys in ([*by, "_part"], list(by)):
+        order = Window.partitionBy(*keys).orderBy("_key", row_id)
+        merged = merged.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k)
+    return merged.withColumn("ordinal", F.col("_rank") - 1).drop("_rank", "_key", "_part")
 
 
 def regime_examples(

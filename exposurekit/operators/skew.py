@@ -10,11 +10,20 @@ from pyspark.sql import functions as F
 from .ordinal import with_group
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
-    """Keys holding more than ``share`` of all rows: fewer than 1/share rows, missing keys included."""
+ROWS_PER_TASK = 1_000_000
+HOT_SHARE = 1e-4
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK, share: float = HOT_SHARE) -> DataFrame:
+    """Keys too frequent for one task, with the number of tasks to spread each over.
+
+    Hot means more than ``rows_per_task`` rows and more than ``share`` of all rows, so
+    there are fewer than 1/share hot keys. Missing keys count as a key.
+    """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("n")).scalar()  # reads the same shuffle again, not the rows
-    return counts.filter(F.col("_n") > total * F.lit(share)).select(*keys)
+    hot = (F.col("_n") > rows_per_task) & (F.col("_n") > total * F.lit(share))
+    return counts.filter(hot).select(*keys, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_tasks"))
 
 
 def lookup_join(
@@ -22,30 +31,31 @@ def lookup_join(
     right: DataFrame,
     on: Sequence[str],
     spread: Sequence[str],
-    share: float = 0.01,
-    salts: int = 64,
     hot_from: DataFrame | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
+    share: float = HOT_SHARE,
 ) -> DataFrame:
     """Left join to a lookup table with unique ``on`` keys; rows of hot keys are spread.
 
-    Hot keys of ``left`` get one of ``salts`` sub-keys from a hash of the ``spread``
-    columns (the row's identity, so a recomputed task places a row where it was), and
-    only their lookup rows are repeated. All other keys join as usual, and Spark still
-    broadcasts a lookup it measures as small. ``share`` bounds the hot list at 1/share.
+    A hot key is split into as many sub-keys as its rows need tasks, by a hash of the
+    ``spread`` columns (the row's identity, so a recomputed task places a row where it
+    was). Only the lookup rows of hot keys are repeated, once per sub-key. All other
+    keys join as usual, and Spark still broadcasts a lookup it measures as small.
     ``hot_from`` is a cheaper frame with the same keys as ``left`` (before earlier
     lookups), so that finding hot keys does not repeat those joins.
     """
     on = list(on)
-    hot = hot_keys(left if hot_from is None else hot_from, on, share).select(F.struct(*on).alias("_g"), F.lit(True).alias("_hot"))
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    hot = hot_keys(left if hot_from is None else hot_from, on, rows_per_task, share)
+    hot = hot.select(F.struct(*on).alias("_g"), "_tasks")
+    tasks = F.coalesce(F.col("_tasks"), F.lit(1))
+    sub_key = F.when(tasks > 1, F.pmod(F.xxhash64(*spread), tasks).cast("int")).otherwise(F.lit(0))
 
     def marked(df: DataFrame) -> DataFrame:
-        return with_group(df, on)[0].join(F.broadcast(hot), "_g", "left").drop("_g")  # < 1/share rows
+        return with_group(df, on)[0].join(F.broadcast(hot), "_g", "left").drop("_g")  # fewer than 1/share rows
 
-    spread_rows = marked(left).withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
-    repeated = marked(right).withColumn("_salt", F.explode(copies)).drop("_hot")
-    return spread_rows.join(repeated, [*on, "_salt"], "left").drop("_salt")
+    rows = marked(left).withColumn("_sub", sub_key).drop("_tasks")
+    repeated = marked(right).withColumn("_sub", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("_tasks")
+    return rows.join(repeated, [*on, "_sub"], "left").drop("_sub")
 
 
 def number_copies(df: DataFrame, name: str = "copy", chunk: int = 65_536) -> DataFrame:

@@ -101,7 +101,7 @@ def skewed(spark):
 def test_lookup_join_keeps_every_row(spark, partitions):
     left, right = skewed(spark), spark.range(0, 9000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     right = right.unionByName(spark.createDataFrame([(1, 2)], "k long, v long"))
-    got = lookup_join(left, right, ["k"], ["row"]).orderBy("row").collect()
+    got = lookup_join(left, right, ["k"], ["row"], rows_per_task=200).orderBy("row").collect()
     want = left.join(right, "k", "left").select("k", "row", "v").orderBy("row").collect()
     assert [(r["row"], r["k"], r["v"]) for r in got] == [(r["row"], r["k"], r["v"]) for r in want]
 
@@ -113,7 +113,7 @@ def test_hot_rows_are_spread_over_tasks(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = lookup_join(left, right, ["k"], ["row"]).withColumn("p", F.spark_partition_id())
+        joined = lookup_join(left, right, ["k"], ["row"], rows_per_task=100).withColumn("p", F.spark_partition_id())
         sizes = [r["n"] for r in joined.groupBy("p").agg(F.count("*").alias("n")).collect()]
     finally:
         for key, value in before.items():
@@ -122,10 +122,15 @@ def test_hot_rows_are_spread_over_tasks(spark):
     assert max(sizes) < 9000 / 3
 
 
-def test_hot_key_list_is_bounded(spark):
-    rows = spark.range(1000).select((F.col("id") % 40).alias("k"))
-    assert hot_keys(rows, ["k"], 0.01).count() == 40
-    assert hot_keys(rows, ["k"], 0.03).count() == 0
+def test_hot_keys_get_as_many_tasks_as_they_need(spark):
+    rows = skewed(spark)
+    hot = {r["k"]: r["_tasks"] for r in hot_keys(rows, ["k"], rows_per_task=1000).collect()}
+    assert hot == {1: 4, None: 3}
+    assert hot_keys(rows, ["k"]).count() == 0
+    # with a share of 1 %, no more than 100 keys can be hot
+    even = spark.range(1000).select((F.col("id") % 40).alias("k"))
+    assert hot_keys(even, ["k"], rows_per_task=1, share=0.01).count() == 40
+    assert hot_keys(even, ["k"], rows_per_task=1, share=0.03).count() == 0
 
 
 def test_number_copies_of_a_large_group(spark):
