@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from exposurekit.catalog.views import Views
 from exposurekit.config import DEFAULTS
+from exposurekit.plans import studies
 from exposurekit.plans import tables as plans
 from exposurekit.session import cut_lineage, fresh_path, shared_folder
 from exposurekit.sources import sinks, tables
@@ -120,3 +121,38 @@ def test_gift_table_has_every_session(v):
     table = plans.gift_table(v.gift(), v.user(), v.streamer(), v.room(), Views.room_order)
     assert table.count() == v.gift().select(*plans.KEYS).distinct().count()
     assert {r["gift_tier"] for r in table.select("gift_tier").distinct().collect()} <= {"Low", "Mid", "High"}
+
+
+def test_from_raw_files_to_a_split_table(spark, v):
+    """CSV logs and attribute files with extra columns, through the table, to disjoint parts."""
+    raw = fresh_path(spark, "raw")
+    log = v.log().withColumn("watch_live_time", F.lit(1))
+    sinks.write_table(log.filter("clicked = 1").drop("clicked"), f"{raw}/click", "csv")
+    sinks.write_table(log.filter("clicked = 0").drop("clicked"), f"{raw}/negative", "csv")
+    sinks.write_table(v.user().withColumn("fans_num", F.col("user_id") % 50), f"{raw}/user", "csv")
+    sinks.write_table(v.streamer(), f"{raw}/streamer", "csv")
+    sinks.write_table(v.room(), f"{raw}/room", "csv")
+    exposures = tables.exposures(
+        *[tables.read_table(spark, f"{raw}/{f}", tables.INTERACTION) for f in ("click", "negative")]
+    )
+    table = plans.history_table(
+        exposures,
+        tables.read_dim(spark, f"{raw}/user", tables.USER, numbers=True),
+        tables.read_dim(spark, f"{raw}/streamer", tables.STREAMER, numbers=True),
+        tables.read_dim(spark, f"{raw}/room", tables.ROOM),
+        ["start_timestamp", "end_timestamp", "live_content_category"],
+        replace(DEFAULTS, history_per_class=400),
+    )
+    assert {"u_fans_num", "u_age", "s_country", "s_device_price"} <= set(table.columns)
+    assert not [c for c in table.columns if "onehot" in c]
+    path = fresh_path(spark, "history")
+    sinks.write_table(table, path)
+    stored = tables.read_modeling(spark, path)
+    parts = studies.split_table(stored, train=500, test=200)
+    assert [parts[p].count() for p in ("train", "test", "pool")] == [500, 200, 100]
+    rates = v.spark.createDataFrame(
+        [(r["user_id"], r["user_ctr"]) for r in stored.select("user_id", "user_ctr").distinct().collect()], "user_id long, r double"
+    )
+    direct = plans.history_table(v.log(), v.user(), v.streamer(), v.room(), Views.room_order, replace(DEFAULTS, history_per_class=400))
+    both = direct.join(rates, "user_id")
+    assert both.count() == 800 and both.filter("abs(user_ctr - r) > 1e-12").count() == 0
