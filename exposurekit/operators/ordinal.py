@@ -26,15 +26,13 @@ ROWS_PER_VALUE_BUCKET = 1_000  # until the maximum is reached
 
 def text_key(columns: Sequence[str]) -> Column:
     """One text made of several columns; missing values stay distinguishable."""
-    if len(columns) == 1:
-        return F.col(columns[0]).cast("string")
     return F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
 
 
 def seeded_key(identity: Column, seed: int | str | Column) -> Column:
     """Portable pseudo-random sort key of a row: md5 of ``seed:identity``."""
     seed = seed if isinstance(seed, Column) else F.lit(str(seed))
-    return F.md5(F.concat(seed.cast("string"), F.lit(":"), identity.cast("string")))
+    return F.md5(F.concat(seed.cast("string"), F.lit(":"), F.coalesce(identity.cast("string"), F.lit("~"))))
 
 
 def hash_bucket(key: Column, digits: int = HASH_DIGITS) -> Column:

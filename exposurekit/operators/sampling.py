@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .ordinal import cut_points, exact_quantiles, seeded_key, text_key, with_ordinal
 from .profile import unpivot_text
+from .skew import repeat_rows
 
 
 def first_per_class(
@@ -51,8 +52,8 @@ def first_per_class(
     for cls, cut in found.items():
         if cut["room"]:
             edge = pool.filter((F.col(label) == cls) & (order == cut["cut_key"])).dropDuplicates(list(identity))
-            copies = edge.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(cut["room"])))).drop("_i")
-            sample = sample.unionByName(copies)
+            copies = repeat_rows(edge.withColumn("_room", F.lit(cut["room"])), "_room", "_copy")
+            sample = sample.unionByName(copies.drop("_copy"))
     return sample
 
 

@@ -58,23 +58,32 @@ def lookup_join(
     return rows.join(repeated, [*on, "_sub"], "left").drop("_sub")
 
 
-def number_copies(df: DataFrame, name: str = "copy", chunk: int = 65_536) -> DataFrame:
-    """Number identical rows 0, 1, 2, ... without sorting a group of copies in one task.
+CHUNK = 65_536
 
-    Copies are counted (partial counts combine map-side) and written out again from
-    the count. Groups beyond ``chunk`` copies are first split into chunks that are
+
+def repeat_rows(df: DataFrame, times: str, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Every row as often as its ``times`` column says, numbered from 0 in ``name``; ``times`` is dropped.
+
+    Rows to repeat more than ``chunk`` times are split into chunks first, which are
     spread over the cluster.
     """
-    columns = df.columns
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    few = counted.filter(F.col("_n") <= chunk).withColumn(
-        name, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
-    )
+    zero, step = F.lit(0).cast("long"), F.lit(chunk).cast("long")
+    n = F.col(times).cast("long")
+    few = df.filter((n > 0) & (n <= chunk)).withColumn(name, F.explode(F.sequence(zero, n - 1)))
     many = (
-        counted.filter(F.col("_n") > chunk)
-        .withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(chunk).cast("long"))))
-        .repartition("_first", *columns)
-        .withColumn(name, F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + chunk, F.col("_n")) - 1)))
+        df.filter(n > chunk)
+        .withColumn("_first", F.explode(F.sequence(zero, n - 1, step)))
+        .repartition("_first", *[c for c in df.columns if c != times])
+        .withColumn(name, F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + step, n) - 1)))
         .drop("_first")
     )
-    return few.unionByName(many).select(*columns, name)
+    return few.unionByName(many).drop(times)
+
+
+def number_copies(df: DataFrame, name: str = "copy", chunk: int = CHUNK) -> DataFrame:
+    """Number identical rows 0, 1, 2, ... without sorting a group of copies in one task.
+
+    Copies are counted (partial counts combine map-side) and written out again from
+    the count.
+    """
+    return repeat_rows(df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")), "_n", name, chunk)
