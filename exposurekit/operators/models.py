@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -78,16 +81,28 @@ def group_ablation(
     groups: Mapping[str, Sequence[str]],
     label: str = "clicked",
     learners: Mapping[str, Callable[[Encoder, DataFrame], Scorer]] = LEARNERS,
+    parallelism: int = 4,
 ) -> DataFrame:
-    """``group, model, metric, value`` for every feature group and learner."""
-    out = None
-    for group, features in groups.items():
+    """``group, model, metric, value`` for every feature group and learner.
+
+    Fits are independent of each other; up to ``parallelism`` of them run at a time, as in
+    Spark ML's own model selection.
+    """
+
+    def encode(features: Sequence[str]) -> tuple[Encoder, DataFrame]:
         encoder = encode_train_fit(train, features)
-        encoded = training_set(encoder, train, label)
-        for name, fit in learners.items():
-            scorer = fit(encoder, encoded)
-            # predictions are written once; each metric reads two columns of them
-            scored = cut_lineage(scorer.predict(test).select(F.col(label).alias("y"), "prob", "hard"), "scored")
-            part = evaluate(scored, "y").select(F.lit(group).alias("group"), F.lit(name).alias("model"), "metric", "value")
-            out = part if out is None else out.unionByName(part)
-    return out
+        return encoder, training_set(encoder, train, label)
+
+    def score(job: tuple[str, str]) -> DataFrame:
+        group, name = job
+        scorer = learners[name](*encoded[group])
+        # predictions are written once; each metric reads two columns of them
+        scored = cut_lineage(scorer.predict(test).select(F.col(label).alias("y"), "prob", "hard"), "scored")
+        return evaluate(scored, "y").select(F.lit(group).alias("group"), F.lit(name).alias("model"), "metric", "value")
+
+    spark = train.sparkSession
+    jobs = [(group, name) for group in groups for name in learners]
+    with ThreadPool(parallelism) as pool:
+        encoded = dict(zip(groups, pool.map(inheritable_thread_target(spark)(encode), groups.values())))
+        parts = pool.map(inheritable_thread_target(spark)(score), jobs, chunksize=1)
+    return reduce(DataFrame.unionByName, parts)
