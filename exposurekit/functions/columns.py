@@ -66,7 +66,10 @@ def fill_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
 
 
 def decimal_text(value: Column) -> Column:
-    """Shortest text of a double: plain digits from 1e-4 up to 1e16, exponent outside."""
+    """Shortest text of a double: plain digits from 1e-4 up to 1e16, exponent outside.
+
+    Same as Python's below 1e16; from there on, older Java versions may print a digit more.
+    """
     java = value.cast("string")
     magnitude = F.abs(value)
     plain = F.regexp_replace(F.regexp_replace(java.cast("decimal(38,21)").cast("string"), "0+$", ""), "\\.$", ".0")

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +21,15 @@ def test_numbers_print_as_in_python(spark):
     assert got == want
 
 
+def test_random_numbers_print_as_in_python(spark):
+    rng = random.Random(1)
+    numbers = [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 15) for _ in range(3000)]
+    numbers += [round(rng.uniform(0, 1e9), 2) for _ in range(1000)] + [float(rng.randint(0, 10**15)) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(numbers)), "i int, x double")
+    got = df.select("i", C.decimal_text(F.col("x")).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in got] == [repr(x) for x in numbers]
+
+
 def texts(spark, values):
     return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "row_id int, text string")
 
