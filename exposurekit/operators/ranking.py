@@ -45,9 +45,10 @@ def permutation_importance(
 ) -> DataFrame:
     """``slot, loss``: mean accuracy lost when one encoded column is permuted, over ``repeats`` permutations.
 
-    A permutation matches the rows' seeded order with a second one per (slot, repeat).
-    Only the permuted values move; rows whose value stays the same keep their
-    prediction and are not scored again. All slots and repeats are one job.
+    A permutation matches the rows' seeded order with a second one; every repeat has its
+    own, used for each column in turn. A row meets its donor row once per repeat; only
+    columns in which the two differ are swapped and scored again, the others keep their
+    prediction. All columns and repeats are one job.
     """
     vector = scorer.encoder.output
     encoded = scorer.encoder.transform(test.select(row_id, label, *scorer.encoder.features)).select(
@@ -55,23 +56,23 @@ def permutation_importance(
     )
     base = cut_lineage(scorer.score_encoded(encoded.withColumn("_v", vector_to_array(vector))).drop("prob"), "base")
     slots = sorted(used_slots(scorer.model))
-    tries = F.sequence(F.lit(0), F.lit(repeats - 1))
-    values = F.array(*[F.struct(F.lit(s).alias("slot"), F.col("_v")[s].alias("value")) for s in slots])
-
-    def by_slot_and_try(df: DataFrame, *extra: str) -> DataFrame:
-        long = df.select(row_id, *extra, F.explode(values).alias("_s"))
-        return long.select(row_id, *extra, "_s.slot", "_s.value", F.explode(tries).alias("repeat"))
-
-    donors = by_slot_and_try(base).withColumn("_seed", F.concat_ws(":", F.lit(str(seed)), "slot", "repeat"))
-    donors = with_ordinal(donors, row_id, F.col("_seed"), by=["slot", "repeat"]).select(
-        "slot", "repeat", "ordinal", F.col("value").alias("_new")
+    takers = with_ordinal(base, row_id, f"{seed}:rows")
+    donors = base.select(row_id, F.col("_v").alias("_donor"), F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
+    donors = donors.withColumn("_seed", F.concat_ws(":", F.lit(str(seed)), "repeat"))
+    donors = with_ordinal(donors, row_id, F.col("_seed"), by=["repeat"]).select("ordinal", "_donor")
+    swaps = F.array_compact(
+        F.array(
+            *[
+                F.when(F.col("_v")[s] != F.col("_donor")[s], F.struct(F.lit(s).alias("slot"), F.col("_donor")[s].alias("new")))
+                for s in slots
+            ]
+        )
+    )
+    changed = takers.join(donors, "ordinal").select("_y", "_v", F.col("hard").alias("_before"), F.explode(swaps).alias("_s"))
+    swapped = F.transform("_v", lambda x, i: F.when(i == F.col("_s.slot"), F.col("_s.new")).otherwise(x))
+    rescored = scorer.score_encoded(
+        changed.select(F.col("_s.slot").alias("slot"), "_y", "_before", array_to_vector(swapped).alias(vector))
     )
-    takers = by_slot_and_try(with_ordinal(base, row_id, f"{seed}:rows"), "ordinal")
-    moved = takers.join(donors, ["slot", "repeat", "ordinal"]).filter(F.col("_new") != F.col("value"))
-    # whole vectors travel only to rows that did change
-    changed = moved.select(row_id, "slot", "_new").join(base.withColumnRenamed("hard", "_before"), row_id)
-    swapped = F.transform("_v", lambda x, i: F.when(i == F.col("slot"), F.col("_new")).otherwise(x))
-    rescored = scorer.score_encoded(changed.select("slot", "_y", "_before", array_to_vector(swapped).alias(vector)))
     lost = (F.col("_before") == F.col("_y")).cast("int") - (F.col("hard") == F.col("_y")).cast("int")
     n = base.agg(F.count(F.lit(1)).alias("n")).scalar()
     return rescored.groupBy("slot").agg(F.sum(lost).alias("_lost")).select(

@@ -87,27 +87,31 @@ def test_rankings_put_the_signal_first(spark, planted):
 
 
 def test_permutation_importance_equals_the_mean_over_plain_permutations(planted):
-    """Losing a value to a random other row costs what full re-scoring says, within sampling error."""
+    """Sixty permutations cost what sixty plain ones cost, within sampling error."""
     train, test, encoder, encoded = planted
     scorer = models.fit_sparse_tree(encoder, encoded)
-    got = {r["slot"]: r["loss"] for r in ranking.permutation_importance(scorer, test, repeats=5).collect()}
+    got = {r["slot"]: r["loss"] for r in ranking.permutation_importance(scorer, test, repeats=60).collect()}
     matrix = vectors(encoder, test)
     y = np.array([r["clicked"] for r in test.collect()])
     slot = encoder.slots.index("signal")
     spark = test.sparkSession
-    rng, losses = np.random.default_rng(0), []
+    rng = np.random.default_rng(0)
     from pyspark.ml.linalg import Vectors
 
-    def accuracy(m):
-        rows = spark.createDataFrame([(Vectors.dense(r),) for r in m], ["features"])
-        return np.mean([r["hard"] for r in scorer.score_encoded(rows).collect()] == y)
-
-    base = accuracy(matrix)
-    for _ in range(5):
-        shuffled = matrix.copy()
-        shuffled[:, slot] = rng.permutation(shuffled[:, slot])
-        losses.append(base - accuracy(shuffled))
-    assert got[slot] == pytest.approx(np.mean(losses), abs=0.04)
+    def accuracies(tables):
+        rows = spark.createDataFrame(
+            [(t, Vectors.dense(r), int(label)) for t, m in enumerate(tables) for r, label in zip(m, y)],
+            ["t", "features", "y"],
+        )
+        right = scorer.score_encoded(rows).groupBy("t").agg(F.avg((F.col("hard") == F.col("y")).cast("double")).alias("a"))
+        return np.array([r["a"] for r in right.orderBy("t").collect()])
+
+    shuffled = [matrix]
+    for _ in range(60):
+        shuffled.append(matrix.copy())
+        shuffled[-1][:, slot] = rng.permutation(matrix[:, slot])
+    scores = accuracies(shuffled)
+    assert got[slot] == pytest.approx(scores[0] - scores[1:].mean(), abs=0.015)
 
 
 def test_ablation_turns_whole_numbers_into_means(planted):
