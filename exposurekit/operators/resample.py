@@ -8,7 +8,7 @@ of at most 2**(columns) rows, whatever n is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,25 +35,34 @@ def replicates(cells: DataFrame, columns: Sequence[str], draws: int, tasks: int
     return spark.range(0, tasks, 1, tasks).select(first.alias("first"), last.alias("last"), table.alias("cells"))
 
 
-def drawn_counts(batch: pd.DataFrame, columns: Sequence[str], seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(cell matrix, drawn counts) per replicate; each replicate has its own seed sequence."""
-    for first, last, cells in zip(batch["first"], batch["last"], batch["cells"]):
-        matrix = np.array([[c[k] for k in columns] for c in cells], dtype=np.int64).reshape(-1, len(columns))
-        counts = np.array([c["n"] for c in cells], dtype=np.int64)
-        n = int(counts.sum())
-        for b in range(first, last) if n else ():
-            rng = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, b])))
-            yield matrix, rng.multinomial(n, counts / n)
+def resampling_task(columns: Sequence[str], seed: int, statistics: Callable, name: str) -> Callable:
+    """The step that runs on executors: draw each replicate's cell counts, emit its statistics.
 
+    Everything it calls is nested in it, so it travels as a whole and executors need
+    only numpy and pandas. Each replicate has its own seed sequence.
+    """
 
-def macro_f1(y: np.ndarray, p: np.ndarray, w: np.ndarray) -> float:
-    scores = []
-    for cls in (0, 1):
-        hit = w[(y == cls) & (p == cls)].sum()
-        size = w[y == cls].sum() + w[p == cls].sum()
-        if size:
-            scores.append(2.0 * hit / size)
-    return float(np.mean(scores))
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for first, last, cells in zip(batch["first"], batch["last"], batch["cells"]):
+                matrix = np.array([[c[k] for k in columns] for c in cells], dtype=np.int64).reshape(-1, len(columns))
+                counts = np.array([c["n"] for c in cells], dtype=np.int64)
+                n = int(counts.sum())
+                for b in range(first, last) if n else ():
+                    rng = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, b])))
+                    out += statistics(matrix, rng.multinomial(n, counts / n))
+            yield pd.DataFrame(out, columns=[name, "metric", "value"])
+
+    return task
+
+
+def summarize(rows: DataFrame, columns: Sequence[str], draws: int, tasks: int | None, task: Callable, name: str) -> DataFrame:
+    """Mean and population deviation of each statistic over the replicates."""
+    drawn = replicates(joint_cells(rows, columns), columns, draws, tasks).mapInPandas(
+        task, f"{name} string, metric string, value double"
+    )
+    return drawn.groupBy(name, "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
 
 
 def bootstrap_scores(
@@ -65,19 +74,23 @@ def bootstrap_scores(
     """
     columns = [y, *scorers]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for m, w in drawn_counts(batch, columns, seed):
-                for j, scorer in enumerate(scorers, start=1):
-                    out.append((scorer, "acc", float(w[m[:, 0] == m[:, j]].sum() / w.sum())))
-                    out.append((scorer, "f1_macro", macro_f1(m[:, 0], m[:, j], w)))
-            yield pd.DataFrame(out, columns=["scorer", "metric", "value"])
-
-    drawn = replicates(joint_cells(preds, columns), columns, draws, tasks).mapInPandas(
-        score, "scorer string, metric string, value double"
-    )
-    return drawn.groupBy("scorer", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    def macro_f1(truth: np.ndarray, pred: np.ndarray, w: np.ndarray) -> float:
+        scores = []
+        for cls in (0, 1):
+            size = w[truth == cls].sum() + w[pred == cls].sum()
+            if size:
+                scores.append(2.0 * w[(truth == cls) & (pred == cls)].sum() / size)
+        return float(np.mean(scores))
+
+    def statistics(m: np.ndarray, w: np.ndarray) -> list[tuple]:
+        out = []
+        for j, scorer in enumerate(columns[1:], start=1):
+            out.append((scorer, "acc", float(w[m[:, 0] == m[:, j]].sum() / w.sum())))
+            out.append((scorer, "f1_macro", macro_f1(m[:, 0], m[:, j], w)))
+        return out
+
+    task = resampling_task(columns, seed, statistics, "scorer")
+    return summarize(preds, columns, draws, tasks, task, "scorer")
 
 
 def bootstrap_explanations(
@@ -94,18 +107,15 @@ def bootstrap_explanations(
     0/1 columns (correct after deletion, prediction unchanged after perturbation).
     """
     columns = [base, *[c for pair in methods.values() for c in pair]]
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for m, w in drawn_counts(batch, columns, seed):
-                shares = (w[:, None] * m).sum(axis=0) / w.sum()
-                for i, name in enumerate(methods):
-                    out.append((name, "drop", float(shares[0] - shares[1 + 2 * i])))
-                    out.append((name, "stability", float(shares[2 + 2 * i])))
-            yield pd.DataFrame(out, columns=["method", "metric", "value"])
-
-    drawn = replicates(joint_cells(vectors, columns), columns, draws, tasks).mapInPandas(
-        score, "method string, metric string, value double"
-    )
-    return drawn.groupBy("method", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    names = list(methods)
+
+    def statistics(m: np.ndarray, w: np.ndarray) -> list[tuple]:
+        shares = (w[:, None] * m).sum(axis=0) / w.sum()
+        out = []
+        for i, name in enumerate(names):
+            out.append((name, "drop", float(shares[0] - shares[1 + 2 * i])))
+            out.append((name, "stability", float(shares[2 + 2 * i])))
+        return out
+
+    task = resampling_task(columns, seed, statistics, "method")
+    return summarize(vectors, columns, draws, tasks, task, "method")

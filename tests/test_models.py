@@ -1,5 +1,10 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -177,3 +182,12 @@ def test_too_many_columns_are_refused(spark):
     df = spark.range(1).select(*[F.lit(1).alias(f"c{i}") for i in range(18)])
     with pytest.raises(ValueError):
         resample.joint_cells(df, df.columns)
+
+
+def test_the_executor_step_needs_nothing_of_this_package(tmp_path):
+    """Executors may not have the package; the step must load without it."""
+    task = resample.resampling_task(["y", "a"], 1, lambda m, w: [("a", "acc", 1.0)], "scorer")
+    code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(task), cwd=tmp_path, env=env, check=False)
+    assert done.returncode == 0
