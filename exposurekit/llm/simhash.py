@@ -18,6 +18,8 @@ smallest id that is there.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -80,18 +82,20 @@ def _segment(fp: Column, low: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
 
 
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+
+def _hole(first: Column, bits: Column) -> Callable[[Column], Column]:
+    return lambda i: F.struct((first + i).alias("hole"), bits.bitwiseAND(F.bitwise_not(_bit(i))).alias("rest"))
+
+
 def variants(prints: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
     """(segment, hole, rest, fp): every segment with each of its bits left out."""
-    rows = []
-    for s, (low, width) in enumerate(parts):
-        keys = F.transform(
-            F.sequence(F.lit(0), F.lit(width - 1)),
-            lambda i, s=s, low=low, width=width: F.struct(
-                (F.lit(64 * s) + i).alias("hole"),
-                _segment(F.col("fp"), low, width).bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), i))).alias("rest"),
-            ),
-        )
-        rows.append(keys)
+    rows = [
+        F.transform(F.sequence(F.lit(0), F.lit(width - 1)), _hole(F.lit(64 * s), _segment(F.col("fp"), low, width)))
+        for s, (low, width) in enumerate(parts)
+    ]
     return prints.select("fp", F.explode(F.concat(*rows)).alias("k")).select("k.hole", "k.rest", "fp")
 
 
@@ -130,7 +134,7 @@ def _stars(crowd: DataFrame, max_bits: int) -> DataFrame:
     """
     if max_bits == 0:
         return crowd.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(_bit(i)))
     if max_bits == 1:
         near = crowd.select(F.col("fp").alias("a"), F.explode(flips).alias("fp"))
         return near.join(crowd, "fp").select("a", F.col("fp").alias("b")).filter("a < b")
