@@ -45,6 +45,13 @@ def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers)
 
 
+def values_of(a: pa.Array) -> list[bytes]:
+    """A large_binary array as ``to_pylist`` gives it, an order of magnitude faster."""
+    offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1].tolist()
+    content = a.buffers()[2].to_pybytes()
+    return [content[low:high] for low, high in zip(offsets, offsets[1:])]
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of a batch with about ``limit`` bytes of text each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, simhash, token_files
+from . import langid, packing, simhash, token_files
+from .common import fold
 from .registry import query, table
 
 
@@ -21,3 +23,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_simhash_near_duplicates")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.predict(docs, model, ["doc_id", "held_out"])

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .common import binary_array, byte_view, ragged
+from .common import binary_array, byte_view, ragged, values_of
 
 MAX_PIECES = 1_000_000  # pieces a task remembers; beyond it starts afresh (ids do not depend on it)
 
@@ -113,7 +113,7 @@ class Encoder:
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(cut)
         pieces = binary_array(data, np.append(starts, len(data))).dictionary_encode()
-        distinct = _bytes(pieces.dictionary)
+        distinct = values_of(pieces.dictionary)
         if len(self.known) + len(distinct) > self.max_pieces:
             self._forget()
         new = [p for p in distinct if p not in self.known]
@@ -125,13 +125,6 @@ class Encoder:
         return self.ids[ragged(self.starts[slot], lengths)], np.diff(ends[np.searchsorted(starts, offsets)])
 
 
-def _bytes(a: pa.Array) -> list[bytes]:
-    """As ``to_pylist``, an order of magnitude faster."""
-    offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1].tolist()
-    content = a.buffers()[2].to_pybytes()
-    return [content[low:high] for low, high in zip(offsets, offsets[1:])]
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One per Python worker, so that later tasks find the pieces of earlier ones."""
