@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, simhash, token_files
+from . import langid, mixing, packing, simhash, token_files
 from .common import fold
 from .registry import query, table
 
@@ -30,3 +30,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
     model = langid.fit(docs.filter(~F.col("held_out")))
     return langid.predict(docs, model, ["doc_id", "held_out"])
+
+
+@query("op4_weighted_fair_mixing", mixing.ORACLE)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
