@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, simhash, token_files
+from . import langid, mixing, packing, simhash, syncmers, token_files
 from .common import fold
 from .registry import query, table
 
@@ -35,3 +35,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_weighted_fair_mixing", mixing.ORACLE)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op10_closed_syncmers")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
