@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, simhash, syncmers, token_files
+from . import chat, langid, mixing, packing, simhash, syncmers, token_files
 from .common import fold
 from .registry import query, table
 
@@ -40,3 +40,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_closed_syncmers")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op6_perspective_rotation", chat.ORACLE)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.rotate(table(spark, sf_dir, "conversations")))
