@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, simhash, syncmers, token_files
+from . import chat, langid, lm, mixing, packing, simhash, syncmers, token_files
 from .common import fold
 from .registry import query, table
 
@@ -45,3 +45,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_perspective_rotation", chat.ORACLE)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.rotate(table(spark, sf_dir, "conversations")))
+
+
+@query("op1_log_bilinear_lm")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 7) == 2)
+    model = lm.fit(docs.filter(~F.col("held_out")))
+    return lm.score(docs, model, ["doc_id", "held_out"])
