@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, lm, mixing, packing, simhash, syncmers, token_files
+from . import chat, langid, lm, mixing, packing, simhash, syncmers, token_files, vectors
 from .common import fold
 from .registry import query, table
 
@@ -52,3 +52,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 7) == 2)
     model = lm.fit(docs.filter(~F.col("held_out")))
     return lm.score(docs, model, ["doc_id", "held_out"])
+
+
+@query("op8_nn_descent")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
