@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, lm, mixing, packing, simhash, syncmers, token_files, vectors
+from . import chat, langid, lm, mixing, packing, simhash, suffix, syncmers, token_files, vectors
 from .common import fold
 from .registry import query, table
 
@@ -57,3 +57,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_nn_descent")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, sf_dir, "documents"), length=100)
