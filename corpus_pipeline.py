@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from exposurekit.llm import stages
 from exposurekit.session import cut_lineage
 
-STAGES: list = []
+STAGES = [
+    ("language", stages.language),
+    ("near_duplicates", stages.near_duplicates),
+    ("repeated_passages", stages.repeated_passages),
+    ("mixed", stages.mixed),
+    ("packed", stages.packed),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # SimHash, language model and tokenizer are beyond SQL; tests hold run() against plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

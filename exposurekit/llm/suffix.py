@@ -24,11 +24,10 @@ Texts shorter than ``length`` keep everything. No rows: no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,13 +43,13 @@ FIRST = -(1 << 63)  # stands for a missing doc_id, which comes first
 ANCHOR = "a long, nb long, d long, tie long, lo int, span int"
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, d, tie): ``(d, tie)`` tells rows apart and orders them.
+def identified(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text, carried columns, d, tie): ``(d, tie)`` tells rows apart and orders them.
 
     Usually doc_id is enough. If it is missing or repeated, rows are written out once
     with a number, which then stays the same however often they are read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"), F.countDistinct("doc_id").alias("distinct")).first()
     keyed = docs.withColumn("d", F.coalesce("doc_id", F.lit(FIRST)))
     if row["n"] == row["distinct"]:
@@ -248,19 +247,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, bu
 KEPT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, bucket_bytes: int = BUCKET_BYTES, with_kept: bool = False) -> DataFrame:
-    """doc_id and ``KEPT`` of every document; with ``with_kept`` also the kept bytes and the removed spans (start, end)."""
-    rows = identified(docs)
+def without_repeats(
+    docs: DataFrame,
+    length: int = LENGTH,
+    crowd: int = CROWD,
+    bucket_bytes: int = BUCKET_BYTES,
+    with_kept: bool = False,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """doc_id, ``carry`` and ``KEPT`` of every document; with ``with_kept`` also the kept bytes, their text, and the removed spans (start, end).
+
+    ``kept_text`` leaves out what is left of characters that were cut through.
+    """
+    rows = identified(docs, carry)
+    names = ["doc_id", *carry]
+    carried = "".join(f", `{c}` {t}" for c, t in docs.select(*carry).dtypes) if carry else ""
     spans = stored(repeated_spans(rows, length, crowd, bucket_bytes), "suffix-spans")
     lists = spans.groupBy("d", "tie").agg(F.collect_list(F.struct("lo", "span")).alias("spans"))
-    extra = ", kept binary, removed array<struct<start:int,end:int>>" if with_kept else ""
+    real = ("kept", "kept_text", "removed") if with_kept else ()
+    extra = ", kept binary, kept_text string, removed array<struct<start:int,end:int>>" if with_kept else ""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = byte_view(part.column("text"))
                 found = part.column("spans")
-                out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", *(("kept", "removed") if with_kept else ()))}
+                out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", *real)}
                 for i, spans in enumerate(found):
                     text = data[offsets[i] : offsets[i + 1]]
                     change = np.zeros(len(text) + 1, np.int32)
@@ -273,17 +285,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, b
                     kept = text[~gone].tobytes() if len(edges) else text.tobytes()
                     values = [len(text), len(text) - len(kept), len(edges) // 2, hashlib.sha256(kept).hexdigest()]
                     if with_kept:
-                        values += [kept, [{"start": s, "end": e} for s, e in edges.reshape(-1, 2).tolist()]]
+                        values += [kept, kept.decode("utf-8", "ignore"), [{"start": s, "end": e} for s, e in edges.reshape(-1, 2).tolist()]]
                     for column, value in zip(out.values(), values):
                         column.append(value)
-                columns = {"doc_id": part.column("doc_id"), **out}
                 yield pa.RecordBatch.from_arrays(
-                    [columns["doc_id"], *[pa.array(columns[c], k) for c, k in _KINDS.items() if c in columns]],
-                    names=["doc_id", *[c for c in _KINDS if c in columns]],
+                    [*[part.column(c) for c in names], *[pa.array(values, _KINDS[c]) for c, values in out.items()]], names=[*names, *out]
                 )
 
-    joined = rows.join(lists, ["d", "tie"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(cut, "doc_id long, " + KEPT + extra)
+    joined = rows.join(lists, ["d", "tie"], "left").select(*names, "text", "spans")
+    return joined.mapInArrow(cut, f"doc_id long{carried}, {KEPT}{extra}")
 
 
 _KINDS = {
@@ -292,5 +302,6 @@ _KINDS = {
     "n_spans": pa.int64(),
     "kept_sha256": pa.string(),
     "kept": pa.binary(),
+    "kept_text": pa.string(),
     "removed": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])),
 }
