@@ -84,7 +84,8 @@ def gram_counts(words: DataFrame, longest: int = LONGEST) -> DataFrame:
         for batch in batches:
             for lang, word in zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist()):
                 marked = f"_{word}_"
-                for size in range(1, longest + 1):
+                count.update((lang, c) for c in word)  # the mark alone tells nothing
+                for size in range(2, longest + 1):
                     count.update((lang, marked[i : i + size]) for i in range(len(marked) - size + 1))
                 if len(count) > 300_000:
                     yield rows()

@@ -2,9 +2,9 @@
 
 Every partition packs its pieces by best-fit decreasing and compares the number of
 sequences with a lower bound from dual-feasible functions. A partition that meets its
-bound is done. The others give up the sequences that are not full; those pieces meet
-in fewer partitions, by another hash, and are packed anew, until one partition is
-left or nothing is gained. What is kept in each round is certified or full.
+bound is done. The others give up their least filled sequences, ``GIVEN_UP`` for every
+one above the bound; those pieces meet in fewer partitions, by another hash, and are
+packed anew, until one partition is left or all partitions meet their bounds.
 
 Pieces are (key columns, length); lengths are whole numbers from 1 to ``capacity``.
 Null or empty texts are documents of just the end id. Repeated rows are packed as
@@ -29,6 +29,7 @@ from .tokens import default_tokenizer, encoder
 CAPACITY = 2048
 PART_PIECES = 200_000  # pieces one task packs: a few MB
 ROUNDS = 6
+GIVEN_UP = 6
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -106,8 +107,10 @@ def pack(pieces: DataFrame, key: list[str], capacity: int = CAPACITY, part_piece
                 lengths = mine.column("length").to_numpy()
                 sequence, place, used = best_fit_decreasing(lengths, capacity)
                 filled = np.bincount(sequence, lengths, used)
-                certified = last or used <= lower_bound(lengths, capacity)
-                keep = np.ones(used, bool) if certified else filled == capacity
+                keep = np.ones(used, bool)
+                if not last:  # a sequence too many: give up the least filled ones, enough to put their pieces elsewhere
+                    gap = used - lower_bound(lengths, capacity)
+                    keep[np.argsort(filled, kind="stable")[: GIVEN_UP * gap]] = False
                 out = mine.drop_columns(["part"])
                 out = out.append_column("seq", pa.array(sequence * parts + part))
                 out = out.append_column("offset", pa.array(place)).append_column("done", pa.array(keep[sequence]))

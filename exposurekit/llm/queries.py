@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, langid, lm, mixing, packing, simhash, suffix, syncmers, token_files, vectors
 from .common import fold
-from .registry import query, table
+from .registry import ORACLES, QUERIES, query, table  # noqa: F401  (the full tables, once this module is read)
 
 
 @query("op2_token_files")

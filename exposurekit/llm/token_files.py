@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path
 from . import simple8b
-from .common import slices, stored
+from .common import SLICE_BYTES, slices, stored
 from .tokens import default_tokenizer, encoder
 
 MAGIC = 0x31423853
@@ -139,7 +139,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int, tokenizer: str
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", min(SLICE_BYTES, 4 * file_ids)):
                 ids, lengths = encode(rows.column("text"))
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
                 out.add(rows.column("doc_id").to_pylist(), ids, lengths + 1)
