@@ -20,14 +20,23 @@ from ..sources import sinks, tables
 from .registry import query
 from .views import Views
 
+
+
+def key_sql(*columns: str) -> str:
+    """The text that stands for a row: every value with its length before it."""
+    return "concat_ws('-', " + ", ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar, '~')" for c in columns) + ")"
+
+
+LOG_COLUMNS = ("user_id", "live_id", "streamer_id", "timestamp", "clicked")
+
 # ------------------------------------------------------------------ sources and sinks
 
 
 @query(
     "scan_exposures",
     "v_log",
-    """select user_id, live_id, streamer_id, timestamp, clicked::bigint clicked,
-       concat_ws('-', user_id, live_id, streamer_id, timestamp, clicked, copy) as row_id
+    f"""select user_id, live_id, streamer_id, timestamp, clicked::bigint clicked,
+       {key_sql(*LOG_COLUMNS, 'copy')} as row_id
        from (select *, row_number() over (partition by user_id, live_id, streamer_id, timestamp, clicked) - 1 as copy from v_log)""",
 )
 def scan_exposures(v: Views):
@@ -38,7 +47,8 @@ def scan_exposures(v: Views):
 @query(
     "scan_dims",
     "",
-    "select c_custkey, c_name, c_nationkey::bigint c_nationkey, round(c_acctbal, 6) c_acctbal, c_mktsegment from customer",
+    """select c_custkey, c_name, c_nationkey::bigint c_nationkey, round(c_acctbal, 6) c_acctbal, c_mktsegment, text as note
+       from customer left join documents on c_custkey = doc_id""",
 )
 def scan_dims(v: Views):
     schema = T.StructType(
@@ -48,9 +58,16 @@ def scan_dims(v: Views):
             T.StructField("c_nationkey", T.IntegerType()),
             T.StructField("c_acctbal", T.DoubleType()),
             T.StructField("c_mktsegment", T.StringType()),
+            T.StructField("note", T.StringType()),
         ]
     )
-    return tables.read_dim(v.spark, f"{v.dir}/customer.parquet", schema, fmt="parquet")
+    # a raw file as other tools write it: whole numbers with a point, free text, columns in another order
+    raw = v.table("customer").join(v.table("documents"), F.col("c_custkey") == F.col("doc_id"), "left").selectExpr(
+        "text as note", "c_name", "c_acctbal", "concat(c_custkey, '.0') as c_custkey", "c_mktsegment", "cast(c_nationkey as double) as c_nationkey"
+    )
+    path = fresh_path(v.spark, "raw-dims")
+    raw.write.options(**sinks.CSV_TEXT).csv(path)
+    return tables.read_dim(v.spark, path, schema)
 
 
 @query(
@@ -74,9 +91,14 @@ def scan_modeling_table(v: Views):
     return tables.read_modeling(v.spark, path)
 
 
-@query("sink_table", "v_modeling", MODELING_SQL)
+@query(
+    "sink_table",
+    "v_modeling",
+    MODELING_SQL.replace("timestamp from v_modeling", "timestamp, text, nullif(lang, 'en') lang from v_modeling left join documents on row_id = doc_id"),
+)
 def sink_table(v: Views):
-    path, table = fresh_path(v.spark, "modeling-csv"), v.modeling()
+    notes = v.table("documents").selectExpr("doc_id as row_id", "text", "nullif(lang, 'en') as lang")
+    path, table = fresh_path(v.spark, "modeling-csv"), v.modeling().join(notes, "row_id", "left")
     sinks.write_table(table, path, fmt="csv")
     return tables.read_modeling(v.spark, path, table.schema, fmt="csv")
 
@@ -328,12 +350,12 @@ def history_ctr(v: Views):
 
 # ------------------------------------------------------------------ whole tables
 
-LOG_KEY_SQL = "md5('42:' || concat_ws('-', user_id, live_id, streamer_id, timestamp, clicked))"
+LOG_KEY_SQL = f"md5('42:' || {key_sql(*LOG_COLUMNS)})"
 
 
 def sample_sql(source: str, quota: str) -> str:
     """The seeded sample of a log: first ``quota`` rows of each class."""
-    return f"""(select *, concat_ws('-', user_id, live_id, streamer_id, timestamp, clicked, copy) row_id from (
+    return f"""(select *, {key_sql(*LOG_COLUMNS, 'copy')} row_id from (
         select user_id, live_id, streamer_id, timestamp, clicked,
         row_number() over (partition by user_id, live_id, streamer_id, timestamp, clicked) - 1 copy,
         row_number() over (partition by clicked order by {LOG_KEY_SQL}) pos from {source}) where pos <= {quota})"""
@@ -518,9 +540,12 @@ def usage_cost(v: Views):
 @query(
     "budget_cut",
     "v_usage",
-    f"""select run, call, (coalesce(sum(tokens_in) over w, 0)::double / 1e6 * {PRICE_SQL['in']}
-       + coalesce(sum(tokens_out) over w, 0)::double / 1e6 * {PRICE_SQL['out']} > 1e0)::bigint as "over"
-       from v_usage window w as (partition by run order by call rows between unbounded preceding and 1 preceding)""",
+    """, priced as (select *,
+         case when model = 'gpt-4o' then 2.5 when model = 'gpt-4o-mini' then 0.15 when provider = 'credit' then 0 else 2.5 end::decimal(9, 3) as p_in,
+         case when model = 'gpt-4o' then 10 when model = 'gpt-4o-mini' then 0.6 when provider = 'credit' then 0 else 10 end::decimal(9, 3) as p_out
+         from v_usage)
+       select a.run, a.call, (coalesce(sum(b.tokens_in::decimal(18, 0) * b.p_in + b.tokens_out::decimal(18, 0) * b.p_out), 0) > 1000000)::bigint as "over"
+       from priced a left join priced b on a.run = b.run and b.call < a.call group by a.run, a.call""",
 )
 def budget_cut(v: Views):
     return cost.budget_cut(v.usage(), cap=1.0)
@@ -529,12 +554,13 @@ def budget_cut(v: Views):
 # --------------------------------------------------------------------------- sampling
 
 KEY_SQL = "md5('42:' || row_id::varchar)"
+SAMPLE_KEY_SQL = f"md5('42:' || {key_sql('row_id')})"
 
 
 @query(
     "balanced_sample",
     "v_events",
-    f"""select row_id, clicked::bigint clicked from (select *, row_number() over (partition by clicked order by {KEY_SQL}) pos
+    f"""select row_id, clicked::bigint clicked from (select *, row_number() over (partition by clicked order by {SAMPLE_KEY_SQL}) pos
        from v_events) where pos <= (select least(2000, count(*) filter (clicked = 1), count(*) filter (clicked = 0)) from v_events)""",
 )
 def balanced_sample(v: Views):
@@ -545,7 +571,7 @@ def balanced_sample(v: Views):
 @query(
     "balanced_sample_per_class",
     "v_exposures",
-    f"""select row_id, clicked::bigint clicked from (select *, row_number() over (partition by clicked order by {KEY_SQL}) pos
+    f"""select row_id, clicked::bigint clicked from (select *, row_number() over (partition by clicked order by {SAMPLE_KEY_SQL}) pos
        from v_exposures) where pos <= 30000""",
 )
 def balanced_sample_per_class(v: Views):
@@ -587,7 +613,7 @@ def dedupe_first(v: Views):
 @query(
     "prior_shift_resample",
     "v_events",
-    f"""select row_id, clicked::bigint clicked from (select *, row_number() over (partition by clicked order by {KEY_SQL}) pos
+    f"""select row_id, clicked::bigint clicked from (select *, row_number() over (partition by clicked order by {SAMPLE_KEY_SQL}) pos
        from v_events) where pos <= case when clicked = 1 then 558 else 1442 end""",
 )
 def prior_shift_resample(v: Views):

@@ -178,8 +178,8 @@ class Views:
         return self.table("events").selectExpr(
             "user_id as run",
             "event_id as call",
-            "case user_id % 3 when 0 then 'gpt-4o' when 1 then 'gpt-4o-mini' else 'other' end as model",
-            "case user_id % 2 when 0 then 'paid' else 'credit' end as provider",
+            "case event_id % 3 when 0 then 'gpt-4o' when 1 then 'gpt-4o-mini' else 'other' end as model",
+            "case event_id % 2 when 0 then 'paid' else 'credit' end as provider",
             "cast(round(value * 1000) as bigint) as tokens_in",
             "cast(round(value * 100) as bigint) as tokens_out",
         )
@@ -278,8 +278,8 @@ CTES: dict[str, tuple[Sequence[str], str]] = {
     ),
     "v_usage": (
         (),
-        """select user_id run, event_id call, case user_id % 3 when 0 then 'gpt-4o' when 1 then 'gpt-4o-mini' else 'other' end model,
-           case user_id % 2 when 0 then 'paid' else 'credit' end provider, cast(round(value * 1000) as bigint) tokens_in,
+        """select user_id run, event_id call, case event_id % 3 when 0 then 'gpt-4o' when 1 then 'gpt-4o-mini' else 'other' end model,
+           case event_id % 2 when 0 then 'paid' else 'credit' end provider, cast(round(value * 1000) as bigint) tokens_in,
            cast(round(value * 100) as bigint) tokens_out from events""",
     ),
     "v_cut": (

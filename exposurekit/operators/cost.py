@@ -50,17 +50,13 @@ def budget_cut(
 ) -> DataFrame:
     """``run, call, over``: whether the run had already spent more than ``cap`` before the call.
 
-    ``call`` numbers the calls of a run. Token sums are whole numbers, so the running
-    spend does not depend on how a long run is cut into buckets.
+    ``call`` numbers the calls of a run, which may use several models. Every call is
+    priced first, in whole billionths of a dollar, so the running spend does not depend on
+    how a long run is cut into buckets.
     """
-    p_in, p_out = (
-        token_price(F.col("model"), F.col("provider"), prices, d, credit_providers, fallback) for d in (0, 1)
-    )
-    # a run uses one model; its price is constant along the run
-    running = prefix_sums(
-        log.select("run", "call", "model", "provider", "tokens_in", "tokens_out"), "call", ["tokens_in", "tokens_out"], ["run"]
-    )
-    before_in = F.col("tokens_in_cum") - F.col("tokens_in")
-    before_out = F.col("tokens_out_cum") - F.col("tokens_out")
-    spent = before_in / 1e6 * p_in + before_out / 1e6 * p_out
-    return running.select("run", "call", (spent > F.lit(float(cap))).alias("over"))
+    billionths = F.lit(0).cast("long")
+    for direction, tokens in enumerate(("tokens_in", "tokens_out")):
+        price = token_price(F.col("model"), F.col("provider"), prices, direction, credit_providers, fallback)
+        billionths = billionths + F.coalesce(F.round(F.col(tokens) * price * 1000).cast("long"), F.lit(0))
+    running = prefix_sums(log.select("run", "call", billionths.alias("spent")), "call", ["spent"], ["run"])
+    return running.select("run", "call", (F.col("spent_cum") - F.col("spent") > F.lit(round(cap * 1e9))).alias("over"))

@@ -25,8 +25,17 @@ ROWS_PER_VALUE_BUCKET = 1_000  # until the maximum is reached
 
 
 def text_key(columns: Sequence[str]) -> Column:
-    """One text made of several columns; missing values stay distinguishable."""
-    return F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    """One text made of several columns, different for different rows.
+
+    Every part says how long it is, so no text can pass for another split of the same
+    characters; a missing value is ``~``, which is no length.
+    """
+
+    def part(c: str) -> Column:
+        text = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
+
+    return F.concat_ws("-", *[part(c) for c in columns])
 
 
 def seeded_key(identity: Column, seed: int | str | Column) -> Column:

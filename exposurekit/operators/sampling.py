@@ -51,7 +51,10 @@ def first_per_class(
     # the group of copies at a cut: one of them, written as often as there is room
     for cls, cut in found.items():
         if cut["room"]:
-            edge = pool.filter((F.col(label) == cls) & (order == cut["cut_key"])).dropDuplicates(list(identity))
+            others = [c for c in df.columns if c not in identity]
+            edge = pool.filter((F.col(label) == cls) & (order == cut["cut_key"])).groupBy(*identity)
+            edge = edge.agg(F.min(F.struct(*others)).alias("_rest")).select(*identity, "_rest.*") if others else edge.agg(F.lit(1)).select(*identity)
+            edge = edge.select(*df.columns)
             copies = repeat_rows(edge.withColumn("_room", F.lit(cut["room"])), "_room", "_copy")
             sample = sample.unionByName(copies.drop("_copy"))
     return sample

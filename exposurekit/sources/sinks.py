@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+# How this library writes CSV: quotes are doubled, blanks and line breaks kept, and a
+# missing value (a private-use character) differs from an empty text.
+CSV_TEXT = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+CSV_OWN = {**CSV_TEXT, "nullValue": "\ue000", "emptyValue": ""}
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(**{**CSV_OWN, "emptyValue": '""'}).csv(path)
     else:
         writer.format(fmt).save(path)
 

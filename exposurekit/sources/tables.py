@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.wording import STREAMER_FEATURES, USER_FEATURES
 from ..session import broadcast_if_small
+from .sinks import CSV_OWN, CSV_TEXT
 
 KEY_ROWS = 1_000_000
 
@@ -51,14 +52,50 @@ def missing_for_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
 
 
+def parsed(name: str, kind: T.DataType, strict: bool = True) -> Column:
+    """A CSV column as ``kind``. Whole numbers may come as ``12.0`` or ``1.7e12``; blank and ``nan`` are missing.
+
+    Any other text that is no such number stops the job, or with ``strict=False`` is missing.
+    """
+    text = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType):
+        return text
+    plain = F.trim(text)
+    if isinstance(kind, T.IntegralType):
+        exact = plain.try_cast(T.DecimalType(28, 9))  # room for every bigint, and for a part to be refused
+        whole = exact.try_cast(T.DecimalType(19, 0))
+        value = F.when(exact == whole, whole.try_cast(kind))
+    else:
+        value = plain.try_cast(kind)
+    blank = text.isNull() | F.lower(plain).isin("", "nan", "null", "none")
+    if not strict:
+        return F.when(~blank, value)
+    problem = F.raise_error(F.concat(F.lit(f"column {name} is not {kind.simpleString()}: "), text))
+    return F.when(blank, F.lit(None)).when(value.isNull(), problem.cast(kind)).otherwise(value)
+
+
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", columns: Sequence[str] | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    fmt: str = "csv",
+    columns: Sequence[str] | None = None,
+    strict: bool = True,
+    partial: bool = False,
 ) -> DataFrame:
-    """Read by name: a CSV with more columns, or in another order, still fits the schema."""
+    """Read by name: a CSV with more columns, or in another order, still fits the schema.
+
+    A column that a CSV lacks is an error, or, with ``partial``, left out. Texts may hold doubled quotes and line breaks;
+    files without text columns are split among tasks.
+    """
     if fmt == "csv":
-        header = spark.read.option("header", True).csv(path)
+        texts = any(isinstance(f.dataType, T.StringType) for f in schema.fields)
+        header = spark.read.options(**CSV_TEXT, multiLine=texts).csv(path)
+        absent = [f.name for f in schema.fields if f.name not in header.columns]
+        if absent and not partial:
+            raise ValueError(f"{path} has no column {', '.join(absent)}")
         # types apply per column, so the file's own column order does not matter
-        df = header.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields if f.name in header.columns])
+        df = header.select(*[parsed(f.name, f.dataType, strict).alias(f.name) for f in schema.fields if f.name not in absent])
     else:
         df = spark.read.schema(schema).format(fmt).load(path)
     if columns is not None:
@@ -95,9 +132,10 @@ def read_dim(
     fmt: str = "csv",
     columns: Sequence[str] | None = None,
     numbers: bool = False,
+    partial: bool = False,
 ) -> DataFrame:
     """A user, streamer, room or gift table; ``numbers`` turns purely numeric text columns into numbers."""
-    table = read_table(spark, path, schema, fmt, columns)
+    table = read_table(spark, path, schema, fmt, columns, partial=partial)
     return missing_for_nan(numeric_where_possible(table)) if numbers else table
 
 
@@ -130,12 +168,19 @@ def read_modeling(spark: SparkSession, path: str, schema: T.StructType | None =
     if fmt == "csv":
         if schema is None:
             raise ValueError("a CSV modelling table needs its schema")
-        return missing_for_nan(spark.read.schema(schema).option("header", True).csv(path))
-    return spark.read.parquet(path)
+        reader = spark.read.schema(schema).options(**CSV_OWN, multiLine=True, enforceSchema=False, mode="FAILFAST")
+        return missing_for_nan(reader.csv(path))
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return missing_for_nan(reader.parquet(path))
 
 
 def cached_rationales(spark: SparkSession, path: str, train: DataFrame, row_id: str = "row_id") -> DataFrame | None:
-    """Stored rationales of exactly the training rows, or None when any row lacks one."""
+    """Stored rationales of exactly the training rows, or None when any row lacks one.
+
+    Of several texts stored for a row the first by code point counts.
+    """
     stored = spark.read.schema(RATIONALE).json(path).withColumnRenamed("row_id", row_id)
-    kept = stored.join(train.select(row_id).distinct(), row_id, "left_semi").dropDuplicates([row_id])
-    return kept if kept.count() >= train.count() else None
+    first = stored.groupBy(row_id).agg(F.min(F.struct("rationale", "label")).alias("_r")).select(row_id, "_r.*")
+    wanted = train.select(row_id).distinct()
+    kept = first.join(wanted, row_id, "left_semi")
+    return kept if kept.count() >= wanted.count() else None

@@ -207,6 +207,15 @@ def test_usage_cost_and_fallback_prices(spark):
     assert got == {"a": (6, 2.1), "b": (1, 2.5), "c": (1, 0.0), "d": (1, 0.6)}
 
 
+def test_budget_cut_prices_every_call_by_its_model(spark):
+    calls = [("a", 0, "gpt-4o", "paid", 1_000_000, 0), ("a", 1, "gpt-4o-mini", "paid", 1_000_000, 0), ("a", 2, "gpt-4o-mini", "paid", 1, 1), ("a", 3, "own", "credit", 9, 9)]
+    log = spark.createDataFrame(calls, "run string, call long, model string, provider string, tokens_in long, tokens_out long")
+    over = lambda cap: [r.over for r in cost.budget_cut(log, cap).orderBy("call").collect()]
+    assert over(2.0) == [False, True, True, True]  # 2.50 dollars, then 0.15
+    assert over(2.6) == [False, False, True, True]
+    assert over(2.65) == [False, False, False, True]
+
+
 def test_budget_cut_looks_at_spend_before_the_call(spark):
     # 0.35 dollars a call: spent 0, .35, .70, 1.05, ... before calls 0, 1, 2, 3
     got = cost.budget_cut(usage(spark).filter("run = 'a'"), cap=0.7).orderBy("call").collect()

@@ -139,3 +139,13 @@ def test_number_copies_of_a_large_group(spark):
     counts = {r["x"]: (r["n"], r["d"], r["hi"]) for r in got.groupBy("x").agg(
         F.count("*").alias("n"), F.count_distinct("copy").alias("d"), F.max("copy").alias("hi")).collect()}
     assert counts == {"a": (300, 300, 299), "b": (2, 2, 1), None: (1, 1, 0)}
+
+
+def test_row_keys_differ_where_rows_do(spark):
+    from exposurekit.operators.ordinal import text_key
+    from exposurekit.operators.sampling import balanced_sample
+
+    rows = [("a-b", "c", 1), ("a", "b-c", 1), ("~", "c", 1), (None, "c", 1), ("", "c", 1), ("1:a", "", 0), ("1", "a", 0)]
+    df = spark.createDataFrame(rows, "a string, b string, y int")
+    assert df.select(text_key(["a", "b"]).alias("k")).distinct().count() == len(rows)
+    assert balanced_sample(df, "y", 1, ["a", "b"]).count() == 2

@@ -15,7 +15,8 @@ from exposurekit.sources import sinks, tables
 def test_csv_dimension_by_name(spark, tmp_path):
     path = tmp_path / "user.csv"
     path.write_text("onehot_feat0,age,user_id,gender\n1,18-23,5,M\n0,,6,\n")
-    out = tables.read_dim(spark, str(path), tables.USER)
+    schema = T.StructType([f for f in tables.USER.fields if f.name in ("user_id", "age", "gender")])
+    out = tables.read_dim(spark, str(path), schema)
     assert out.columns == ["user_id", "age", "gender"]
     assert sorted(tuple(r) for r in out.collect()) == [(5, "18-23", "M"), (6, None, None)]
 
@@ -23,7 +24,7 @@ def test_csv_dimension_by_name(spark, tmp_path):
 def test_numeric_attributes_become_numbers(spark, tmp_path):
     path = tmp_path / "user.csv"
     path.write_text("user_id,age,fans_num,follow_num,country\n5,18-23,7,7,\n6,24-30,8,,\n7,50+,9,2.5,\n")
-    out = tables.read_dim(spark, str(path), tables.USER, numbers=True)
+    out = tables.read_dim(spark, str(path), tables.USER, numbers=True, partial=True)
     kinds = {f.name: f.dataType.simpleString() for f in out.schema.fields}
     assert kinds == {"user_id": "bigint", "age": "string", "fans_num": "bigint", "follow_num": "double", "country": "string"}
     assert sorted(r["fans_num"] for r in out.collect()) == [7, 8, 9]
@@ -35,7 +36,7 @@ def test_exposures_from_files_use_four_columns(spark, tmp_path):
     logs = [tables.read_table(spark, str(tmp_path / f), tables.INTERACTION) for f in ("click.csv", "negative.csv")]
     rows = plans.identified(tables.exposures(*logs))
     got = sorted((r["row_id"], r["clicked"]) for r in rows.collect())
-    assert got == [("1-2-3-4-1-0", 1), ("1-2-3-5-0-0", 0), ("1-2-3-5-0-1", 0)]
+    assert got == [("1:1-1:2-1:3-1:4-1:1-1:0", 1), ("1:1-1:2-1:3-1:5-1:0-1:0", 0), ("1:1-1:2-1:3-1:5-1:0-1:1", 0)]
     assert rows.schema["timestamp"].dataType == T.LongType()
 
 
@@ -137,8 +138,8 @@ def test_from_raw_files_to_a_split_table(spark, v):
     )
     table = plans.history_table(
         exposures,
-        tables.read_dim(spark, f"{raw}/user", tables.USER, numbers=True),
-        tables.read_dim(spark, f"{raw}/streamer", tables.STREAMER, numbers=True),
+        tables.read_dim(spark, f"{raw}/user", tables.USER, numbers=True, partial=True),
+        tables.read_dim(spark, f"{raw}/streamer", tables.STREAMER, numbers=True, partial=True),
         tables.read_dim(spark, f"{raw}/room", tables.ROOM),
         ["start_timestamp", "end_timestamp", "live_content_category"],
         replace(DEFAULTS, history_per_class=400),
@@ -156,3 +157,46 @@ def test_from_raw_files_to_a_split_table(spark, v):
     direct = plans.history_table(v.log(), v.user(), v.streamer(), v.room(), Views.room_order, replace(DEFAULTS, history_per_class=400))
     both = direct.join(rates, "user_id")
     assert both.count() == 800 and both.filter("abs(user_ctr - r) > 1e-12").count() == 0
+
+
+AWKWARD = ["plain", "", None, " blanks ", 'say ""hi"", "now", 3', "line\nbreak", "tab\t,comma", "'", '"', "\\N", "nan", "é\u00a0x", '\\"', ",", "\n"]
+
+
+def test_own_csv_keeps_every_text(spark, tmp_path):
+    rows = [(i, t, float("nan") if i == 2 else i / 3) for i, t in enumerate(AWKWARD)]
+    df = spark.createDataFrame(rows, "id long, text string, x double")
+    sinks.write_table(df, str(tmp_path / "t"), fmt="csv")
+    got = {r.id: (r.text, r.x) for r in tables.read_modeling(spark, str(tmp_path / "t"), df.schema, fmt="csv").collect()}
+    assert got == {i: (t, None if i == 2 else x) for i, t, x in rows}
+
+
+def test_raw_csv_with_points_quotes_and_gaps(spark, tmp_path):
+    raw = tmp_path / "raw.csv"
+    raw.write_text('end,extra,id,name\n4,x,12.0,"say ""hi"", now"\n,y,1.7e3,"two\nlines"\nNaN,z,,\n')
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("end", T.DoubleType())])
+    got = sorted((tuple(r) for r in tables.read_table(spark, str(raw), schema).collect()), key=repr)
+    assert got == [(12, 'say "hi", now', 4.0), (1700, "two\nlines", None), (None, None, None)]
+
+
+def test_raw_csv_that_does_not_fit_is_an_error(spark, tmp_path):
+    raw = tmp_path / "raw.csv"
+    raw.write_text("id\n12.5\n7\n")
+    schema = T.StructType([T.StructField("id", T.LongType())])
+    with pytest.raises(Exception, match="column id is not bigint: 12.5"):
+        tables.read_table(spark, str(raw), schema).collect()
+    assert sorted(r.id or 0 for r in tables.read_table(spark, str(raw), schema, strict=False).collect()) == [0, 7]
+    with pytest.raises(ValueError, match="has no column other"):
+        tables.read_table(spark, str(raw), T.StructType([T.StructField("other", T.LongType())]))
+
+
+def test_modelling_table_has_no_nan(spark, tmp_path):
+    df = spark.createDataFrame([(1, float("nan")), (2, 3.0)], "id long, x double")
+    df.write.parquet(str(tmp_path / "p"))
+    assert {r.id: r.x for r in tables.read_modeling(spark, str(tmp_path / "p")).collect()} == {1: None, 2: 3.0}
+
+
+def test_stored_rationales_with_several_texts(spark, tmp_path):
+    rows = [("1", "b", 1), ("1", "a", 0), ("2", "c", 1)]
+    spark.createDataFrame(rows, "row_id string, rationale string, label int").write.json(str(tmp_path / "r"))
+    got = tables.cached_rationales(spark, str(tmp_path / "r"), spark.createDataFrame([("1",), ("2",), ("2",)], "row_id string"))
+    assert sorted(tuple(r) for r in got.collect()) == [("1", "a", 0), ("2", "c", 1)]
