@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +40,7 @@ def model_rows(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def entries(encoder: Encoder, rows: DataFrame) -> DataFrame:
-    """Non-zero vector entries: row_id, position, value."""
-    vectors = encoder.transform(rows.select("row_id", *encoder.features))
-    return vectors.select("row_id", F.posexplode(vector_to_array(encoder.output)).alias("position", "value")).filter(
-        F.col("value") != 0
-    )
+    return encoder.entries(rows)
 
 
 def encoding_sql(categorical, numeric, source: str, flagged=()) -> str:

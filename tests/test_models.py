@@ -56,10 +56,25 @@ def test_encoder_variants(planted):
     assert text.numeric == () and len(text.slots) == 7
 
 
-def test_too_many_levels_are_refused(planted):
-    train, _, _, _ = planted
-    with pytest.raises(ValueError, match="levels"):
-        encode.fit_encoder(train, ["color", "level"], [], max_levels=5)
+def test_a_million_levels_go_through_a_join(spark):
+    rows = spark.range(1_000_000).select(F.col("id").alias("row_id"), F.col("id").cast("string").alias("t"), F.lit(1.0).alias("x"))
+    encoder = encode.fit_encoder(rows, ["t", "x"], ["x"])
+    assert encoder.sizes == {"t": 1_000_000} and len(encoder.slots) == 1_000_001 and encoder.slots[999_999] == "t" and encoder.slots[1_000_000] == "x"
+    entries = encoder.entries(rows)
+    plan = entries._jdf.queryExecution().executedPlan().toString()
+    assert not [w for w in ("UDF", "Python", "posexplode") if w in plan]
+    got = entries.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("position").alias("d"), F.sum("value").alias("v")).first()
+    assert tuple(got) == (2_000_000, 1_000_001, 2_000_000.0)
+
+
+def test_entries_are_those_of_the_vector(planted):
+    _, test, encoder, _ = planted
+    odd = test.withColumn("row_id", F.xxhash64(*test.columns))
+    dense = {r.row_id: r.v for r in encoder.transform(odd).select("row_id", vector_to_array("features").alias("v")).collect()}
+    sparse = {}
+    for r in encoder.entries(odd).collect():
+        sparse.setdefault(r.row_id, {})[r.position] = r.value
+    assert {k: {i: x for i, x in enumerate(v) if x} for k, v in dense.items()} == sparse
 
 
 @pytest.mark.parametrize("fit", [models.fit_logreg, models.fit_sparse_tree, lambda e, t: models.fit_gbt(e, t, rounds=10)])
