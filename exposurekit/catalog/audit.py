@@ -278,6 +278,36 @@ def error_overlap(v: Views):
     return ensemble.error_overlap(v.predictions(), "h_a", "h_b")
 
 
-@query("bootstrap_prediction")
+@query(
+    "bootstrap_prediction",
+    "v_predictions",
+    """select scorer, 'acc' metric, round(acc, 6) true_value, 1::bigint mean_near, 1::bigint sd_near from (
+         select 'h_a' scorer, avg((h_a = y)::int) acc from v_predictions union all select 'h_b', avg((h_b = y)::int) from v_predictions)
+       union all select scorer, 'f1_macro', round((2e0 * tp / (2 * tp + fp + fn) + 2e0 * tn / (2 * tn + fp + fn)) / 2, 6), 1, 1 from (
+         select scorer, count(*) filter (h = 1 and y = 1) tp, count(*) filter (h = 0 and y = 0) tn,
+           count(*) filter (h = 1 and y = 0) fp, count(*) filter (h = 0 and y = 1) fn
+         from (select 'h_a' scorer, h_a h, y from v_predictions union all select 'h_b', h_b, y from v_predictions) group by scorer)""",
+)
 def bootstrap_prediction(v: Views):
-    return resample.bootstrap_scores(v.predictions(), ["h_a", "h_b"], DEFAULTS.bootstrap_draws, DEFAULTS.seed)
+    """Bootstrap means beside the true values; the deviation of accuracy beside sqrt(p (1 - p) / n)."""
+    rows = v.predictions()
+    drawn = resample.bootstrap_scores(rows, ["h_a", "h_b"], DEFAULTS.bootstrap_draws, DEFAULTS.seed)
+    parts = []
+    for scorer in ("h_a", "h_b"):
+        scored = rows.select(F.col(scorer).alias("hard"), "y")
+        cells = metrics.confusion(scored, "y")
+        n = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
+        report = cells.select(metrics.accuracy().alias("acc"), metrics.f1_macro().alias("f1_macro"), n.alias("n"))
+        parts.append(report.unpivot("n", ["acc", "f1_macro"], "metric", "true_value").withColumn("scorer", F.lit(scorer)))
+    p, draws = F.col("true_value"), DEFAULTS.bootstrap_draws
+    expected = F.sqrt(p * (1 - p) / F.col("n"))
+    # macro-F1 of a resample is not unbiased: its mean may be off by a tenth of a deviation
+    slack = F.when(F.col("metric") == "acc", 6 * expected / F.sqrt(F.lit(draws))).otherwise(0.2 * F.col("sd"))
+    sd_near = F.when(F.col("metric") == "acc", F.abs(F.col("sd") - expected) <= 6 * expected / F.sqrt(F.lit(2 * draws)))
+    return drawn.join(parts[0].unionByName(parts[1]), ["scorer", "metric"]).select(
+        "scorer",
+        "metric",
+        "true_value",
+        (F.abs(F.col("mean") - p) <= slack).cast("int").alias("mean_near"),
+        sd_near.otherwise(F.col("sd") > 0).cast("int").alias("sd_near"),
+    )

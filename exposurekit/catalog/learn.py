@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
@@ -95,36 +97,65 @@ def fitted(v: Views, fit) -> tuple[models.Scorer, DataFrame, DataFrame]:
     return fit(encoder, models.training_set(encoder, train, "clicked")), train, test
 
 
-def predictions_of(v: Views, fit) -> DataFrame:
+TEST_SQL = f"""{MODEL_ROWS_SQL}, test as (select * from rows where part = 'test')"""
+
+
+def test_facts(v: Views, fit) -> DataFrame:
+    """Every test row with what must hold of any sound fit: classes follow probabilities, and accuracy beats the larger class."""
     scorer, _, test = fitted(v, fit)
-    return scorer.predict(test).select("row_id", "clicked", "prob", "hard")
+    scored = cut_lineage(scorer.predict(test).select("row_id", "clicked", "prob", "hard"), "fit-facts")
+    right = F.avg((F.col("hard") == F.col("clicked")).cast("double"))
+    share = F.avg(F.col("clicked").cast("double"))
+    learned = scored.agg((right > F.greatest(share, 1 - share)).cast("int").alias("learned")).scalar()
+    return scored.select(
+        "row_id",
+        "clicked",
+        F.col("prob").between(0, 1).cast("int").alias("inside"),
+        (F.col("hard") == (F.col("prob") >= 0.5).cast("int")).cast("int").alias("follows"),
+        learned.alias("learned"),
+    )
+
 
+FIT_SQL = f""", {TEST_SQL} select row_id, clicked::bigint clicked, 1::bigint inside, 1::bigint follows, 1::bigint learned from test"""
 
-@query("fit_logreg")
+
+@query("fit_logreg", MODEL_VIEWS, FIT_SQL)
 def fit_logreg(v: Views):
-    return predictions_of(v, models.fit_logreg)
+    return test_facts(v, models.fit_logreg)
 
 
-@query("fit_gbt")
+@query("fit_gbt", MODEL_VIEWS, FIT_SQL)
 def fit_gbt(v: Views):
-    return predictions_of(v, models.fit_gbt)
+    return test_facts(v, models.fit_gbt)
 
 
-@query("fit_sparse_tree")
+@query("fit_sparse_tree", MODEL_VIEWS, FIT_SQL)
 def fit_sparse_tree(v: Views):
-    return predictions_of(v, models.fit_sparse_tree)
+    return test_facts(v, models.fit_sparse_tree)
+
+
+def ranking_facts(order: DataFrame) -> DataFrame:
+    """Every feature once, whether it leads, and whether ranks count up while importances fall."""
+    ahead = Window.partitionBy("method").orderBy("rank")  # a ranking has as many rows as there are features
+    sound = (F.col("rank") == F.row_number().over(ahead)) & (F.col("importance") <= F.coalesce(F.lag("importance").over(ahead), F.col("importance")))
+    return order.select("method", "feature", (F.col("rank") == 1).cast("int").alias("leads"), sound.cast("int").alias("sound"))
+
+
+def ranking_facts_sql(method: str) -> str:
+    rows = ", ".join(f"('{f}')" for f in FEATURES)
+    return f"select '{method}' as method, feature, (feature = 'r_score')::bigint leads, 1::bigint sound from (values {rows}) t(feature)"
 
 
-@query("tree_importance_ranking")
+@query("tree_importance_ranking", "", ranking_facts_sql("SparseTree"))
 def tree_importance_ranking(v: Views):
     scorer, _, _ = fitted(v, models.fit_sparse_tree)
-    return ranking.tree_importance_ranking(v.spark, scorer)
+    return ranking_facts(ranking.tree_importance_ranking(v.spark, scorer))
 
 
-@query("permutation_ranking")
+@query("permutation_ranking", "", ranking_facts_sql("Permutation"))
 def permutation_ranking(v: Views):
     scorer, _, test = fitted(v, models.fit_sparse_tree)
-    return ranking.permutation_ranking(scorer, test, seed=DEFAULTS.seed)
+    return ranking_facts(ranking.permutation_ranking(scorer, test, seed=DEFAULTS.seed))
 
 
 ABLATED = ("u_age", "s_country", "r_value")
@@ -145,47 +176,158 @@ def ablate(v: Views):
     return neutral.select("row_id", "u_age", "u_gender", "s_country", "r_value", "r_score")
 
 
-@query("group_ablation")
+GROUPS = ("static_only", "score_only", "full")
+
+
+@query(
+    "group_ablation",
+    "",
+    f"""select "group", model, metric, 1::bigint inside, (metric = 'auc' and "group" <> 'static_only')::bigint separates
+       from (values {", ".join(f"('{g}')" for g in GROUPS)}) g("group"), (values {", ".join(f"('{m}')" for m in models.LEARNERS)}) m(model),
+       (values ('acc'), ('f1'), ('auc'), ('ap')) x(metric)""",
+)
 def group_ablation(v: Views):
+    """Quality per group and learner as facts: shares lie in 0..1, and only groups with the signal separate the classes."""
     _, train, test = model_rows(v)
     static = [f for f in FEATURES if f != "r_score"]
-    return models.group_ablation(train, test, {"static_only": static, "score_only": ["r_score"], "full": FEATURES})
+    groups = dict(zip(GROUPS, (static, ["r_score"], FEATURES)))
+    found = models.group_ablation(train, test, groups, encoding=encode.encode_union_fit)
+    separates = (F.col("metric") == "auc") & (F.col("value") > 0.7)
+    return found.select("group", "model", "metric", F.col("value").between(0, 1).cast("int").alias("inside"), separates.cast("int").alias("separates"))
+
+
+# A stated rule in place of a fit: every row's prediction, and so each table, can be had in SQL.
+RULE = models.StatedScorer(
+    models.StatedInputs(tuple(FEATURES), NUMERIC),
+    base=0.05,
+    numbers={"r_score": 0.8, "r_value": 0.0004},
+    levels={("u_age", "18-23"): 0.06, ("u_age", "50+"): -0.05, ("s_country", "3"): 0.07, ("u_gender", "F"): 0.02},
+)
+BOTTOM = 3
+
+
+def rankings_of_rule(spark) -> DataFrame:
+    """Three rankings: by the rule's own weights, a stated text in reverse order, and the random control."""
+    text = spark.createDataFrame([("Stated", "\n".join(reversed(FEATURES)))], "text_id string, text string")
+    stated = responses.parse_ranking(text, FEATURES).select(F.col("text_id").alias("method"), "feature", "rank", F.lit(0.0).alias("importance"))
+    weights = {"r_score": 0.8, "s_country": 0.07, "u_age": 0.06, "u_gender": 0.02, "r_value": 0.0004}
+    own = ranking.as_ranking(spark, "Rule", FEATURES, weights)
+    return own.unionByName(stated).unionByName(ranking.random_ranking(spark, FEATURES, DEFAULTS.seed))
+
+
+ORDERS = {
+    "Rule": ("r_score", "s_country", "u_age", "u_gender", "r_value", "u_device_price", "r_spend"),
+    "Stated": tuple(reversed(FEATURES)),
+    "Random": tuple(sorted(FEATURES, key=lambda f: hashlib.md5(f"{DEFAULTS.seed}:{f}".encode()).hexdigest())),
+}
+
+
+def rule_sql(age: str, gender: str, country: str, value: str, score: str) -> str:
+    return f"""(round(least(1e0, greatest(0e0, 0.05e0 + 0.8e0 * coalesce({score}, 0e0) + 0.0004e0 * coalesce({value}, 0e0)
+      + case when {age} = '18-23' then 0.06e0 when {age} = '50+' then -0.05e0 else 0e0 end
+      + case when {country} = 3 then 0.07e0 else 0e0 end + case when {gender} = 'F' then 0.02e0 else 0e0 end)), 6) >= 0.5e0)::int"""
+
+
+def outcomes_sql() -> str:
+    """outcomes(method, kind, k, row_id, correct, same, base_correct) of every deletion and perturbation."""
+    rows = []
+    for method, order in ORDERS.items():
+        for kind, k, killed in [*(("deletion", k, order[:k]) for k in DEFAULTS.deletion_ks), ("stability", BOTTOM, order[-BOTTOM:])]:
+            flags = ", ".join(str(f in killed).lower() for f in ("u_age", "u_gender", "s_country", "r_value", "r_score"))
+            rows.append(f"('{method}', '{kind}', {k}, {flags})")
+    mode = lambda c: f"(select {c} from train where {c} is not null group by 1 order by count(*) desc, {c} limit 1)"
+    pick = lambda c: f"case when no_{c} then m_{c} else {c} end"
+    changed = rule_sql(*[pick(c) for c in ("u_age", "u_gender", "s_country", "r_value", "r_score")])
+    return f"""{TEST_SQL}, train as (select * from rows where part = 'train'),
+      neutral as (select {mode('u_age')} m_u_age, {mode('u_gender')} m_u_gender, {mode('s_country')} m_s_country,
+        (select avg(r_value) from train) m_r_value, (select avg(r_score) from train) m_r_score),
+      variants(method, kind, k, no_u_age, no_u_gender, no_s_country, no_r_value, no_r_score) as (values {', '.join(rows)}),
+      judged as (select method, kind, k, row_id, clicked, {rule_sql('u_age', 'u_gender', 's_country', 'r_value', 'r_score')} base, {changed} hard
+        from test cross join neutral cross join variants),
+      outcomes as (select method, kind, k, row_id, (hard = clicked)::int correct, (hard = base)::int same, (base = clicked)::int base_correct from judged)"""
 
 
 def studied(v: Views) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, rankings) of three rankings of one model: its tree, permutation, and a stated list."""
-    scorer, train, test = fitted(v, models.fit_sparse_tree)
-    stated = responses.parse_ranking(
-        v.spark.createDataFrame([("Stated", "\n".join(reversed(FEATURES)))], "text_id string, text string"), FEATURES
-    ).select(F.col("text_id").alias("method"), "feature", "rank", F.lit(0.0).alias("importance"))
-    rankings = (
-        ranking.tree_importance_ranking(v.spark, scorer)
-        .unionByName(ranking.permutation_ranking(scorer, test, seed=DEFAULTS.seed))
-        .unionByName(stated)
-    )
+    """(outcomes, rankings) of the stated rule."""
+    _, train, test = model_rows(v)
+    rankings = rankings_of_rule(v.spark)
     impute = profile.impute_values(train, NUMERIC, CATEGORICAL)
-    outcomes = ranking.variant_outcomes(scorer, test, rankings, impute, DEFAULTS.deletion_ks, bottom=3)
-    return outcomes, rankings
+    return ranking.variant_outcomes(RULE, test, rankings, impute, DEFAULTS.deletion_ks, bottom=BOTTOM), rankings
+
+
+DELETIONS_SQL = """select method, k::bigint k, round(avg(correct), 6) acc, round(avg(base_correct) - avg(correct), 6) as "drop"
+    from outcomes where kind = 'deletion' group by method, k"""
+STABILITY_SQL = "select method, round(avg(same), 6) as share from outcomes where kind = 'stability' group by method"
 
 
-@query("single_deletion")
+@query("single_deletion", MODEL_VIEWS, f", {outcomes_sql()} {DELETIONS_SQL}")
 def single_deletion(v: Views):
     return ranking.single_deletion(studied(v)[0])
 
 
-@query("stability")
+@query("stability", MODEL_VIEWS, f", {outcomes_sql()} {STABILITY_SQL}")
 def stability(v: Views):
     return ranking.stability(studied(v)[0])
 
 
-@query("explanation_quality_table")
+TOPS = ", ".join(f"('{m}', '{o[0]}', '{','.join(o[:8])}')" for m, o in ORDERS.items())
+
+
+@query(
+    "explanation_quality_table",
+    MODEL_VIEWS,
+    f""", {outcomes_sql()}, deletions as ({DELETIONS_SQL}), stable as ({STABILITY_SQL}), tops(method, top1, top) as (values {TOPS})
+      select method, top1, top, max(acc) filter (k = 1) del1, max(acc) filter (k = 3) del3, max(acc) filter (k = 5) del5,
+      max("drop") filter (k = 5) drop_at_5, any_value(share) stability
+      from tops join deletions using (method) join stable using (method) group by method, top1, top""",
+)
 def explanation_quality_table(v: Views):
     return ranking.explanation_quality(*studied(v))
 
 
-@query("bootstrap_explanation")
+@query("explanation_quality_fitted")
+def explanation_quality_fitted(v: Views):
+    """The same table for a fitted tree with its own, the permutation, and the random ranking."""
+    scorer, train, test = fitted(v, models.fit_sparse_tree)
+    rankings = (
+        ranking.tree_importance_ranking(v.spark, scorer)
+        .unionByName(ranking.permutation_ranking(scorer, test, seed=DEFAULTS.seed))
+        .unionByName(ranking.random_ranking(v.spark, FEATURES, DEFAULTS.seed))
+    )
+    impute = profile.impute_values(train, NUMERIC, CATEGORICAL)
+    return ranking.explanation_quality(ranking.variant_outcomes(scorer, test, rankings, impute, DEFAULTS.deletion_ks, bottom=BOTTOM), rankings)
+
+
+@query(
+    "bootstrap_explanation",
+    MODEL_VIEWS,
+    f""", {outcomes_sql()}, found as (
+        select method, 'drop' metric, avg(base_correct - correct) true_value from outcomes where kind = 'deletion' and k = 5 group by method
+        union all select method, 'stability', avg(same) from outcomes where kind = 'stability' group by method)
+      select method, metric, round(true_value, 6) true_value, 1::bigint mean_near, 1::bigint sd_near from found""",
+)
 def bootstrap_explanation(v: Views):
-    methods = ("SparseTree", "Permutation", "Stated")
-    vectors = ranking.outcome_vectors(studied(v)[0], methods)
+    """Bootstrap mean and deviation beside the value and the deviation that theory gives."""
+    methods = tuple(ORDERS)
+    outcomes = studied(v)[0]
+    vectors = ranking.outcome_vectors(outcomes, methods)
     columns = {m: (f"del_{i}", f"same_{i}") for i, m in enumerate(methods)}
-    return resample.bootstrap_explanations(vectors, "base_correct", columns, DEFAULTS.bootstrap_draws, DEFAULTS.seed)
+    drawn = resample.bootstrap_explanations(vectors, "base_correct", columns, DEFAULTS.bootstrap_draws, DEFAULTS.seed)
+    deleted = F.when((F.col("kind") == "deletion") & (F.col("k") == 5), F.col("base_correct") - F.col("correct"))
+    theory = [
+        outcomes.groupBy("method").agg(F.avg(x).alias("true_value"), F.stddev_pop(x).alias("sd_row"), F.count(x).alias("n")).withColumn("metric", F.lit(name))
+        for name, x in (("drop", deleted), ("stability", F.when(F.col("kind") == "stability", F.col("same"))))
+    ]
+    return near_theory(drawn, theory[0].unionByName(theory[1]), ["method", "metric"])
+
+
+def near_theory(drawn: DataFrame, theory: DataFrame, on: list[str]) -> DataFrame:
+    """Within six Monte-Carlo errors of the mean and the deviation of a mean of n rows."""
+    sd = F.col("sd_row") / F.sqrt("n")
+    draws = DEFAULTS.bootstrap_draws
+    return drawn.join(theory, on).select(
+        *on,
+        "true_value",
+        (F.abs(F.col("mean") - F.col("true_value")) <= 6 * sd / F.sqrt(F.lit(draws))).cast("int").alias("mean_near"),
+        (F.abs(F.col("sd") - sd) <= 6 * sd / F.sqrt(F.lit(2 * draws)) + 1e-9).cast("int").alias("sd_near"),
+    )

@@ -37,6 +37,36 @@ class Scorer:
         return self.score_encoded(self.encoder.transform(df))
 
 
+@dataclass(frozen=True)
+class StatedInputs:
+    """What a scorer without a fitted encoder looks at."""
+
+    features: tuple[str, ...]
+    numeric: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class StatedScorer:
+    """A stated linear rule behind the same interface: weights of numbers and of levels, cut off to 0..1.
+
+    A missing number counts as 0. Probabilities have 6 digits.
+    """
+
+    encoder: StatedInputs
+    base: float
+    numbers: Mapping[str, float]
+    levels: Mapping[tuple[str, str], float]
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        total = F.lit(float(self.base))
+        for f, weight in self.numbers.items():
+            total = total + F.lit(float(weight)) * F.coalesce(F.col(f).cast("double"), F.lit(0.0))
+        for (f, level), weight in self.levels.items():
+            total = total + F.when(F.col(f).cast("string") == level, F.lit(float(weight))).otherwise(F.lit(0.0))
+        prob = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 6)
+        return df.withColumn("prob", prob).withColumn("hard", threshold(F.col("prob")))
+
+
 def training_set(encoder: Encoder, train: DataFrame, label: str) -> DataFrame:
     """Encoded rows on disk in the shared folder: every pass of a fit reads them from there."""
     encoded = encoder.transform(train).select(encoder.output, F.col(label).cast("double").alias("label"))
@@ -52,8 +82,26 @@ def fit_logreg(encoder: Encoder, encoded: DataFrame, max_iter: int = 2000, tol:
     return Scorer(encoder, learner.fit(encoded))
 
 
-def fit_gbt(encoder: Encoder, encoded: DataFrame, seed: int = 42, rounds: int = 100) -> Scorer:
-    return Scorer(encoder, GBTClassifier(maxIter=rounds, stepSize=0.1, seed=seed).fit(encoded))
+EARLY_STOP_ROWS = 10_000
+
+
+def fit_gbt(
+    encoder: Encoder,
+    encoded: DataFrame,
+    seed: int = 42,
+    rounds: int = 100,
+    bins: int = 255,
+    early_stop_rows: int = EARLY_STOP_ROWS,
+    validation_share: float = 0.1,
+    tol: float = 1e-3,
+) -> Scorer:
+    """Boosted trees. From ``early_stop_rows`` rows on a seeded share of them validates and stops the rounds."""
+    learner = GBTClassifier(maxIter=rounds, stepSize=0.1, seed=seed, maxBins=bins)
+    if encoded.count() >= early_stop_rows:
+        share = F.pmod(F.xxhash64(F.lit(seed), encoder.output, "label"), F.lit(10_000))
+        encoded = encoded.withColumn("_held", share < F.lit(int(10_000 * validation_share)))
+        learner = learner.setValidationIndicatorCol("_held").setValidationTol(tol)
+    return Scorer(encoder, learner.fit(encoded))
 
 
 def fit_sparse_tree(encoder: Encoder, encoded: DataFrame, depth: int = 6, seed: int = 42) -> Scorer:
@@ -82,15 +130,18 @@ def group_ablation(
     label: str = "clicked",
     learners: Mapping[str, Callable[[Encoder, DataFrame], Scorer]] = LEARNERS,
     parallelism: int = 4,
+    encoding: Callable[[DataFrame, DataFrame, Sequence[str]], Encoder] = lambda train, test, features: encode_train_fit(train, features),
 ) -> DataFrame:
     """``group, model, metric, value`` for every feature group and learner.
 
+    ``encoding`` makes an encoder of (train, test, features), for example ``encode_union_fit``.
+
     Fits are independent of each other; up to ``parallelism`` of them run at a time, as in
     Spark ML's own model selection.
     """
 
     def encode(features: Sequence[str]) -> tuple[Encoder, DataFrame]:
-        encoder = encode_train_fit(train, features)
+        encoder = encoding(train, test, features)
         return encoder, training_set(encoder, train, label)
 
     def score(job: tuple[str, str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,6 +22,12 @@ def as_ranking(spark, method: str, features: Sequence[str], importance: Mapping[
     return spark.createDataFrame(rows, "method string, feature string, rank int, importance double")
 
 
+def random_ranking(spark, features: Sequence[str], seed: int = 42, method: str = "Random") -> DataFrame:
+    """A control: features in the md5 order of ``seed:feature``."""
+    order = sorted(features, key=lambda f: hashlib.md5(f"{seed}:{f}".encode()).hexdigest())
+    return as_ranking(spark, method, order, {})
+
+
 def per_feature(slots: Sequence[str], values: Mapping[int, float]) -> dict[str, float]:
     """Sum of slot values by the feature behind each slot."""
     out: dict[str, float] = {}
