@@ -738,8 +738,9 @@ def placebo_shuffle(v: Views):
     return sampling.placebo_shuffle(v.rationales(), "row_id", "rationale", DEFAULTS.placebo_seed)
 
 
-RANKING_SQL = """ranked as (select o_orderpriority as method, l_suppkey::varchar as feature,
-    row_number() over (partition by o_orderpriority order by count(*) desc, l_suppkey) "rank" from lines group by o_orderpriority, l_suppkey)"""
+RANKING_SQL = """ranked as (select o_orderpriority as method, l_quantity::bigint::varchar as feature,
+    row_number() over (partition by o_orderpriority order by count(*) desc, l_quantity::bigint) "rank" from lines
+    group by o_orderpriority, l_quantity::bigint)"""
 
 
 @query(
@@ -751,9 +752,9 @@ RANKING_SQL = """ranked as (select o_orderpriority as method, l_suppkey::varchar
        where "rank" > (select count(*) from ranked s where s.method = r.method) - 10""",
 )
 def top_k_features(v: Views):
-    counts = v.lines().groupBy(F.col("o_orderpriority").alias("method"), "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    # one row per (priority, supplier)
-    order = Window.partitionBy("method").orderBy(F.desc("n"), "l_suppkey")
-    ranked = counts.select("method", F.col("l_suppkey").cast("string").alias("feature"), F.row_number().over(order).alias("rank"))
+    quantity = F.col("l_quantity").cast("bigint").alias("quantity")  # 50 values at every table size
+    counts = v.lines().groupBy(F.col("o_orderpriority").alias("method"), quantity).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("method").orderBy(F.desc("n"), "quantity")
+    ranked = counts.select("method", F.col("quantity").cast("string").alias("feature"), F.row_number().over(order).alias("rank"))
     top = sampling.top_k(ranked, 5).withColumn("part", F.lit("top"))
     return top.unionByName(sampling.top_k(ranked, 10, tail=True).withColumn("part", F.lit("bottom")))

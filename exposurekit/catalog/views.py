@@ -145,12 +145,9 @@ class Views:
 
     def scored(self) -> DataFrame:
         """Both scorers in long form: row_id, scorer, y, prob, hard."""
-        wide = self.predictions()
-        parts = [
-            wide.select("row_id", F.lit(s).alias("scorer"), "y", F.col(f"p_{s}").alias("prob"), F.col(f"h_{s}").alias("hard"))
-            for s in ("a", "b")
-        ]
-        return parts[0].unionByName(parts[1])
+        each = [F.struct(F.lit(s).alias("scorer"), F.col(f"p_{s}").alias("prob"), F.col(f"h_{s}").alias("hard")) for s in ("a", "b")]
+        both = self.predictions().select("row_id", "y", F.explode(F.array(*each)).alias("s"))
+        return both.select("row_id", "s.scorer", "y", "s.prob", "s.hard")
 
     def iterations(self) -> DataFrame:
         step = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("iteration")

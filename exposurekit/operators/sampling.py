@@ -16,6 +16,8 @@ from .ordinal import cut_points, exact_quantiles, seeded_key, text_key, with_ord
 from .profile import unpivot_text
 from .skew import repeat_rows
 
+TASK_ROWS = 1_000  # beyond it Spark no longer ranks inside tasks before a shuffle
+
 
 def first_per_class(
     df: DataFrame,
@@ -48,16 +50,18 @@ def first_per_class(
     sample = pool.filter(kept)
     if unique:
         return sample
-    # the group of copies at a cut: one of them, written as often as there is room
+    # the groups of copies at the cuts, in one pass: one row of each, written as often as there is room
+    room = F.lit(None)
     for cls, cut in found.items():
         if cut["room"]:
-            others = [c for c in df.columns if c not in identity]
-            edge = pool.filter((F.col(label) == cls) & (order == cut["cut_key"])).groupBy(*identity)
-            edge = edge.agg(F.min(F.struct(*others)).alias("_rest")).select(*identity, "_rest.*") if others else edge.agg(F.lit(1)).select(*identity)
-            edge = edge.select(*df.columns)
-            copies = repeat_rows(edge.withColumn("_room", F.lit(cut["room"])), "_room", "_copy")
-            sample = sample.unionByName(copies.drop("_copy"))
-    return sample
+            room = F.when((F.col(label) == cls) & (order == cut["cut_key"]), F.lit(cut["room"])).otherwise(room)
+    if not any(cut["room"] for cut in found.values()):
+        return sample
+    others = [c for c in df.columns if c not in identity]
+    edge = pool.withColumn("_room", room).filter(F.col("_room").isNotNull()).groupBy(*identity, "_room")
+    edge = edge.agg(F.min(F.struct(*others)).alias("_rest")).select(*identity, "_room", "_rest.*") if others else edge.agg(F.lit(1)).select(*identity, "_room")
+    copies = repeat_rows(edge.select(*df.columns, "_room"), "_room", "_copy")
+    return sample.unionByName(copies.drop("_copy"))
 
 
 def balanced_sample(
@@ -135,17 +139,27 @@ def error_sample(
 def first_rows(df: DataFrame, k: int, row_id: str, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """First ``k`` rows per group with their position among the group's rows.
 
-    Meant for the short row lists that prompts show. Each task keeps its own first k per
-    group before the shuffle, and these merge in two steps, so the last one sees at most
-    64 * k rows of a group, however large the group and however many the tasks.
+    Up to ``TASK_ROWS`` rows, each task keeps its own first k per group before the
+    shuffle, and these merge in two steps, so the last one sees at most 64 * k rows of a
+    group. More rows are cut off by key first, so only they are ranked.
     """
-    merged = df.withColumns(
-        {"_key": seeded_key(F.col(row_id), seed), "_part": F.pmod(F.spark_partition_id(), F.lit(64))}
-    )
-    for keys in ([*by, "_part"], list(by)):
+    keyed = df.withColumn("_key", seeded_key(F.col(row_id), seed))
+    if k > TASK_ROWS:
+        cuts = cut_points(df, F.col(row_id), seed, [k], by)
+        if by:
+            cuts = cuts.select(F.struct(*by).alias("_g"), F.col("cut_key").alias("_cut"))
+            keyed = keyed.withColumn("_g", F.struct(*by)).join(cuts, "_g", "left").drop("_g")
+        else:
+            keyed = keyed.withColumn("_cut", cuts.agg(F.min("cut_key").alias("c")).scalar())
+        keyed = keyed.filter(F.col("_cut").isNull() | (F.col("_key") < F.col("_cut"))).drop("_cut")
+        steps = [list(by)]
+    else:
+        keyed = keyed.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(64)))
+        steps = [[*by, "_part"], list(by)]
+    for keys in steps:
         order = Window.partitionBy(*keys).orderBy("_key", row_id)
-        merged = merged.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k)
-    return merged.withColumn("ordinal", F.col("_rank") - 1).drop("_rank", "_key", "_part")
+        keyed = keyed.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k)
+    return keyed.withColumn("ordinal", F.col("_rank") - 1).drop("_rank", "_key", "_part")
 
 
 def regime_examples(

@@ -11,7 +11,7 @@ from .ordinal import with_group
 
 
 ROWS_PER_TASK = 1_000_000
-HOT_SHARE = 1e-4
+HOT_SHARE = 1e-6  # bounds the list of hot keys; at 10^12 rows still one task's rows
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK, share: float = HOT_SHARE) -> DataFrame:

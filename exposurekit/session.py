@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +49,36 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder(spark.sparkContext.applicationId)
 
 
+_WRITTEN: dict[str, list[str]] = {}  # by application: folders given out since the last release
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the folders that ``fresh_path`` gave out; tables read from them are gone. Returns how many there were.
+
+    To be called when the results of a run are written. Removal goes through Hadoop's
+    file systems, so it works wherever the shared folder is.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(paths)
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """A run whose folders are removed when it ends, also by an error."""
+    try:
+        yield
+    finally:
+        release(spark)
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:

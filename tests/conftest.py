@@ -6,7 +6,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
-from exposurekit.session import build_session  # noqa: E402
+from exposurekit.session import build_session, release  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -23,6 +23,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

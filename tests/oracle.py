@@ -60,7 +60,7 @@ def compare(spark_df, con, sql: str) -> list[str]:
 def main(sf_dir: str, names: list[str]) -> int:
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as entry
-    from exposurekit.session import build_session
+    from exposurekit.session import build_session, release
 
     spark = build_session(
         master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="12g"
@@ -75,6 +75,7 @@ def main(sf_dir: str, names: list[str]) -> int:
             problems = compare(df, con, oracles[name]) if name in oracles else ([] if df.count() else ["no rows"])
         except Exception as error:  # noqa: BLE001 - report and go on to the next query
             problems = [f"{type(error).__name__}: {str(error)[:1500]}"]
+        release(spark)
         failed += bool(problems)
         kind = "sql" if name in oracles else "rows"
         print(f"{'FAIL' if problems else 'ok  '} {name} [{kind}] {time.time() - start:.1f}s {' | '.join(problems)}", flush=True)

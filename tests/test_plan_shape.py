@@ -71,3 +71,18 @@ def test_no_unpartitioned_window_over_rows(log):
     shape = plan(with_ordinal(log.select("row_id"), "row_id", 1))
     below = shape[shape.index("SinglePartition") :]
     assert below.index("HashAggregate") < below.index("FileScan")
+
+
+def test_stage_folders_are_removed_after_a_run(spark):
+    import os
+
+    from exposurekit.session import cut_lineage, fresh_path, release, shared_folder, stages
+
+    release(spark)
+    place = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(place)) if os.path.isdir(place) else set()
+    with stages(spark):
+        assert cut_lineage(spark.range(5), "some").count() == 5
+        assert set(os.listdir(place)) - before
+        fresh_path(spark, "never written")
+    assert set(os.listdir(place)) - before == set() and release(spark) == 0

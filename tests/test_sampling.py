@@ -141,3 +141,15 @@ def test_top_and_bottom_of_rankings(spark):
     ranks = spark.createDataFrame([("m", f"f{i}", i) for i in range(1, 13)], "method string, feature string, rank int")
     assert [r["rank"] for r in S.top_k(ranks, 3).orderBy("rank").collect()] == [1, 2, 3]
     assert [r["rank"] for r in S.top_k(ranks, 10, tail=True).orderBy("rank").collect()] == list(range(3, 13))
+
+
+def test_first_rows_beyond_what_tasks_keep(spark):
+    df = spark.range(20_000).select(F.col("id").alias("row_id"), (F.col("id") % 3).alias("g"))
+    few = spark.createDataFrame([(10**6 + i, None) for i in range(7)], "row_id long, g long")
+    got = S.first_rows(df.unionByName(few), 5_000, "row_id", by=["g"])
+    assert {r["g"]: (r["n"], r["m"]) for r in got.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("ordinal").alias("m")).collect()} == {
+        0: (5_000, 4_999), 1: (5_000, 4_999), 2: (5_000, 4_999), None: (7, 6)
+    }
+    small = {r["row_id"] for r in S.first_rows(df, 900, "row_id").collect()}
+    large = {r["row_id"]: r["ordinal"] for r in S.first_rows(df, 1_500, "row_id").collect()}
+    assert len(large) == 1_500 and {i for i, o in large.items() if o < 900} == small
