@@ -54,9 +54,14 @@ def time_cutoff(df: DataFrame, ts: str, share: float = 0.6) -> Column:
     return df.agg(cutoff.alias("cutoff")).scalar()
 
 
-def time_window_split(df: DataFrame, ts: str, share: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """(history, label window): strictly before the cutoff, and from it on."""
+def time_window_split(df: DataFrame, ts: str, share: float = 0.6, settled: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(history, label window): strictly before the cutoff, and from it on.
+
+    ``settled`` reads the cutoff now, one number, for plans that use the parts in several jobs.
+    """
     cutoff = time_cutoff(df, ts, share)
+    if settled:
+        cutoff = F.lit(df.sparkSession.range(1).select(cutoff.alias("c")).first()["c"]).cast(df.schema[ts].dataType)
     return df.filter(F.col(ts) < cutoff), df.filter(F.col(ts) >= cutoff)
 
 
@@ -114,6 +119,7 @@ def join_dims(
     room: DataFrame,
     spread: Sequence[str],
     hot_from: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Left join of user, streamer and room attributes.
 
@@ -122,24 +128,24 @@ def join_dims(
     """
     out, keys = sample, sample if hot_from is None else hot_from
     for dim, key in ((user, "user_id"), (streamer, "streamer_id"), (room, "live_id")):
-        out = lookup_join(out, dim, [key], spread, hot_from=keys.select(key))
+        out = lookup_join(out, dim, [key], spread, hot_from=keys.select(key), rows=rows)
     return out
 
 
 def join_history(
-    sample: DataFrame, user_rate: DataFrame, streamer_rate: DataFrame, g: Column, spread: Sequence[str]
+    sample: DataFrame, user_rate: DataFrame, streamer_rate: DataFrame, g: Column, spread: Sequence[str], rows: int | None = None
 ) -> DataFrame:
     """Attach user and streamer rates; an unseen key has rate g and count 0."""
-    out = lookup_join(sample, user_rate, ["user_id"], spread, hot_from=sample.select("user_id"))
-    out = lookup_join(out, streamer_rate, ["streamer_id"], spread, hot_from=sample.select("streamer_id"))
+    out = lookup_join(sample, user_rate, ["user_id"], spread, hot_from=sample.select("user_id"), rows=rows)
+    out = lookup_join(out, streamer_rate, ["streamer_id"], spread, hot_from=sample.select("streamer_id"), rows=rows)
     return fill_defaults(out, {"user_ctr": g, "user_n": 0, "streamer_ctr": g, "streamer_n": 0})
 
 
 def join_category_rate(
-    df: DataFrame, rates: DataFrame, category: str, g: Column, spread: Sequence[str], hot_from: DataFrame | None = None
+    df: DataFrame, rates: DataFrame, category: str, g: Column, spread: Sequence[str], hot_from: DataFrame | None = None, rows: int | None = None
 ) -> DataFrame:
     """Attach the category's rate; an unseen or missing category has rate g."""
-    return fill_defaults(lookup_join(df, rates, [category], spread, hot_from=hot_from), {"cat_ctr": g})
+    return fill_defaults(lookup_join(df, rates, [category], spread, hot_from=hot_from, rows=rows), {"cat_ctr": g})
 
 
 # --- gifts ----------------------------------------------------------------------------

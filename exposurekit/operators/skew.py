@@ -34,6 +34,7 @@ def lookup_join(
     hot_from: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
     share: float = HOT_SHARE,
+    rows: int | None = None,
 ) -> DataFrame:
     """Left join to a lookup table with unique ``on`` keys; rows of hot keys are spread.
 
@@ -42,9 +43,12 @@ def lookup_join(
     was). Only the lookup rows of hot keys are repeated, once per sub-key. All other
     keys join as usual, and Spark still broadcasts a lookup it measures as small.
     ``hot_from`` is a cheaper frame with the same keys as ``left`` (before earlier
-    lookups), so that finding hot keys does not repeat those joins.
+    lookups), so that finding hot keys does not repeat those joins. ``rows``, where it is
+    known: no key of a left side that one task can hold is hot, so nothing is looked for.
     """
     on = list(on)
+    if rows is not None and rows <= rows_per_task:
+        return left.join(right, on, "left")
     hot = hot_keys(left if hot_from is None else hot_from, on, rows_per_task, share)
     hot = hot.select(F.struct(*on).alias("_g"), "_tasks")
     tasks = F.coalesce(F.col("_tasks"), F.lit(1))

@@ -83,8 +83,9 @@ def static_table(
     """Balanced sample of all exposures with user, streamer, room and time features."""
     sample = balanced_sample(log, "clicked", settings.static_per_class, log.columns, settings.seed)
     sample = cut_lineage(identified(sample), "sample")
+    rows = sample.count()
     keys = {k: key_list(sample, k) for k in ("user_id", "streamer_id")}
-    joined = join_dims(sample, *sampled_dims(keys, user, streamer), room_features(room, sample, room_order), ["row_id"])
+    joined = join_dims(sample, *sampled_dims(keys, user, streamer), room_features(room, sample, room_order), ["row_id"], rows=rows)
     timed = context_time(joined, "timestamp", settings.time_zone)
     return order_columns(timed, ["row_id", *KEYS], ["clicked"], ["u_", "s_"], CONTEXT)
 
@@ -98,26 +99,28 @@ def history_table(
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """The static table over the later part of the log, plus rates from the earlier part only."""
-    hist, later = time_window_split(log, "timestamp", settings.history_share)
-    g = global_rate(hist).scalar()
+    # two numbers, read once: as subqueries every later job would pass the log again for them
+    hist, later = time_window_split(log, "timestamp", settings.history_share, settled=True)
+    g = F.lit(global_rate(hist).first()[0]).cast("double")
     sample = balanced_sample(later, "clicked", settings.history_per_class, log.columns, settings.seed, equal=False)
     sample = cut_lineage(identified(sample), "sample")
+    rows = sample.count()
     # rates are needed for sampled users and streamers only; g is of the whole history
     keys = {k: key_list(sample, k) for k in ("user_id", "streamer_id")}
     rates = [
         smoothed_rate(keep_keys(hist, keys[f"{p}_id"], f"{p}_id"), f"{p}_id", p, settings.smoothing, g=g)
         for p in ("user", "streamer")
     ]
-    with_rates = join_history(sample, *rates, g, ["row_id"])
+    with_rates = join_history(sample, *rates, g, ["row_id"], rows=rows)
     # at most one room per sampled row
     rooms = cut_lineage(room_features(room, sample, room_order), "rooms")
-    joined = join_dims(with_rates, *sampled_dims(keys, user, streamer), rooms, ["row_id"], hot_from=sample)
+    joined = join_dims(with_rates, *sampled_dims(keys, user, streamer), rooms, ["row_id"], hot_from=sample, rows=rows)
     categories = sample.select("live_id").join(rooms, "live_id", "left").select("r_content_category")
     every_room = dedupe_first(room.filter(F.col("live_id").isNotNull()), "live_id", room_order).select(
         "live_id", F.col("live_content_category").alias("r_content_category")
     )
     by_category = category_rate_by_room(hist, every_room, "r_content_category")
-    rated = join_category_rate(joined, by_category, "r_content_category", g, ["row_id"], hot_from=categories)
+    rated = join_category_rate(joined, by_category, "r_content_category", g, ["row_id"], hot_from=categories, rows=rows)
     timed = context_time(rated, "timestamp", settings.time_zone)
     return order_columns(timed, ["row_id", *KEYS], ["clicked", *HISTORY_FEATURES], ["u_", "s_"], CONTEXT)
 
@@ -139,6 +142,7 @@ def gift_table(
         clean_dim(streamer, "streamer_id", "s_", STREAMER_DROP),
         room_features(room, sessions, room_order, duration=True),
         KEYS,
+        rows=sessions.count(),
     )
     timed = context_time(joined, "first_gift_ts", settings.time_zone)
     context = ("r_content_category", "r_live_type", "live_duration_min", "ctx_hour", "ctx_dayofweek")
