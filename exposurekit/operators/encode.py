@@ -90,9 +90,15 @@ class Encoder:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds the sparse feature vector and keeps the columns of ``df``. An unseen level is all zeros."""
-        ready = self.coded(df)
+        return self.assembled(self.coded(df), df.columns)
+
+    def assembled(self, ready: DataFrame, kept: Sequence[str]) -> DataFrame:
+        """The vector of rows that are ``coded`` already, beside their ``kept`` columns."""
         unseen = {f"{f}__index": F.coalesce(F.col(f"{f}__index"), F.lit(self.sizes[f])).cast("double") for f in self.categorical}
-        return _assembly(self).transform(ready.withColumns(unseen) if unseen else ready).select(*df.columns, self.output)
+        originals = {f"{f}__code": F.col(f"{f}__index") for f in self.categorical}
+        renamed = [F.col(f"{c.removesuffix('__index')}__code" if c in unseen else c).alias(c) for c in kept]
+        with_codes = ready.withColumns(originals).withColumns(unseen) if unseen else ready
+        return _assembly(self).transform(with_codes).select(*renamed, self.output)
 
 
 def _assembly(encoder: Encoder) -> PipelineModel:

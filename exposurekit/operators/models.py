@@ -8,9 +8,16 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import (
+    DecisionTreeClassificationModel,
+    DecisionTreeClassifier,
+    GBTClassificationModel,
+    GBTClassifier,
+    LogisticRegression,
+    LogisticRegressionModel,
+)
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_to, threshold
@@ -37,6 +44,38 @@ class Scorer:
         return self.score_encoded(self.encoder.transform(df))
 
 
+def tree_value(node, slot: Callable[[int], Column], leaf: Callable) -> Column:
+    """A fitted tree as an expression over slot values; ``leaf`` gives the value of an end node."""
+    if node.getClass().getSimpleName() == "LeafNode":
+        return F.lit(float(leaf(node)))
+    split = node.split()
+    left, right = (tree_value(child, slot, leaf) for child in (node.leftChild(), node.rightChild()))
+    value = slot(split.featureIndex())
+    if split.getClass().getSimpleName() == "CategoricalSplit":  # a 0/1 column
+        goes_left = value.isin(*[float(x) for x in split.leftCategories()])
+    else:
+        goes_left = value <= F.lit(split.threshold())
+    return F.when(goes_left, left).otherwise(right)
+
+
+def _share_of_ones(node) -> float:
+    counts = list(node.impurityStats().stats())
+    return counts[1] / sum(counts)
+
+
+def swapped_probability(model, slot: Callable[[int], Column], margin: Column, change: Column) -> Column:
+    """Probability after one slot changed: ``slot`` gives slot values after it, ``margin`` the old log-odds, ``change`` their change."""
+    if isinstance(model, LogisticRegressionModel):
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(margin + change)))
+    if isinstance(model, DecisionTreeClassificationModel):
+        return tree_value(model._java_obj.rootNode(), slot, _share_of_ones)
+    if isinstance(model, GBTClassificationModel):
+        trees = zip(model.trees, model.treeWeights)
+        total = [F.lit(w) * tree_value(t._java_obj.rootNode(), slot, lambda node: node.prediction()) for t, w in trees]
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * reduce(lambda a, b: a + b, total)))
+    raise TypeError(f"no expression for {type(model).__name__}")
+
+
 @dataclass(frozen=True)
 class StatedInputs:
     """What a scorer without a fitted encoder looks at."""

@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import threshold
 from ..session import cut_lineage
-from .models import Scorer
+from .models import Scorer, swapped_probability
 from .ordinal import with_ordinal
 
 
@@ -53,38 +54,56 @@ def permutation_importance(
     """``slot, loss``: mean accuracy lost when one encoded column is permuted, over ``repeats`` permutations.
 
     A permutation matches the rows' seeded order with a second one; every repeat has its
-    own, used for each column in turn. A row meets its donor row once per repeat; only
-    columns in which the two differ are swapped and scored again, the others keep their
-    prediction. All columns and repeats are one job.
+    own, used for each column in turn. Rows move as codes of the features the model looks
+    at (a level's index, a number, a gap), never as vectors. Between a row and its donor a
+    one-hot feature differs in two columns at most, a number in one; only these are swapped
+    and scored again, as an expression of the model. All columns and repeats are one job.
     """
-    vector = scorer.encoder.output
-    encoded = scorer.encoder.transform(test.select(row_id, label, *scorer.encoder.features)).select(
-        row_id, F.col(label).alias("_y"), vector
-    )
-    base = cut_lineage(scorer.score_encoded(encoded.withColumn("_v", vector_to_array(vector))).drop("prob"), "base")
-    slots = sorted(used_slots(scorer.model))
+    encoder, model = scorer.encoder, scorer.model
+    weights = used_slots(model)
+    starts = dict(zip([*encoder.categorical, *(f"{f}__num" for f in encoder.numeric), *(f"{f}__gap" for f in encoder.flagged)], encoder.slots.starts))
+    widths = {f: encoder.sizes.get(f, 1) for f in starts}
+    seen = [c for c in starts if any(starts[c] <= s < starts[c] + widths[c] for s in weights)]
+    column = {c: f"{c}__index" if c in encoder.sizes else c for c in seen}
+    codes = F.struct(*[F.col(column[c]).cast("double").alias(f"c{i}") for i, c in enumerate(seen)]) if seen else F.struct(F.lit(0.0).alias("c"))
+    coded = encoder.coded(test.select(row_id, F.col(label).alias("_y"), *encoder.features)).withColumn("_codes", codes)
+    scored = model.transform(encoder.assembled(coded, [row_id, "_y", "_codes"]))
+    margin = vector_to_array(F.col("rawPrediction"))[1]  # of the two classes: their log-odds in a logistic model
+    prob = vector_to_array(F.col("probability"))[1]
+    base = cut_lineage(scored.select(row_id, "_y", "_codes", margin.alias("_margin"), threshold(prob).alias("_before")), "base")
     takers = with_ordinal(base, row_id, f"{seed}:rows")
-    donors = base.select(row_id, F.col("_v").alias("_donor"), F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
+    donors = base.select(row_id, F.col("_codes").alias("_donor"), F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
     donors = donors.withColumn("_seed", F.concat_ws(":", F.lit(str(seed)), "repeat"))
     donors = with_ordinal(donors, row_id, F.col("_seed"), by=["repeat"]).select("ordinal", "_donor")
-    swaps = F.array_compact(
-        F.array(
-            *[
-                F.when(F.col("_v")[s] != F.col("_donor")[s], F.struct(F.lit(s).alias("slot"), F.col("_donor")[s].alias("new")))
-                for s in slots
-            ]
-        )
-    )
-    changed = takers.join(donors, "ordinal").select("_y", "_v", F.col("hard").alias("_before"), F.explode(swaps).alias("_s"))
-    swapped = F.transform("_v", lambda x, i: F.when(i == F.col("_s.slot"), F.col("_s.new")).otherwise(x))
-    rescored = scorer.score_encoded(
-        changed.select(F.col("_s.slot").alias("slot"), "_y", "_before", array_to_vector(swapped).alias(vector))
-    )
-    lost = (F.col("_before") == F.col("_y")).cast("int") - (F.col("hard") == F.col("_y")).cast("int")
+
+    def swap(slot: Column, old: Column, new: Column) -> Column:
+        return F.struct(slot.cast("int").alias("slot"), old.alias("old"), new.alias("new"))
+
+    swaps = []
+    for i, c in enumerate(seen):
+        mine, other = F.col(f"_codes.c{i}"), F.col(f"_donor.c{i}")
+        differ = ~mine.eqNullSafe(other)
+        if c in encoder.sizes:  # an unseen level has no column of its own
+            swaps.append(F.when(differ & mine.isNotNull(), swap(mine + starts[c], F.lit(1.0), F.lit(0.0))))
+            swaps.append(F.when(differ & other.isNotNull(), swap(other + starts[c], F.lit(0.0), F.lit(1.0))))
+        else:
+            swaps.append(F.when(differ, swap(F.lit(starts[c]), mine, other)))
+    none = F.array().cast("array<struct<slot:int,old:double,new:double>>")
+    changed = takers.join(donors, "ordinal").withColumn("_s", F.explode(F.array_compact(F.array(*swaps)) if swaps else none))
+    used = test.sparkSession.createDataFrame([(int(s), w) for s, w in weights.items()], "slot int, weight double")  # the model's own size
+    changed = changed.select("_y", "_before", "_margin", "_codes", "_s.*").join(F.broadcast(used), "slot")
+
+    def value(s: int) -> Column:
+        i, c = next((i, c) for i, c in enumerate(seen) if starts[c] <= s < starts[c] + widths[c])
+        own = F.col(f"_codes.c{i}")
+        if c in encoder.sizes:
+            own = F.when(own == s - starts[c], F.lit(1.0)).otherwise(F.lit(0.0))
+        return F.when(F.col("slot") == s, F.col("new")).otherwise(own)
+
+    after = threshold(swapped_probability(model, value, F.col("_margin"), F.col("weight") * (F.col("new") - F.col("old"))))
+    lost = (F.col("_before") == F.col("_y")).cast("int") - (after == F.col("_y")).cast("int")
     n = base.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return rescored.groupBy("slot").agg(F.sum(lost).alias("_lost")).select(
-        "slot", (F.col("_lost") / (n * F.lit(repeats))).alias("loss")
-    )
+    return changed.groupBy("slot").agg(F.sum(lost).alias("_lost")).select("slot", (F.col("_lost") / (n * F.lit(repeats))).alias("loss"))
 
 
 def permutation_ranking(

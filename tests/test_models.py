@@ -206,3 +206,32 @@ def test_the_executor_step_needs_nothing_of_this_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(task), cwd=tmp_path, env=env, check=False)
     assert done.returncode == 0
+
+
+@pytest.mark.parametrize("fit", [models.fit_logreg, models.fit_sparse_tree, lambda e, t: models.fit_gbt(e, t, rounds=5)])
+def test_swapped_rows_score_as_their_vectors_do(planted, fit):
+    """One repeat, row by row: the expression of a model gives the class its vector gives."""
+    from exposurekit.operators.ordinal import with_ordinal
+    from pyspark.ml.linalg import Vectors
+
+    _, test, encoder, encoded = planted
+    scorer = fit(encoder, encoded)
+    rows = test.withColumn("row_id", F.xxhash64(*test.columns)).dropDuplicates(["row_id"])
+    got = {r["slot"]: r["loss"] for r in ranking.permutation_importance(scorer, rows, repeats=1, seed=5).collect()}
+    dense = {r.row_id: (r.v.copy(), r.clicked) for r in encoder.transform(rows).select("row_id", "clicked", vector_to_array("features").alias("v")).collect()}
+    taker = {r.ordinal: r.row_id for r in with_ordinal(rows.select("row_id"), "row_id", "5:rows").collect()}
+    seeded = rows.select("row_id", F.lit("5:1").alias("s"), F.lit(1).alias("repeat"))
+    donor = {r.ordinal: r.row_id for r in with_ordinal(seeded, "row_id", F.col("s"), by=["repeat"]).collect()}
+    jobs = []
+    for o, i in taker.items():
+        v, y = dense[i]
+        for s in ranking.used_slots(scorer.model):
+            new = dense[donor[o]][0][s]
+            if new != v[s]:
+                jobs.append((int(s), int(y), Vectors.dense([*v[:s], new, *v[s + 1 :]]), Vectors.dense(v)))
+    frame = rows.sparkSession.createDataFrame(jobs, ["slot", "y", "features", "old"])
+    after = scorer.score_encoded(frame).withColumnRenamed("hard", "after").drop("prob", "features").withColumnRenamed("old", "features")
+    both = scorer.score_encoded(after)
+    lost = both.groupBy("slot").agg(F.sum((F.col("hard") == F.col("y")).cast("int") - (F.col("after") == F.col("y")).cast("int")).alias("n"))
+    want = {r["slot"]: r["n"] / len(dense) for r in lost.collect()}
+    assert {s: pytest.approx(x) for s, x in want.items()} == got
