@@ -60,35 +60,6 @@ ERRORS_HEAD = (
 )
 GUIDE_ERRORS_HEAD = "Mispredicted exposures (true vs predicted):\n"
 
-# system messages, by the agent that receives them
-ANALYST_SYSTEM = (
-    "You are an expert data scientist analyzing a live-streaming platform. You discover and "
-    "articulate the conditional feature patterns that explain whether a user CLICKS into a "
-    "streamer's live room (clicked=1) or not (clicked=0). Your description will be used to predict "
-    "clicks on unseen exposures, so be specific, conditional, and grounded in the examples."
-)
-PREDICTOR_SYSTEM = (
-    "You are a precise click-prediction engine. Given a learned description of click patterns and a "
-    "batch of exposures, predict clicked (0 or 1) for EACH row. Output ONLY lines of the form "
-    "`idx=0` or `idx=1`, one per row, no other text."
-)
-REWRITER_SYSTEM = (
-    "You are a reflective analyst performing double-loop learning. You examine systematic prediction "
-    "errors and REVISE the click-pattern description so it better matches reality. Output ONLY the "
-    "improved description."
-)
-TEACHER_SYSTEM = (
-    "You are an analyst of live-streaming engagement. Given a user-streamer exposure, write ONE "
-    "concise sentence (<= 30 words) describing the engagement-relevant signal in the features (e.g., "
-    "content niche fit, the user's activity level, streamer popularity, time-of-day). Cite specific "
-    "feature values. Do NOT state or guess whether the user clicks."
-)
-GUIDE_SYSTEM = (
-    "You analyze a click-predictor's systematic errors and write concise, actionable correction "
-    "guidance (<=180 words): in which feature regimes does it over- or under-predict clicks, and how "
-    "should it adjust."
-)
-
 REGIME_TITLES = (
     "A. High-affinity click (user & streamer both hot)",
     "B. Cold exposure, no click (both CTRs low)",

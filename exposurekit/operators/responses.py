@@ -43,8 +43,8 @@ def parse_batch(
 
     ``rows`` holds ``by``, ``local`` (0..n-1) and ``row_id``. The last pair for an
     index wins, an index outside the batch meets no row, and a row without a pair gets
-    the default with ``parsed`` false. The pairs of one answer become a map inside its
-    row, so the shuffle carries at most one value per index.
+    the default with ``parsed`` false. Pairs are shuffled by batch and index, the last one
+    of an index kept before the shuffle where an answer is one row.
     """
     pattern = F.lit("(\\d+)\\s*=\\s*([01])")
     answer = F.coalesce(F.col(text), F.lit(""))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.columns import context_time, duration_minutes
-from ..functions.wording import HISTORY_FEATURES
+from ..functions.wording import CONTEXT_FEATURES, HISTORY_FEATURES
 from ..operators.features import (
     category_rate_by_room,
     clean_dim,
@@ -39,7 +39,6 @@ from ..sources.tables import keep_keys, key_list, restrict_to_keys
 KEYS = ("user_id", "live_id", "streamer_id")
 USER_DROP = ("reg_timestamp", "first_watch_live_timestamp")
 STREAMER_DROP = ("first_live_timestamp", "reg_timestamp")
-CONTEXT = ("r_content_category", "r_live_type", "ctx_hour", "ctx_dayofweek")
 
 
 def identified(log: DataFrame, name: str = "row_id") -> DataFrame:
@@ -87,7 +86,7 @@ def static_table(
     keys = {k: key_list(sample, k) for k in ("user_id", "streamer_id")}
     joined = join_dims(sample, *sampled_dims(keys, user, streamer), room_features(room, sample, room_order), ["row_id"], rows=rows)
     timed = context_time(joined, "timestamp", settings.time_zone)
-    return order_columns(timed, ["row_id", *KEYS], ["clicked"], ["u_", "s_"], CONTEXT)
+    return order_columns(timed, ["row_id", *KEYS], ["clicked"], ["u_", "s_"], CONTEXT_FEATURES)
 
 
 def history_table(
@@ -122,7 +121,7 @@ def history_table(
     by_category = category_rate_by_room(hist, every_room, "r_content_category")
     rated = join_category_rate(joined, by_category, "r_content_category", g, ["row_id"], hot_from=categories, rows=rows)
     timed = context_time(rated, "timestamp", settings.time_zone)
-    return order_columns(timed, ["row_id", *KEYS], ["clicked", *HISTORY_FEATURES], ["u_", "s_"], CONTEXT)
+    return order_columns(timed, ["row_id", *KEYS], ["clicked", *HISTORY_FEATURES], ["u_", "s_"], CONTEXT_FEATURES)
 
 
 def gift_table(

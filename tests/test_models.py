@@ -193,15 +193,21 @@ def test_explanation_bootstrap(spark):
     assert got["drop"]["sd"] == pytest.approx((0.25 * 0.75 / 400) ** 0.5, rel=0.15)
 
 
-def test_too_many_columns_are_refused(spark):
-    df = spark.range(1).select(*[F.lit(1).alias(f"c{i}") for i in range(18)])
-    with pytest.raises(ValueError):
-        resample.joint_cells(df, df.columns)
+def test_many_outcome_columns_in_many_chunks(spark):
+    columns = [F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(10)) for i in range(21)]
+    df = spark.range(4000).select(F.lit(1).alias("base"), *[(c > 2).cast("int").alias(f"c{i}") for i, c in enumerate(columns[:20])])
+    methods = {f"m{i}": (f"c{2 * i}", f"c{2 * i + 1}") for i in range(10)}
+    whole, parts = (
+        {(r["method"], r["metric"]): r for r in resample.bootstrap_explanations(df, "base", methods, 400, per_chunk=k).collect()} for k in (10**6, 300)
+    )
+    assert len(parts) == 20 and resample.joint_cells(df, df.columns).count() > 3000
+    for key, row in parts.items():
+        assert row["mean"] == pytest.approx(whole[key]["mean"], abs=0.003) and row["sd"] == pytest.approx((0.3 * 0.7 / 4000) ** 0.5, rel=0.2)
 
 
 def test_the_executor_step_needs_nothing_of_this_package(tmp_path):
     """Executors may not have the package; the step must load without it."""
-    task = resample.resampling_task(["y", "a"], 1, lambda m, w: [("a", "acc", 1.0)], "scorer")
+    task = resample.resampling_task(["y", "a"], 1, lambda m, w: [("a", "acc", 1.0)])
     code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read())"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(task), cwd=tmp_path, env=env, check=False)
