@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from exposurekit.catalog.views import Views
 from exposurekit.config import DEFAULTS
+from exposurekit.functions.wording import CONTEXT_FEATURES
 from exposurekit.plans import studies
 from exposurekit.plans import tables as plans
 from exposurekit.session import cut_lineage, fresh_path, shared_folder
@@ -88,7 +89,7 @@ def test_history_table_columns_and_balance(v):
     table = plans.history_table(v.log(), v.user(), v.streamer(), v.room(), Views.room_order, settings)
     assert {r["clicked"]: r["count"] for r in table.groupBy("clicked").count().collect()} == {0: 300, 1: 300}
     assert table.columns[:5] == ["row_id", *plans.KEYS, "clicked"]
-    assert table.columns[-4:] == list(plans.CONTEXT)
+    assert table.columns[-4:] == list(CONTEXT_FEATURES)
     assert table.select("row_id").distinct().count() == 600
     assert not [c for c in table.columns if "onehot" in c or "timestamp" in c]
     assert set(plans.feature_names(table)) >= {"user_ctr", "user_n", "u_age", "s_country", "ctx_hour"}
