@@ -8,9 +8,10 @@ Merging starts from the interleave by prefixes of length 0, in which all suffixe
 one block. From the interleave by i characters, a stable sort by the symbol before
 every suffix and a step to that longer suffix give the interleave by i + 1: inside a
 collection the order is known already, so only symbols are sorted. A block falls apart
-where symbols or blocks differ; that is where common prefixes end. Suffixes alone in
-their block cannot belong to a repeat and are left out of further rounds, as are those
-at the start of their string, which have no longer one.
+where symbols or blocks differ; that is where common prefixes end. To find the windows
+that repeat, only the suffixes that start where a window ends need to be refined: every
+round takes each of them one symbol towards the window's start. Suffixes alone in their
+block cannot belong to a repeat and are left out of further rounds.
 """
 
 from __future__ import annotations
@@ -84,15 +85,14 @@ def repeats(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np
         string.append(who + strings)
         position.append(at)
         base, strings = base + len(own), strings + len(lengths)
-    longer = np.concatenate(longer)
-    live = np.arange(len(symbols))
+    longer, string, position = np.concatenate(longer), np.concatenate(string), np.concatenate(position)
+    live = np.flatnonzero(position >= depth)  # ends of windows: depth steps back is a window's start
     fresh = np.zeros(len(live), bool)  # where a block starts
     fresh[:1] = True
     for _ in range(depth):
         symbol = symbols[live]
         block = np.cumsum(fresh, dtype=np.int32)
-        going = np.flatnonzero(symbol)
-        order = going[np.argsort(symbol[going], kind="stable")]
+        order = np.argsort(symbol, kind="stable")
         symbol, block = symbol[order], block[order]
         fresh = np.ones(len(order), bool)
         fresh[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
@@ -101,4 +101,4 @@ def repeats(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np
         live, fresh = longer[live[order[kept]]], fresh[kept]
         if not len(live):
             break
-    return np.concatenate(string)[live], np.concatenate(position)[live], np.cumsum(fresh) - 1
+    return string[live], position[live], np.cumsum(fresh) - 1
