@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_view, slices, stored, sums_by_row, values_of, words_of
+from .common import byte_view, slices, stored, sums_by_row, tidy, values_of, words_of
 
 WORDS = 30_000
 GRAMS = 4_000
@@ -65,7 +65,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 )
 
     told = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string"), _lower(F.col("text")).alias("text"))
-    counted = told.mapInArrow(run, "lang string, word string, n long")
+    counted = told.mapInArrow(tidy(run), "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -87,12 +87,12 @@ def gram_counts(words: DataFrame, longest: int = LONGEST) -> DataFrame:
                 count.update((lang, c) for c in word)  # the mark alone tells nothing
                 for size in range(2, longest + 1):
                     count.update((lang, marked[i : i + size]) for i in range(len(marked) - size + 1))
-                if len(count) > 300_000:
+                if len(count) > 150_000:
                     yield rows()
                     count = Counter()
         yield rows()
 
-    found = words.select("lang", "word").mapInArrow(run, "lang string, size int, gram string, n long")
+    found = words.select("lang", "word").mapInArrow(tidy(run), "lang string, size int, gram string, n long")
     return found.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -105,7 +105,7 @@ def most_frequent(counts: DataFrame, by: list[str], keep: int) -> DataFrame:
     spread = counts.groupBy(*by, "n").agg(F.count(F.lit(1)).alias("rows"))
     above = F.sum("rows").over(Window.partitionBy(*by).orderBy(F.desc("n")))
     least = spread.withColumn("above", above).filter(F.col("above") <= keep).groupBy(*by).agg(F.min("n").alias("least"))
-    return counts.join(least, by).filter("n >= least").drop("least")
+    return counts.join(F.broadcast(least), by).filter("n >= least").drop("least")  # one row per group
 
 
 class Model:
@@ -197,4 +197,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*out, pa.array(langs[best], pa.string()), pa.array(sure)], names=[*keep, "lang_pred", "score"])
 
     low, letter = _lower(F.col("text")), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*keep, low.alias("_low"), letter.alias("_letter")).mapInArrow(run, schema)
+    return docs.select(*keep, low.alias("_low"), letter.alias("_letter")).mapInArrow(tidy(run), schema)

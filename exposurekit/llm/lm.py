@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, byte_view, map_slices, slices, stored, sums_by_row, values_of, words_of
+from .common import LOWER, SPACES, byte_view, map_slices, slices, stored, sums_by_row, tidy, values_of, words_of
 
 SYMBOLS = 2048  # the end, then words, then classes
 CLASSES = 512
@@ -219,7 +219,7 @@ def _round(docs: DataFrame, model: Model, seed: int) -> Params:
             keys = sorted(sums)
             yield pa.RecordBatch.from_pydict({"chunk": keys, "values": [(sums[k] / weights[k]).astype("<f4").tobytes() for k in keys]})
 
-    ran = docs.select("text").mapInArrow(train, "chunk long, weight double, values binary")
+    ran = docs.select("text").mapInArrow(tidy(train), "chunk long, weight double, values binary")
     means = ran.repartition(CHUNKS, "chunk").mapInArrow(mean, "chunk long, values binary").collect()  # one vector in all
     shared.unpersist()
     if not means:
@@ -338,7 +338,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 )
                 row += n_rows
 
-    first_pass = stored(docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema), "lm-scores")
+    first_pass = stored(docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidy(run), schema), "lm-scores")
     rare = first_pass.select("row", F.explode("rare").alias("r")).select("row", "r.*").withColumnRenamed("n", "times")
     inside = F.element_at(F.array(*[F.lit(float(x)) for x in np.log10(model.class_tokens + model.class_words + 1)]), F.col("cls") + 1)
     counted = rare.join(model.counts.select("word", "n"), "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))

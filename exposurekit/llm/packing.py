@@ -148,7 +148,8 @@ def cut_documents(docs: DataFrame, end_id: int = 0, capacity: int = CAPACITY, to
     path = tokenizer or default_tokenizer()
 
     def make():
-        encode = encoder(path).encode
+        tokens = encoder(path)
+        encode = tokens.encode
 
         def work(rows: pa.RecordBatch) -> pa.RecordBatch:
             ids, lengths = encode(rows.column("text"))
@@ -173,6 +174,7 @@ def cut_documents(docs: DataFrame, end_id: int = 0, capacity: int = CAPACITY, to
                 columns["ids"] = pa.array([data[a:b] for a, b in spans], pa.binary())
             return pa.RecordBatch.from_pydict(columns)
 
+        work.done = tokens.forget
         return work
 
     return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, CUT + (", ids binary" if with_ids else ""))

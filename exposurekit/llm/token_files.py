@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path
 from . import simple8b
-from .common import SLICE_BYTES, slices, stored
+from .common import SLICE_BYTES, slices, stored, tidy
 from .tokens import default_tokenizer, encoder
 
 MAGIC = 0x31423853
@@ -130,7 +130,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int, tokenizer: str
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, out, encode = TaskContext.get().partitionId(), 0, FileWriter(), encoder(path).encode
+        part, number, out, tokens = TaskContext.get().partitionId(), 0, FileWriter(), encoder(path)
 
         def close() -> pa.RecordBatch:
             name = f"part-{part:06d}-{number:06d}.s8b"
@@ -140,12 +140,13 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int, tokenizer: str
 
         for batch in batches:
             for rows in slices(batch, "text", min(SLICE_BYTES, 4 * file_ids)):
-                ids, lengths = encode(rows.column("text"))
+                ids, lengths = tokens.encode(rows.column("text"))
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
                 out.add(rows.column("doc_id").to_pylist(), ids, lengths + 1)
                 if out.n_ids >= file_ids:
                     yield close()
                     out, number = FileWriter(), number + 1
+        tokens.forget()
         if out.n_docs:
             yield close()
 
@@ -154,7 +155,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int, tokenizer: str
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     )
-    return stored(ordered.mapInArrow(run, MANIFEST), "token-files")
+    return stored(ordered.mapInArrow(tidy(run), MANIFEST), "token-files")
 
 
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"

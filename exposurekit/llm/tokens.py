@@ -64,9 +64,9 @@ class Encoder:
         self.model, self.shown = self.tokenizer.model, dict(enumerate(byte_characters()))
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.max_pieces = max_pieces
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 20, self.kind)
         self.used = 0
@@ -115,7 +115,7 @@ class Encoder:
         pieces = binary_array(data, np.append(starts, len(data))).dictionary_encode()
         distinct = values_of(pieces.dictionary)
         if len(self.known) + len(distinct) > self.max_pieces:
-            self._forget()
+            self.forget()
         new = [p for p in distinct if p not in self.known]
         if new:
             self._learn(new)
@@ -127,5 +127,5 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One per Python worker, so that later tasks find the pieces of earlier ones."""
+    """One per Python worker. Tasks forget their pieces when they end: workers live on in other stages."""
     return Encoder(path)
