@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import bwt
 from .anchors import stretches
-from .common import byte_view, map_slices, slices, stored
+from .common import byte_view, map_slices, slices, stored, tidy
 
 LENGTH = 100
 CROWD = 8192  # stretches of one gram that a bucket takes
@@ -109,7 +109,7 @@ def _sorted_out(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Repeated stretches, and the first stretches of all grams that have several different ones."""
     order = ["a", "nb", "d", "tie", "lo"]
     ranged = anchored(docs, length).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = stored(ranged.mapInArrow(_resolve, ANCHOR + ", kind int"), "suffix-stretches")
+    found = stored(ranged.mapInArrow(tidy(_resolve), ANCHOR + ", kind int"), "suffix-stretches")
     # a gram at the edge of a task may be in other tasks too: a few rows per task
     turn = F.row_number().over(Window.partitionBy("a", "nb").orderBy("d", "tie", "lo"))
     edges = stored(found.filter(F.col("kind") == EDGE).withColumn("turn", turn), "suffix-edges")
@@ -125,21 +125,33 @@ SHARD = "bucket long, strings binary, symbols binary"
 SPAN = "d long, tie long, lo int, span int"
 
 
+WINDOW = "key binary, d long, tie long, lo int"
+
+
 def _shard_transforms(texts: DataFrame, buckets: int, length: int) -> DataFrame:
-    """``SHARD``: per task and bucket, the transform of its stretches and who they are (d, tie, lo, length)."""
+    """One pass over the texts for both ways: rows of ``SHARD``, and for crowded grams rows of ``WINDOW``.
+
+    A shard row is the transform of a task's stretches of one bucket and who they are (d,
+    tie, lo, length). A window row is the digest of one window and its place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         held: dict[int, list] = {}
         size = 0
+        digest = xxhash.xxh3_128_digest
+
+        def rows_of(**columns: list) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), k) for c, k in _BOTH.items()], names=list(_BOTH))
 
         def flush() -> Iterator[pa.RecordBatch]:
             for bucket, parts in sorted(held.items()):
                 lengths = np.concatenate([p[1] for p in parts])
                 who = np.concatenate([p[0] for p in parts])
                 symbols = bwt.transform(np.concatenate([p[2] for p in parts]), lengths)
-                yield pa.RecordBatch.from_pydict(
-                    {"bucket": [bucket], "strings": [who.tobytes()], "symbols": [symbols.tobytes()]}
-                )
+                yield rows_of(bucket=[bucket], strings=[who.tobytes()], symbols=[symbols.tobytes()])
             held.clear()
 
         for batch in batches:
@@ -153,6 +165,14 @@ def _shard_transforms(texts: DataFrame, buckets: int, length: int) -> DataFrame:
                     [rows.column("d").to_numpy()[owner], rows.column("tie").to_numpy()[owner], low.astype(np.int64), span + np.int64(length)], axis=1
                 )
                 begin = offsets[owner] + low
+                crowded = flat.field("crowded").to_numpy(zero_copy_only=False).astype(bool)
+                text = data.tobytes() if crowded.any() else b""
+                for i in np.flatnonzero(crowded).tolist():
+                    first, n = int(begin[i]), int(span[i]) + 1
+                    keys = [digest(text[p : p + length]) for p in range(first, first + n)]
+                    d, tie, at = own[i, :3].tolist()
+                    yield rows_of(key=keys, d=[d] * n, tie=[tie] * n, lo=list(range(at, at + n)))
+                a, own, begin = a[~crowded], own[~crowded], begin[~crowded]
                 bucket = (a.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
@@ -166,7 +186,18 @@ def _shard_transforms(texts: DataFrame, buckets: int, length: int) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return texts.mapInArrow(run, SHARD)
+    return texts.mapInArrow(tidy(run), f"{SHARD}, {WINDOW}")
+
+
+_BOTH = {
+    "bucket": pa.int64(),
+    "strings": pa.binary(),
+    "symbols": pa.binary(),
+    "key": pa.binary(),
+    "d": pa.int64(),
+    "tie": pa.int64(),
+    "lo": pa.int32(),
+}
 
 
 def _merged_repeats(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -200,24 +231,8 @@ def _merged_repeats(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
         yield from merge(rows)
 
 
-def _crowded_repeats(texts: DataFrame, length: int) -> DataFrame:
-    """Repeats among stretches of crowded grams: windows by digest, all but the first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                text = (row["text"] or "").encode()
-                for r in row["rivals"]:
-                    at = range(r["lo"], r["lo"] + r["span"] + 1)
-                    keys = [xxhash.xxh3_128_digest(text[p : p + length]) for p in at]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys, pa.binary()), pa.array([row["d"]] * len(keys)), pa.array([row["tie"]] * len(keys)), pa.array(at, pa.int32())],
-                        names=["key", "d", "tie", "lo"],
-                    )
-
-    windows = stored(texts.mapInArrow(run, "key binary, d long, tie long, lo int"), "suffix-windows")
+def _crowded_repeats(windows: DataFrame) -> DataFrame:
+    """Repeats among windows of crowded grams: all but the first of a digest."""
     firsts = windows.groupBy("key").agg(F.min(F.struct("d", "tie", "lo")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     later = windows.join(firsts, "key").filter(F.struct("d", "tie", "lo") != F.col("f"))
     return later.select("d", "tie", "lo", F.lit(0).alias("span"))
@@ -232,16 +247,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, bu
     total = rivals.agg(F.sum(F.col("span") + length)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
 
-    def with_text(rows: DataFrame) -> DataFrame:
-        lists = rows.groupBy("d", "tie").agg(F.collect_list(F.struct("a", "lo", "span")).alias("rivals"))
-        return docs.select("d", "tie", "text").join(lists, ["d", "tie"])
-
-    shards = _shard_transforms(with_text(rivals.join(crowded, "a", "left_anti")), buckets, length)
-    merged = shards.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _merged_repeats(it, length), SPAN)
-    spans = repeated.unionByName(merged)
-    if crowded.count():
-        spans = spans.unionByName(_crowded_repeats(with_text(rivals.join(crowded, "a")), length))
-    return spans
+    marked = rivals.join(crowded.withColumn("crowded", F.lit(True)), "a", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    lists = marked.groupBy("d", "tie").agg(F.collect_list(F.struct("a", "lo", "span", "crowded")).alias("rivals"))
+    texts = docs.select("d", "tie", "text").join(lists, ["d", "tie"])
+    both = stored(_shard_transforms(texts, buckets, length), "suffix-shards")  # the texts move once
+    shards = both.filter(F.col("key").isNull()).select("bucket", "strings", "symbols").repartition(buckets, "bucket")
+    merged = shards.sortWithinPartitions("bucket").mapInArrow(tidy(lambda it: _merged_repeats(it, length)), SPAN)
+    windows = both.filter(F.col("key").isNotNull()).select("key", "d", "tie", "lo")
+    return repeated.unionByName(merged).unionByName(_crowded_repeats(windows))
 
 
 KEPT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -293,7 +306,7 @@ def without_repeats(
                 )
 
     joined = rows.join(lists, ["d", "tie"], "left").select(*names, "text", "spans")
-    return joined.mapInArrow(cut, f"doc_id long{carried}, {KEPT}{extra}")
+    return joined.mapInArrow(tidy(cut), f"doc_id long{carried}, {KEPT}{extra}")
 
 
 _KINDS = {
