@@ -110,7 +110,9 @@ def _bucket_sizes(keyed: DataFrame, key: list[str]) -> DataFrame:
 def links(prints: DataFrame, max_bits: int = 2, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp``, at most ``max_bits`` apart, that connect all such pairs."""
     parts = segments(max_bits // 2 + 1)
-    keyed = variants(prints, parts)
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # small rows that become 64 each, not to be put together before; by a hash of its own, or Spark takes the shuffle for spare
+    keyed = variants(prints.repartition(tasks, F.xxhash64(F.lit("spread"), "fp")), parts)
     sizes = _bucket_sizes(keyed, ["hole", "rest"])
     shared = stored(keyed.join(sizes, ["hole", "rest"]), "simhash-buckets")
     few = shared.filter(F.col("n") <= bucket).drop("n")
