@@ -8,9 +8,12 @@ compares a bounded set of nodes with all others; while too many of their links a
 missing, more planes and rounds follow.
 
 A list whose last entry still reaches the threshold is saturated: there may be more
-links than it holds. Lists of all members of such a node's component are enlarged to
-the component itself, compared in pairs of blocks, of which only the numbers of links
-are kept; so no link inside it is missed and no pair is written.
+links than it holds, and a link that no list holds has two saturated ends. So nodes
+with saturated lists are searched again for nodes of other components only, which
+joins components, until no link between such nodes is found. Lists of all members of
+such a node's component are then enlarged to the component itself, compared in pairs
+of blocks, of which only the numbers of links are kept; so no link inside it is
+missed and no pair is written.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing,
 nor do vectors without a label or of other lengths. Repeated rows are rows of their
@@ -68,17 +71,17 @@ def _matrix(vectors: list[bytes]) -> np.ndarray:
 
 
 def _best(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBatch]:
-    """For each list of members (node, vec, floor): every node's ``keep`` nearest others above its floor."""
+    """For each list of members (node, root, vec, floor): every node's ``keep`` nearest of other roots above its floor."""
     for batch in batches:
         us, vs, sims = [], [], []
         for members in batch.column("members").to_pylist():
             if len(members) < 2:
                 continue
-            node = np.array([m["node"] for m in members])
+            node, root = (np.array([m[c] for m in members]) for c in ("node", "root"))
             floor = np.array([m["floor"] for m in members])
             x = _matrix([m["vec"] for m in members])
             sim = x @ x.T
-            np.fill_diagonal(sim, -2)
+            sim[root[:, None] == root] = -2
             near = np.argpartition(-sim, min(keep, len(node) - 1) - 1, axis=1)[:, :keep]
             found = np.take_along_axis(sim, near, 1)
             row, column = np.nonzero(found > floor[:, None])
@@ -119,8 +122,8 @@ def _by_planes(nodes: DataFrame, total: int, seed: int) -> DataFrame:
     keyed = stored(keyed, "vector-cells")
     crowd = keyed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     part = F.pmod(F.xxhash64(F.lit(seed), "cell.tree", "node"), F.col("blocks"))
-    placed = keyed.join(crowd, "cell").select("node", "cell", part.alias("part")).join(nodes.select("node", "vec"), "node")
-    members = placed.groupBy("cell", "part").agg(F.collect_list(F.struct("node", "vec", F.lit(-2.0).alias("floor"))).alias("members"))
+    placed = keyed.join(crowd, "cell").select("node", "cell", part.alias("part")).join(nodes.select("node", "root", "vec"), "node")
+    members = placed.groupBy("cell", "part").agg(F.collect_list(F.struct("node", "root", "vec", F.lit(-2.0).alias("floor"))).alias("members"))
     return members.select("members").mapInArrow(lambda it: _best(it, NEAR), EDGE)
 
 
@@ -131,50 +134,62 @@ def _nearest(edges: DataFrame) -> DataFrame:
     return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= NEAR).drop("place")
 
 
-def _descend(graph: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+def _descend(graph: DataFrame, nodes: DataFrame, seed: int, inner: DataFrame | None = None) -> DataFrame:
     """Candidate edges between nodes near the same node, above what their lists reach already.
 
-    Neighbours in both directions; those of a node that many have on their lists are
-    dealt to blocks at random, anew in every round.
+    Neighbours in both directions, also on the lists of ``inner``; those of a node that
+    many have on their lists are dealt to blocks at random, anew in every round.
     """
-    around = graph.select(F.col("u").alias("w"), F.col("v").alias("node")).unionByName(graph.select(F.col("v").alias("w"), F.col("u").alias("node")))
+    lists = graph.select("u", "v") if inner is None else graph.select("u", "v").unionByName(inner.select("u", "v"))
+    around = lists.select(F.col("u").alias("w"), F.col("v").alias("node")).unionByName(lists.select(F.col("v").alias("w"), F.col("u").alias("node")))
     around = stored(around.distinct(), "vector-around")
     crowd = around.groupBy("w").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     floors = graph.groupBy("u").agg(F.when(F.count(F.lit(1)) >= NEAR, F.min("sim")).otherwise(F.lit(-2.0)).alias("floor"))
-    known = nodes.select("node", "vec").join(floors.withColumnRenamed("u", "node"), "node", "left").fillna(-2.0, ["floor"])
+    known = nodes.select("node", "root", "vec").join(floors.withColumnRenamed("u", "node"), "node", "left").fillna(-2.0, ["floor"])
     placed = around.join(crowd, "w").withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "w", "node"), F.col("blocks"))).join(known, "node")
-    members = placed.groupBy("w", "part").agg(F.collect_list(F.struct("node", "vec", "floor")).alias("members"))
+    members = placed.groupBy("w", "part").agg(F.collect_list(F.struct("node", "root", "vec", "floor")).alias("members"))
     return members.select("members").mapInArrow(lambda it: _best(it, NEAR), EDGE)
 
 
-def audit(graph: DataFrame, nodes: DataFrame, threshold: float) -> float:
-    """Share of the links of ``AUDITED`` nodes that the graph has, up to the length of its lists."""
-    asked = nodes.orderBy(F.xxhash64("node")).limit(AUDITED).select("node", "kind", "vec").collect()  # bounded
+def audit(graph: DataFrame, nodes: DataFrame, threshold: float, whole: DataFrame | None = None) -> float:
+    """Share of all links of ``AUDITED`` nodes that the graph has, or that are inside a component of ``whole`` (node, root)."""
+    inside = F.lit(None).cast("long").alias("root")
+    known = nodes.select("node", "kind", "vec", inside) if whole is None else nodes.select("node", "kind", "vec").join(whole, "node", "left")
+    asked = known.orderBy(F.xxhash64("node")).limit(AUDITED).collect()  # bounded
     if not asked:
         return 1.0
+    of_kind = {k: [r for r in asked if r.kind == k] for k in {r.kind for r in asked}}
     shared = nodes.sparkSession.sparkContext.broadcast(
-        {k: ([r.node for r in asked if r.kind == k], _matrix([r.vec for r in asked if r.kind == k])) for k in {r.kind for r in asked}}
+        {tuple(k): ([r.node for r in rs], [-1 if r.root is None else r.root for r in rs], _matrix([r.vec for r in rs])) for k, rs in of_kind.items()}
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {tuple(k): v for k, v in shared.value.items()}
         for batch in batches:
             kind = [(k["label"], k["width"]) for k in batch.column("kind").to_pylist()]
             node, vec = batch.column("node").to_numpy(), batch.column("vec").to_pylist()
-            for k in set(kind) & set(kinds):
-                mine = [i for i, x in enumerate(kind) if x == k]
-                ids, x = kinds[k]
-                sim = x @ _matrix([vec[i] for i in mine]).T
-                row, column = np.nonzero(sim >= threshold)
-                u, v = np.array(ids)[row], node[np.array(mine)[column]]
-                other = u != v
-                yield pa.RecordBatch.from_arrays([pa.array(u[other]), pa.array(v[other])], names=["u", "v"])
-
-    true = nodes.select("node", "kind", "vec").mapInArrow(compare, "u long, v long")
-    found = graph.filter(F.col("sim") >= threshold)
-    hits = found.join(true.select("u", "v"), ["u", "v"]).groupBy("u").agg(F.count(F.lit(1)).alias("found"))
-    per = true.groupBy("u").agg(F.least(F.count(F.lit(1)), F.lit(NEAR)).alias("true")).join(hits, "u", "left")
-    row = per.agg(F.sum("true").alias("true"), F.sum("found").alias("found")).first()
+            root = batch.column("root").fill_null(-2).to_numpy()
+            for k in set(kind) & set(shared.value):
+                mine = np.array([i for i, x in enumerate(kind) if x == k])
+                ids, roots, x = shared.value[k]
+                row, column = np.nonzero(x @ _matrix([vec[i] for i in mine]).T >= threshold)
+                u, v = np.array(ids)[row], node[mine[column]]
+                counted = np.array(roots)[row] == root[mine[column]]
+                # links that are counted already are told by their number only
+                at, n = np.unique(u[counted & (u != v)], return_counts=True)
+                open_u, open_v = (z[~counted & (u != v)] for z in (u, v))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([at, open_u]), pa.int64()),
+                        pa.array([None] * len(at) + open_v.tolist(), pa.int64()),
+                        pa.array(np.concatenate([n, np.ones(len(open_u))]), pa.int64()),
+                    ],
+                    names=["u", "v", "n"],
+                )
+
+    true = known.mapInArrow(compare, "u long, v long, n long")
+    found = graph.filter(F.col("sim") >= threshold).select("u", "v").distinct().withColumn("found", F.lit(True))
+    hit = F.col("v").isNull() | F.col("found")
+    row = true.join(found, ["u", "v"], "left").agg(F.sum("n").alias("true"), F.sum(F.when(hit, F.col("n"))).alias("found")).first()
     return 1.0 if not row["true"] else (row["found"] or 0) / row["true"]
 
 
@@ -210,37 +225,53 @@ def _links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
     return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def neighbour_graph(nodes: DataFrame, threshold: float = THRESHOLD, seed: int = 42) -> tuple[DataFrame, float]:
-    """Lists of nearest nodes (u, v, sim), and the audited recall of their links."""
-    total, graph, recall = nodes.count(), None, 0.0
-    for turn in range(SETS):
-        fresh = _by_planes(nodes, total, seed + turn)
-        graph = stored(_nearest(fresh if graph is None else graph.unionByName(fresh)), "vector-graph")
-        for step in range(ROUNDS):
-            found = stored(_descend(graph, nodes, seed + 100 * turn + step), "vector-found")
-            changes = found.count()
-            graph = stored(_nearest(graph.unionByName(found)), "vector-graph")
-            if changes <= SETTLED * total * NEAR:
-                break
-        recall = audit(graph, nodes, threshold)
-        if recall >= RECALL:
+def _search(nodes: DataFrame, total: int, seed: int, graph: DataFrame | None = None, inner: DataFrame | None = None) -> DataFrame:
+    """Lists of nearest nodes of other roots (u, v, sim) after one set of planes more, and its rounds."""
+    fresh = _by_planes(nodes, total, seed)
+    graph = stored(_nearest(fresh if graph is None else graph.unionByName(fresh)), "vector-graph")
+    for step in range(ROUNDS):
+        found = stored(_descend(graph, nodes, 100 * seed + step, inner), "vector-found")
+        changes = found.count()
+        graph = stored(_nearest(graph.unionByName(found)), "vector-graph")
+        if changes <= SETTLED * total * NEAR:
             break
-    return graph, recall
+    return graph
+
+
+def _joined(graph: DataFrame, near: DataFrame, nodes: DataFrame, threshold: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links with those between components of nodes with full lists, (node, root) of linked nodes, and the roots of such components."""
+    full = graph.filter(F.col("sim") >= threshold).groupBy("u").agg(F.count(F.lit(1)).alias("c"))
+    full = stored(full.filter(F.col("c") >= NEAR).select(F.col("u").alias("node")), "vector-full")
+    while True:
+        found = components(near.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        placed = stored(found.withColumnRenamed("id", "node"), "vector-components")
+        crowd = nodes.drop("root").join(full, "node").join(placed, "node")
+        several = crowd.groupBy("kind").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("kind")
+        crowd = stored(crowd.join(several, "kind"), "vector-crowd")
+        total = crowd.count()
+        across = _search(crowd, total, seed, inner=graph).filter(F.col("sim") >= threshold) if total else None
+        if across is None or across.isEmpty():
+            return near, placed, stored(placed.join(full, "node").select("root").distinct(), "vector-full")
+        near = stored(near.unionByName(across).distinct(), "vector-links")
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, seed: int = 42) -> DataFrame:
     """(vec_id, n_links, component_id, kept, recall) of every row of ``rows`` (vec_id, embedding, label)."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
-    nodes = stored(nodes_of(rows), "vector-nodes")
-    graph, recall = neighbour_graph(nodes, threshold, seed)
-    near = stored(graph.filter(F.col("sim") >= threshold), "vector-links")
-    found = components(near.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    placed = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = stored(nodes_of(rows).withColumn("root", F.col("node")), "vector-nodes")
+    total, graph, near = nodes.count(), None, None
+    for turn in range(SETS):
+        graph = _search(nodes, total, seed + turn, graph)
+        known = graph.filter(F.col("sim") >= threshold)
+        near = stored(known if near is None else near.unionByName(known).distinct(), "vector-links")
+        near, found, full = _joined(graph, near, nodes, threshold, seed + turn)
+        recall = audit(near, nodes, threshold, found.join(full, "root").select("node", "root"))
+        if recall >= RECALL:
+            break
+    placed = nodes.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stored(placed.select("node", "root", "least", "n"), "vector-components")
     first = placed.groupBy("root").agg(F.min("least").alias("component_id"))
 
-    saturated = near.groupBy("u").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= NEAR).select(F.col("u").alias("node"))
-    full = stored(placed.join(saturated, "node").select("root").distinct(), "vector-full")
     dense = placed.join(full, "root").select("root", "node", "n").join(nodes.select("node", "vec"), "node")
     sparse = near.select("u", "v").unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     sparse = sparse.join(placed.select(F.col("node").alias("v"), "n", "root"), "v").join(full, "root", "left_anti")

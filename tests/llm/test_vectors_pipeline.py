@@ -59,6 +59,34 @@ def test_groups_chains_copies_and_unusable_vectors(spark, monkeypatch):
     assert len(got) == len(rows) and facts(got) == brute.near_vectors(stored)
 
 
+def test_dense_groups_with_links_between_them(spark):
+    rng, rows = np.random.default_rng(11), []
+    for label in (1, 2):
+        one, side = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        for angle in (0, 0.14):  # cosine 0.99 between the middles
+            for _ in range(20):  # more near ones than a list holds
+                v = np.cos(angle) * one + np.sin(angle) * side + rng.normal(size=32) * 0.004
+                rows.append((len(rows), [float(x) for x in v], label, 0))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    want = brute.near_vectors([tuple(r)[:3] for r in frame.collect()])
+    assert sorted({c for _, c, _ in want.values()}) == [0, 40] and min(n for n, _, _ in want.values()) > 20
+    got = vectors.near_duplicates(frame).collect()
+    assert facts(got) == want and {r.recall for r in got} == {1.0}
+
+
+def test_audit_counts_all_links(spark):
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=16)
+    rows = [(i, [float(x) for x in base + 0.001 * rng.normal(size=16)], 1) for i in range(vectors.NEAR * 2 + 1)]
+    nodes = vectors.nodes_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).cache()
+    ids = sorted(r.node for r in nodes.collect())
+    half = [(u, ids[(i + k) % len(ids)], 1.0) for i, u in enumerate(ids) for k in range(1, vectors.NEAR + 1)]
+    assert vectors.audit(spark.createDataFrame(half, vectors.EDGE), nodes, 0.98) == 0.5
+    whole = spark.createDataFrame([(i, ids[0]) for i in ids], "node long, root long")
+    assert vectors.audit(spark.createDataFrame([], vectors.EDGE), nodes, 0.98, whole) == 1
+    nodes.unpersist()
+
+
 def test_vectors_of_missing_ids_and_no_rows(spark):
     got = vectors.near_duplicates(spark.createDataFrame([(None, [1.0, 2.0], 1, 0), (5, [2.0, 4.0], 1, 0), (5, [2.0, 4.0], 1, 0)], SCHEMA)).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in got) == [(0, 2, 5), (5, 2, 5), (5, 2, 5)]
