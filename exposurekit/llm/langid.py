@@ -1,10 +1,11 @@
 """Language of whole texts: known words by log frequency per language, unseen ones by ever shorter character n-grams.
 
 The model is counted over all training texts: words per language, and from the table
-of words the n-grams inside ``_word_``. It keeps the ``words`` most frequent words of
-a language and the ``grams`` most frequent n-grams of a language and length, which
-bounds what tasks hold; all words are counted. A word that the model has scores the
-log of its smoothed share in each language. Any other word scores the mean over its
+of words the n-grams inside ``_word_``. Tasks hold the ``words`` most frequent words
+of a language and the ``grams`` most frequent n-grams of a language and length, with
+their counts in all languages; other words are written out and looked up by joins
+with the whole tables, so a score does not depend on what tasks hold. A word that was
+counted scores the log of its smoothed share in each language. Any other word scores the mean over its
 characters' longest known n-grams, from ``LONGEST`` down to one; where no n-gram is
 known it says nothing. A text's score sums its words; confidence is the best
 language's posterior with equal priors.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,11 +110,20 @@ def most_frequent(counts: DataFrame, by: list[str], keep: int) -> DataFrame:
     return counts.join(F.broadcast(least), by).filter("n >= least").drop("least")  # one row per group
 
 
+def everywhere(counts: DataFrame, by: list[str], keep: int, key: str) -> DataFrame:
+    """Rows of all languages whose ``key`` is among the most frequent of any group."""
+    return counts.join(most_frequent(counts, by, keep).select(key).distinct(), key, "left_semi")
+
+
 class Model:
-    """Log shares per language of words and n-grams; a few MB, sent to tasks as a broadcast variable."""
+    """Log shares per language of words and n-grams; what tasks hold is a few MB, sent to them as a broadcast variable."""
+
+    counts: DataFrame | None = None  # all words and n-grams, on the driver only
+    pieces: DataFrame | None = None
 
     def __init__(self, langs: list[str], longest: int, words: list, grams: list, word_totals: dict, gram_totals: dict):
         self.langs, self.longest = langs, longest
+        self.word_totals, self.gram_totals = word_totals, gram_totals
         self.known, self.known_logs = self._table([(w.lang, w.word.encode(), 0, w.n) for w in words], {(x, 0): t for x, t in word_totals.items()})
         self.grams, self.gram_logs = self._table([(g.lang, g.gram, g["size"], g.n) for g in grams], gram_totals)
 
@@ -126,6 +137,9 @@ class Model:
         below = {s: [n + 0.5 * (v + 1) for n, v in (totals.get((x, s), (0, 0)) for x in self.langs)] for s in set(sizes.values())}
         return place, np.log((count + 0.5) / np.array([below[s] for s in sizes.values()]).reshape(count.shape))
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("counts", "pieces")}
+
     def score(self, words: list[bytes]) -> np.ndarray:
         """Log scores of words, a column per language."""
         out = np.zeros((len(words), len(self.langs)))
@@ -163,38 +177,116 @@ def fit(docs: DataFrame, words: int = WORDS, grams: int = GRAMS, longest: int =
         (r.lang, r["size"]): (r.n, r.v)
         for r in pieces.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     }
-    return Model(
+    model = Model(
         sorted(word_totals),
         longest,
-        most_frequent(counts, ["lang"], words).collect(),
-        most_frequent(pieces, ["lang", "size"], grams).collect(),
+        everywhere(counts, ["lang"], words, "word").collect(),
+        everywhere(pieces, ["lang", "size"], grams, "gram").collect(),
         word_totals,
         gram_totals,
     )
+    model.counts, model.pieces = counts, pieces
+    return model
+
+
+def _logs(counts: DataFrame, key: str, langs: list[str], totals: dict) -> DataFrame:
+    """(``key``, logs) of (lang, ``key``, size, n): what ``Model._table`` has, for any number of rows. ``totals``: by (lang, size)."""
+    sizes = range(max((s for _, s in totals), default=0) + 1)
+
+    def log(lang: str) -> Column:
+        n, below = F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)), [totals.get((lang, s), (0, 0)) for s in sizes]
+        return F.log((n + 0.5) / F.element_at(F.array(*[F.lit(float(t + 0.5 * (v + 1))) for t, v in below]), F.col("size") + 1))
+
+    return counts.groupBy(key, "size").agg(F.array(*[log(x) for x in langs]).alias("logs")).select(key, "logs")
+
+
+def _looked_up(words: DataFrame, model: Model, shared) -> DataFrame:
+    """(word, logs) of distinct words that tasks do not hold; a word of which nothing is known has no row.
+
+    Unseen words are scored with the n-grams that tasks hold; where a longer one than
+    the longest of these may be in the whole table, it is asked for.
+    """
+    seen = _logs(
+        model.counts.join(words, "word", "left_semi").withColumn("size", F.lit(0)), "word", model.langs, {(x, 0): t for x, t in model.word_totals.items()}
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            rows: list[tuple] = []  # word, place, size, n-gram to ask for, logs
+            for word in batch.column("word").to_pylist():
+                marked = f"_{word}_"
+                for j in range(len(marked)):
+                    for size in range(min(model.longest, len(marked) - j), 0, -1):
+                        gram = marked[j : j + size]
+                        found = model.grams.get(gram)
+                        if found is not None:
+                            rows.append((word, j, size, None, model.gram_logs[found].tolist()))
+                            break
+                        rows.append((word, j, size, gram, None))
+            columns = zip(*rows) if rows else [()] * 5
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["word", "at", "size", "gram", "logs"])
+
+    unseen = words.join(model.counts.select("word").distinct(), "word", "left_anti")
+    asked = stored(unseen.mapInArrow(tidy(run), "word string, at int, size int, gram string, logs array<double>"), "lang-unseen")
+    gram_logs = _logs(model.pieces.join(asked.select("gram"), "gram", "left_semi"), "gram", model.langs, model.gram_totals)
+    told = asked.filter("gram is null").drop("gram").unionByName(asked.filter("gram is not null").drop("logs").join(gram_logs, "gram").drop("gram"))
+    best = told.groupBy("word", "at").agg(F.max_by("logs", "size").alias("logs"))
+    means = F.array(*[F.avg(F.col("logs")[j]) for j in range(len(model.langs))])
+    return seen.unionByName(best.groupBy("word").agg(means.alias("logs")))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score. Only ``text`` is looked at."""
+    """``keep`` columns of ``docs`` with lang_pred and score. Only ``text`` is looked at.
+
+    Words that tasks do not hold are written out with the row they are in, and their
+    scores come by a join on the word.
+    """
+    if not model.langs:
+        return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", lang_pred string, score double"
+    kept = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
+    schema = f"_row long, {kept}, _letter boolean, _sums array<double>, _rare array<struct<word:string,times:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        langs = np.array([*model.langs, UNKNOWN], object)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for rows in slices(batch, "_low"):
                 words, first = words_of(*byte_view(rows.column("_low")), BREAKS)
                 coded = words.dictionary_encode()
-                scores = model.score(values_of(coded.dictionary))
-                at = coded.indices.to_numpy()
-                total = np.stack([sums_by_row(scores[at, j], first) for j in range(len(model.langs))], axis=1) if model.langs else np.zeros((rows.num_rows, 0))
-                told = rows.column("_letter").to_numpy(zero_copy_only=False).astype(bool) & bool(model.langs)
-                best = np.where(told, total.argmax(axis=1) if model.langs else 0, len(model.langs))
-                sure = np.zeros(rows.num_rows)
-                if model.langs:
-                    sure = np.where(told, 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
-                out = [rows.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(langs[best], pa.string()), pa.array(sure)], names=[*keep, "lang_pred", "score"])
+                distinct, at, n_rows = values_of(coded.dictionary), coded.indices.to_numpy(), rows.num_rows
+                place = np.array([model.known.get(w, -1) for w in distinct], np.int64)
+                scores = np.zeros((len(distinct), len(model.langs)))
+                scores[place >= 0] = model.known_logs[place[place >= 0]]
+                total = np.stack([sums_by_row(scores[at, j], first) for j in range(len(model.langs))], axis=1)
+                # words to look up, each once per row
+                owner, rare = np.repeat(np.arange(n_rows), np.diff(first)), np.flatnonzero(place[at] < 0)
+                pairs, times = np.unique(owner[rare] * np.int64(len(distinct) + 1) + at[rare], return_counts=True)
+                who, which = pairs // (len(distinct) + 1), pairs % (len(distinct) + 1)
+                cells = pa.StructArray.from_arrays(
+                    [coded.dictionary.take(pa.array(which)).cast(pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], names=["word", "times"]
+                )
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(n_rows + 1)), pa.int32()), cells)
+                out = [pa.array(np.arange(row, row + n_rows)), *[rows.column(c) for c in keep], rows.column("_letter"), pa.array(list(total), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*out, lists], names=["_row", *keep, "_letter", "_sums", "_rare"])
+                row += n_rows
 
     low, letter = _lower(F.col("text")), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*keep, low.alias("_low"), letter.alias("_letter")).mapInArrow(tidy(run), schema)
+    first_pass = stored(docs.select(*keep, low.alias("_low"), letter.alias("_letter")).mapInArrow(tidy(run), schema), "lang-scores")
+    rare = first_pass.select("_row", F.explode("_rare").alias("_r")).select("_row", "_r.*")
+    logs = stored(_looked_up(rare.select("word").distinct(), model, shared), "lang-rare")
+    more = F.array(*[F.sum(F.col("times") * F.col("logs")[j]) for j in range(len(model.langs))])
+    sums = rare.join(logs, "word").groupBy("_row").agg(more.alias("_more"))
+    whole = first_pass.drop("_rare").join(sums, "_row", "left")
+    total = F.when(F.col("_more").isNull(), F.col("_sums")).otherwise(F.zip_with("_sums", "_more", lambda a, b: a + b))
+    whole = whole.withColumn("_total", total).withColumn("_most", F.array_max("_total"))
+    names = F.array(*[F.lit(x) for x in model.langs])
+    best = F.element_at(names, F.array_position("_total", F.col("_most")).cast("int"))
+    sure = 1 / F.aggregate("_total", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_most")))
+    return whole.select(
+        *keep,
+        F.when(F.col("_letter"), best).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
+        F.when(F.col("_letter"), sure).otherwise(F.lit(0.0)).alias("score"),
+    )

@@ -239,6 +239,19 @@ def test_language_of_odd_rows(spark):
     assert langid.predict(documents(spark, []), model, ["doc_id"]).count() == 0
 
 
+def test_language_does_not_depend_on_what_tasks_hold(spark, docs):
+    from pyspark.sql import functions as F
+
+    rows = docs.select("doc_id", F.substring("text", 1, 60).alias("text"), "lang")
+    train = rows.filter(F.col("doc_id") % 3 != 1)
+    got = []
+    for words, grams in ((50, 40), (10**6, 10**6)):
+        found = langid.predict(rows, langid.fit(train, words, grams), ["doc_id"]).collect()
+        got.append({r.doc_id: (r.lang_pred, r.score) for r in found})
+    assert {i: p for i, (p, _) in got[0].items()} == {i: p for i, (p, _) in got[1].items()}
+    assert [got[0][i][1] for i in sorted(got[0])] == pytest.approx([got[1][i][1] for i in sorted(got[1])])
+
+
 def test_grams_back_off_to_shorter_ones():
     row = lambda **x: type("Row", (), {**x, "__getitem__": lambda s, k: getattr(s, k)})()
     grams = [row(lang="a", gram=g, size=len(g), n=5) for g in ("_x", "xy", "y")] + [row(lang="b", gram="y", size=1, n=50)]
