@@ -4,7 +4,8 @@ The byte-level pattern always starts a new match at white space that follows a s
 character, and between a letter and a punctuation mark other than the apostrophe, so
 text may be cut there without changing its ids. Tasks encode distinct pieces only and
 put the ids of documents together from them. A piece of letters is one match of the
-pattern and goes straight to the tokenizer's model; others go through all of it.
+pattern and goes straight to the tokenizer's model; others go through all of it. A
+text that holds the string of an added token is not cut: the whole tokenizer encodes it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import binary_array, byte_view, ragged, values_of
 
@@ -53,14 +55,14 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of a column of texts. Strings of special tokens in a text are ordinary text."""
+    """Ids of a column of texts, as the library gives them without adding special tokens of its own."""
 
     def __init__(self, path: str, max_pieces: int = MAX_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.model, self.shown = self.tokenizer.model, dict(enumerate(byte_characters()))
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.max_pieces = max_pieces
@@ -101,6 +103,21 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, and how many each row has; null is empty."""
+        whole = np.zeros(len(texts), bool)
+        for content in self.added:
+            whole |= pc.fill_null(pc.match_substring(texts, content), False).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._encode_cut(texts)
+        cut_ids, lengths = self._encode_cut(pc.if_else(pa.array(whole), pa.scalar(None, texts.type), texts))
+        rows = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)]
+        lengths[whole] = [len(r) for r in rows]
+        ids = np.empty(lengths.sum(), self.kind)
+        own = np.repeat(whole, lengths)
+        ids[own], ids[~own] = np.concatenate(rows), cut_ids
+        return ids, lengths
+
+    def _encode_cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of texts without strings of added tokens."""
         data, offsets = byte_view(texts)
         if not len(data):
             return self.ids[:0].copy(), np.zeros(len(texts), np.int64)

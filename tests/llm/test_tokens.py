@@ -34,6 +34,18 @@ def test_ids_are_the_librarys(plain):
             assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_added_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(default_tokenizer()), Encoder(default_tokenizer())
+    texts = ["a <|endoftext|>b", "x, y", None, "<|endoftext|>" * 3, "", "é <|endoftext|> it's <|endoftext", "<|endoftext |>"]
+    for part in (texts, texts[1:3], texts[3:4], []):
+        ids, lengths = own.encode(pa.array(part, pa.string()))
+        want = [e.ids for e in plain.encode_batch([t or "" for t in part], add_special_tokens=False)]
+        assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert own.encode(pa.array(texts[:1], pa.string()))[0].tolist() == [64, 220, 50256, 65]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 1 << 17), st.integers(0, (1 << 64) - 1)), max_size=90), st.integers(1, 40))
 def test_words_decode_to_the_values(values, block):
