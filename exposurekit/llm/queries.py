@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, lm, mixing, packing, simhash, suffix, syncmers, token_files, vectors
+from . import centroids, chat, langid, lm, mixing, packing, simhash, suffix, syncmers, token_files, vectors
 from .common import fold
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401  (the full tables, once this module is read)
 
@@ -62,3 +62,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_array_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.without_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
+@query("op11_centroid_clusters", centroids.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), clusters=40, rounds=5)
