@@ -64,14 +64,14 @@ def first_centroids(vectors: DataFrame, clusters: int = CLUSTERS, seed: int = SE
     return [r.x for r in vectors.select(key.alias("key"), "x").orderBy("key", "x").limit(clusters).collect()]
 
 
-def blocks(vectors: DataFrame) -> DataFrame:
-    """(block, ids, x): up to ``BLOCK`` vectors a row, x as little-endian 32-bit integers."""
+def blocks(vectors: DataFrame, most: int = BLOCK) -> DataFrame:
+    """(block, ids, x): up to ``most`` vectors a row, x as little-endian 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for low in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(low, BLOCK)
+            for low in range(0, batch.num_rows, most):
+                part = batch.slice(low, most)
                 x = part.column("x").flatten().to_numpy(zero_copy_only=False).astype("<i4")
                 ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("vec_id"))
                 yield pa.RecordBatch.from_arrays([pa.array([block]), ids, pa.array([x.tobytes()], pa.binary())], names=["block", "ids", "x"])
@@ -213,6 +213,7 @@ def cluster(
     width: int = WIDTH,
     scale: int = SCALE,
     seed: int = SEED,
+    block: int = BLOCK,
     looked: list | None = None,
 ) -> DataFrame:
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of every kept vector.
@@ -225,7 +226,7 @@ def cluster(
     if not start:
         return spark.createDataFrame([], f"{OUT}, cluster_inertia long, inertia long, centroid_sha256 string")
     c = np.array(start, np.int64)
-    k, packed = len(c), stored(blocks(vectors), "cluster-vectors")
+    k, packed = len(c), stored(blocks(vectors, block), "cluster-vectors")
     n = packed.agg(F.sum(F.size("ids"))).first()[0]
     with Bucketed(spark, "block", max(spark.sparkContext.defaultParallelism, -(-n // BUCKET)), rows=16) as tables:
         table = tables.put(packed, "cluster-blocks")

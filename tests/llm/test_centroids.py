@@ -43,14 +43,13 @@ def crowd(rng, n, width, spread):
 
 
 @pytest.mark.parametrize("block, clusters, rounds", [(7, 9, 5), (4096, 1, 1), (64, 500, 2)])
-def test_rounds_equal_plain_ones(spark, monkeypatch, block, clusters, rounds):
-    monkeypatch.setattr(centroids, "BLOCK", block)
+def test_rounds_equal_plain_ones(spark, block, clusters, rounds):
     rng = np.random.default_rng(5)
     rows = crowd(rng, 150, 5, 0.4)
     rows += [(200, rows[0][1]), (201, rows[0][1]), (201, rows[0][1]), (None, rows[3][1]), (None, rows[4][1])]
     rows += [(300, None), (301, []), (302, [1.0] * 4), (303, [float("nan")] + [0.0] * 4), (304, [None] + [0.0] * 4), (305, [float("inf")] * 5)]
     rows += [(400 + i, [0.0] * 5) for i in range(30)]  # one group of equal vectors
-    got = centroids.cluster(frame(spark, rows), clusters, rounds, width=5).collect()
+    got = centroids.cluster(frame(spark, rows), clusters, rounds, width=5, block=block).collect()
     assert order(got) == order(plain(rows, clusters, rounds, 5, 256))
 
 
