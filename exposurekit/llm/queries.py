@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, langid, lm, mixing, packing, simhash, suffix, syncmers, token_files, toxicity, vectors
+from . import centroids, chat, collocations, langid, lm, mixing, packing, simhash, suffix, syncmers, token_files, toxicity, vectors
 from .common import fold
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401  (the full tables, once this module is read)
 
@@ -74,3 +74,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
     model = toxicity.fit(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, ["doc_id", "held_out"])
+
+
+@query("op13_setm_collocations", collocations.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, inside=50, top=2000)
