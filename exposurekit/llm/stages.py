@@ -32,8 +32,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a score of at least ``LEAST_SCORE``; ``und`` goes."""
     rows = _packed(docs)
     model = langid.fit(rows.filter(fold(F.col("doc_id"), 3) != 1))
-    told = langid.predict(rows, model, ["doc"])
-    return told.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc.*")
+    clear = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    if model.whole:  # one pass
+        return langid.predict(rows, model, ["doc"]).filter(clear).select("doc.*")
+    rows = _numbered(docs)  # what is written and joined holds numbers, not documents
+    told = langid.predict(rows, model, ["doc_id"]).filter(clear).select("doc_id")
+    return rows.join(told, "doc_id", "left_semi").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,6 +94,51 @@ def near_vectors(rows, threshold=0.98):
     return {r[0]: (links[r[0]], groups.find(r[0]), groups.find(r[0]) == r[0]) for r in rows}
 
 
+def languages(train, texts, longest=4, least=2):
+    """Language and score of ``texts`` after counting ``train`` (text, lang), word by word."""
+
+    def words_in(text):
+        return re.findall("[a-z\x80-\U0010ffff]+", (text or "").lower())
+
+    counts = {}
+    for text, lang in train:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(words_in(text))
+    langs = sorted(x for x in counts if counts[x])
+    total = sum(counts.values(), Counter())
+    grams = {(x, s): Counter() for x in langs for s in range(1, longest + 1)}
+    for x in langs:
+        for w in counts[x]:
+            grams[x, 1].update(w)
+            for s in range(2, longest + 1):
+                grams[x, s].update(f"_{w}_"[i : i + s] for i in range(len(w) + 3 - s))
+
+    def share(table, key):
+        return math.log((table[key] + 0.5) / (sum(table.values()) + 0.5 * (len(table) + 1)))
+
+    def logs(word):
+        if total[word] >= least:
+            return [share(counts[x], word) for x in langs]
+        marked, found = f"_{word}_", []
+        for j in range(len(marked)):
+            for s in range(min(longest, len(marked) - j), 0, -1):
+                gram = marked[j : j + s]
+                if (s > 1 or gram != "_") and any(grams[x, s][gram] for x in langs):
+                    found.append([share(grams[x, s], gram) for x in langs])
+                    break
+        return [sum(v) / len(found) for v in zip(*found)] if found else [0.0] * len(langs)
+
+    out = []
+    for text in texts:
+        if not langs or not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        sums = [sum(v) for v in zip(*[logs(w) for w in words_in(text)], [0.0] * len(langs))]
+        best = max(sums)
+        out.append((langs[sums.index(best)], 1 / sum(math.exp(x - best) for x in sums)))
+    return out
+
+
 def _signed(x):
     return x - (1 << 64) if x >> 63 else x
 

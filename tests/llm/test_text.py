@@ -239,33 +239,43 @@ def test_language_of_odd_rows(spark):
     assert langid.predict(documents(spark, []), model, ["doc_id"]).count() == 0
 
 
-def test_language_does_not_depend_on_what_tasks_hold(spark, docs):
-    from pyspark.sql import functions as F
-
-    rows = docs.select("doc_id", F.substring("text", 1, 60).alias("text"), "lang")
-    train = rows.filter(F.col("doc_id") % 3 != 1)
-    got = []
-    for words, grams in ((50, 40), (10**6, 10**6)):
-        found = langid.predict(rows, langid.fit(train, words, grams), ["doc_id"]).collect()
-        got.append({r.doc_id: (r.lang_pred, r.score) for r in found})
-    assert {i: p for i, (p, _) in got[0].items()} == {i: p for i, (p, _) in got[1].items()}
-    assert [got[0][i][1] for i in sorted(got[0])] == pytest.approx([got[1][i][1] for i in sorted(got[1])])
-
-
-def test_grams_back_off_to_shorter_ones():
-    row = lambda **x: type("Row", (), {**x, "__getitem__": lambda s, k: getattr(s, k)})()
-    grams = [row(lang="a", gram=g, size=len(g), n=5) for g in ("_x", "xy", "y")] + [row(lang="b", gram="y", size=1, n=50)]
-    model = langid.Model(["a", "b"], 2, [row(lang="a", word="known", n=3)], grams, {"a": (3, 1), "b": (3, 1)}, {("a", 1): (5, 1), ("a", 2): (10, 2), ("b", 1): (50, 1)})
-    known, unseen, silent = model.score([b"known", b"xy", b"q"])
-    assert known[0] > known[1] and silent.tolist() == [0, 0]
-    used = [model.gram_logs[model.grams[g]] for g in ("_x", "xy", "y")]  # "y_" is not known, "_" neither
-    assert unseen == pytest.approx(np.mean(used, axis=0))
-
-
-def test_frequent_rows_are_cut_between_counts(spark):
-    rows = spark.createDataFrame([("a", w, n) for w, n in zip("pqrstu", (9, 5, 5, 5, 2, 1))] + [("b", "x", 1)], "lang string, word string, n long")
-    keep = lambda k: sorted(r.word for r in langid.most_frequent(rows, ["lang"], k).collect())
-    assert (keep(1), keep(3), keep(4), keep(9)) == (["p", "x"], ["p", "x"], ["p", "q", "r", "s", "x"], list("pqrstux"))
+@pytest.mark.parametrize("held", [1 << 21, 300, 0])
+def test_language_equals_plain_counts_whatever_tasks_hold(spark, held):
+    rng = random.Random(11)
+    sounds = {"aa": "abcde", "bb": "cdefgéß", "cc": "日本語学", None: "xyz"}
+    word = lambda s: "".join(rng.choices(s, k=rng.randint(1, 5)))
+    lexicon = {x: [word(s) for _ in range(40)] for x, s in sounds.items()}
+    text = lambda x: " ".join(rng.choice(lexicon[x]) if rng.random() < 0.7 else word(sounds[x]).title() for _ in range(rng.randint(0, 12)))
+    train = [(text(x), x) for x in rng.choices(list(sounds), k=60)] + [(None, "aa"), ("", "bb"), ("7", "dd")]
+    texts = [text(x) for x in rng.choices(list(sounds), k=60)] + [None, "", "42", "ab ab ab", "q", "hot " * 400, "_a_", "x" * 5000]
+    texts += ["zzz hot"] * 50  # an unseen word in many rows
+    model = langid.fit(documents(spark, [(i, t, x, None) for i, (t, x) in enumerate(train)]), held, held)
+    assert model.whole == (held > 300) and len(model.words.n) <= held and len(model.grams.n) <= held
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(documents(spark, list(enumerate(texts))), model, ["doc_id", "tie"]).collect()}
+    for i, (lang, score) in enumerate(brute.languages(train, texts)):
+        assert got[i][1] == pytest.approx(score, rel=1e-6, abs=1e-9), texts[i]
+        assert got[i][0] == lang or score <= 0.5 + 1e-6, texts[i]  # sums in another order may break a draw otherwise
+
+
+def test_grams_back_off_to_shorter_ones(spark):
+    model = langid.fit(documents(spark, [(1, "xyz xyz known known", "a", None), (2, "q known", "b", None)]), longest=2)
+    asked = [b"xyzy", b"vv", b"q"]
+    scores = model.backed_off(asked)
+    known, there = model.known_words([b"known", b"xyz", b"never"])
+    assert there.tolist() == [True, True, False] and known[0, 0] > known[0, 1]
+    assert scores[1].tolist() == [0, 0] and scores[0, 0] > scores[0, 1] and scores[2, 1] > scores[2, 0]
+
+
+def test_tasks_hold_the_most_frequent(spark):
+    cells = lambda *n: [(i, v) for i, v in enumerate(n)]
+    rows = [(1, 9, cells(4, 5)), (2, 7, cells(7)), (3, 7, cells(3, 4)), (4, 1, cells(1)), (-5, 1, cells(1))]
+    table = spark.createDataFrame(rows, "key long, total long, cells array<struct<lang:int,n:long>>")
+    kept = lambda limit: sorted(langid.Held.of(table, limit).keys.tolist())
+    assert (kept(1), kept(2), kept(4), kept(5), kept(7)) == ([], [1], [1], [1, 2, 3], [-5, 1, 2, 3, 4])
+    held = langid.Held.of(table, 7)
+    at = held.find(np.array([3, 8, -5]))
+    assert at[1] == -1 and held.whole
+    assert held.gains(at[[0, 2]], np.array([0, 1]), 2, 2) == pytest.approx(np.log([[7, 9], [3, 1]]))
 
 
 # chat
