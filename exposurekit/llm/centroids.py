@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bucketed, stored
+from .common import Bucketed, few_rows, stored
 
 CLUSTERS = 40
 ROUNDS = 5
@@ -40,6 +40,7 @@ SEED = 2
 LIMIT = 1 << 27  # of a scaled component: a squared distance over 64 of them stays below 2^63
 EXACT = 1 << 22  # components up to this size give exact products in double precision
 BLOCK = 4096
+BLOCKS = 16  # a task looks at at once
 BUCKET = 1 << 18  # vectors a bucket holds on average
 SLACK = 1e-9  # share of a distance that rounding of its root is allowed
 
@@ -228,10 +229,10 @@ def cluster(
     c = np.array(start, np.int64)
     k, packed = len(c), stored(blocks(vectors, block), "cluster-vectors")
     n = packed.agg(F.sum(F.size("ids"))).first()[0]
-    with Bucketed(spark, "block", max(spark.sparkContext.defaultParallelism, -(-n // BUCKET)), rows=16) as tables:
+    with Bucketed(spark, "block", max(spark.sparkContext.defaultParallelism, -(-n // BUCKET))) as tables:
         table = tables.put(packed, "cluster-blocks")
         drift, sums = np.zeros(k), np.zeros((k, width + 1), object)
-        state = tables.put(_started(table, c), "cluster-state", dealt=True)
+        state = tables.put(_started(table, c), "cluster-state", rows=BLOCKS)
         for turn in range(rounds + 1):
             if looked is not None:
                 looked.append(state.agg(F.sum("looked")).first()[0])
@@ -243,8 +244,9 @@ def cluster(
             largest = np.sort(way)[::-1]
             others = np.where(np.arange(k) == way.argmax(), largest[min(1, k - 1)], largest[0]) if k > 1 else np.zeros(1)
             drift, c = drift + way + others, new
-            state = tables.put(_again(table.join(state, "block"), c, drift), "cluster-state", dealt=True)
-        told = stored(_told(table.join(state, "block"), c), "cluster-rows")
+            state = tables.put(_again(table.join(state, "block"), c, drift), "cluster-state", rows=BLOCKS)
+        with few_rows(spark, BLOCKS):
+            told = stored(_told(table.join(state, "block"), c), "cluster-rows")
     inertia = told.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(20,0)")).alias("s")).collect()
     shas = [hashlib.sha256(",".join(map(str, v)).encode()).hexdigest() for v in c.tolist()]
     facts = [(r.cluster, int(r.s), int(sum(x.s for x in inertia)), shas[r.cluster]) for r in inertia]  # one row per cluster

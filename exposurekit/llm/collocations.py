@@ -36,6 +36,7 @@ LEAST = 10
 INSIDE = 50  # percent of a phrase's occurrences inside one longer phrase from which on it is dropped
 TOP = 2000
 BLOCK_BYTES = 8 << 20
+BLOCKS = 4  # a task looks at at once
 UNKNOWN = "und"
 
 BREAKS = np.zeros(256, bool)  # between pieces
@@ -165,7 +166,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
         found = [words.select("id", "n", "lang", F.col("word").alias("phrase"), "word", F.array("n").alias("firsts"), F.array("n").alias("lasts"))]
         counted = words
         for k in range(2, longest + 1):
-            relation = tables.put(_extended(relation, _numbers(tables, relation, counted, by)), f"phrases_{k}", dealt=True)
+            relation = tables.put(_extended(relation, _numbers(tables, relation, counted, by)), f"phrases_{k}", rows=BLOCKS)
             by = ["first", "last"]
             counted = _frequent(relation, by, least, f"phrases-{k}")
             before = found[-1]

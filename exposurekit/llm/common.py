@@ -6,7 +6,7 @@ import ctypes
 import sys
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -30,25 +30,35 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return cut_lineage(df, f"llm-{label}")
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def few_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tasks get at most ``rows`` rows at a time, for actions that run inside."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 class Bucketed:
     """Tables in the shared folder that are bucketed alike, so that joins of them on ``key`` move no rows.
 
-    Rows are blocks: few, and large. While the tables are open, tasks get ``rows`` of
-    them at a time. The tables are dropped from the catalog when the block of code ends,
-    so what is made of them has to be stored before.
+    The tables are dropped from the catalog when the block of code ends, so what is
+    made of them has to be stored before.
     """
 
-    def __init__(self, spark: SparkSession, key: str, buckets: int, rows: int = 4):
-        self.spark, self.key, self.buckets, self.rows = spark, key, min(max(buckets, 1), 100_000), rows
+    def __init__(self, spark: SparkSession, key: str, buckets: int):
+        self.spark, self.key, self.buckets = spark, key, min(max(buckets, 1), 100_000)
         self.names: list[str] = []
 
     def __enter__(self) -> Bucketed:
-        self.before = self.spark.conf.get(ARROW_ROWS)
-        self.spark.conf.set(ARROW_ROWS, str(self.rows))
         return self
 
     def __exit__(self, *_) -> None:
-        self.spark.conf.set(ARROW_ROWS, self.before)
         for name in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
@@ -56,29 +66,16 @@ class Bucketed:
         """Rows where a join with the tables wants them."""
         return df.repartition(self.buckets, self.key)
 
-    def put(self, df: DataFrame, label: str, dealt: bool = False) -> DataFrame:
-        """``df`` as such a table; ``dealt`` if its rows already lie as the tables' do."""
+    def put(self, df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+        """``df`` as such a table. With ``rows``, it is made of such tables and lies as they do; tasks get that many of their rows at a time."""
         name = f"llm_{label}_{uuid.uuid4().hex}".replace("-", "_")
-        rows = df if dealt else self.dealt(df)
-        rows.write.format("parquet").bucketBy(self.buckets, self.key).option("path", fresh_path(self.spark, f"llm-{label}")).saveAsTable(name)
+        there = df if rows else self.dealt(df)
+        with few_rows(self.spark, rows) if rows else nullcontext():
+            there.write.format("parquet").bucketBy(self.buckets, self.key).option("path", fresh_path(self.spark, f"llm-{label}")).saveAsTable(name)
         self.names.append(name)
         return self.spark.table(name)
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-@contextmanager
-def few_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Tasks get at most ``rows`` rows at a time, for actions that run inside."""
-    before = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(ARROW_ROWS, before)
-
-
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a missing id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts
