@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.wording import STREAMER_FEATURES, USER_FEATURES
 from ..session import broadcast_if_small
+from . import csv
 from .sinks import CSV_OWN, CSV_TEXT
 
 KEY_ROWS = 1_000_000
@@ -82,20 +83,26 @@ def read_table(
     columns: Sequence[str] | None = None,
     strict: bool = True,
     partial: bool = False,
+    stray_quotes: bool = False,
 ) -> DataFrame:
     """Read by name: a CSV with more columns, or in another order, still fits the schema.
 
     A column that a CSV lacks is an error, or, with ``partial``, left out. Texts may hold doubled quotes and line breaks;
-    files without text columns are split among tasks.
+    files are split among tasks all the same. ``stray_quotes``: unquoted fields hold quotes, so that only a reader that
+    starts at the top of a file can tell where texts end; such a file is one task's.
     """
     if fmt == "csv":
-        texts = any(isinstance(f.dataType, T.StringType) for f in schema.fields)
-        header = spark.read.options(**CSV_TEXT, multiLine=texts).csv(path)
-        absent = [f.name for f in schema.fields if f.name not in header.columns]
+        names = csv.header(spark, path)
+        absent = [f.name for f in schema.fields if f.name not in names]
         if absent and not partial:
             raise ValueError(f"{path} has no column {', '.join(absent)}")
+        quoted = any(isinstance(f.dataType, T.StringType) for f in schema.fields)
+        if quoted and not stray_quotes:
+            raw = csv.parsed_records(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in names]), CSV_TEXT)
+        else:
+            raw = spark.read.options(**CSV_TEXT, multiLine=quoted).csv(path)
         # types apply per column, so the file's own column order does not matter
-        df = header.select(*[parsed(f.name, f.dataType, strict).alias(f.name) for f in schema.fields if f.name not in absent])
+        df = raw.select(*[parsed(f.name, f.dataType, strict).alias(f.name) for f in schema.fields if f.name not in absent])
     else:
         df = spark.read.schema(schema).format(fmt).load(path)
     if columns is not None:
@@ -168,8 +175,10 @@ def read_modeling(spark: SparkSession, path: str, schema: T.StructType | None =
     if fmt == "csv":
         if schema is None:
             raise ValueError("a CSV modelling table needs its schema")
-        reader = spark.read.schema(schema).options(**CSV_OWN, multiLine=True, enforceSchema=False, mode="FAILFAST")
-        return missing_for_nan(reader.csv(path))
+        names = csv.header(spark, path)
+        if [c.lower() for c in names] != [c.lower() for c in schema.names]:
+            raise ValueError(f"{path} has columns {', '.join(names)}, not {', '.join(schema.names)}")
+        return missing_for_nan(csv.parsed_records(spark, path, schema, {**CSV_OWN, "mode": "FAILFAST"}))
     reader = spark.read if schema is None else spark.read.schema(schema)
     return missing_for_nan(reader.parquet(path))
 
