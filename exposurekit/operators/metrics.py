@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_to
-from .ordinal import prefix_sums, value_limits
+from .ordinal import prefix_sums, value_buckets
 from .responses import pair_runs
 
 
@@ -74,7 +74,7 @@ def balanced_accuracy(preds: DataFrame, y: str = "y", hard: str = "hard", by: Se
 
 def ranked_scores(preds: DataFrame, y: str, prob: str, by: Sequence[str]) -> DataFrame:
     """Per distinct score, highest first: ``pos``, ``neg``, their running sums and totals."""
-    limits = value_limits(preds, prob)
+    limits = value_buckets(preds, prob)
     cells = (
         preds.filter(F.col(prob).isNotNull())
         .groupBy(*by, F.col(prob).alias("_score"))

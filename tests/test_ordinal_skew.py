@@ -3,7 +3,19 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from exposurekit.operators.ordinal import cut_points, exact_quantiles, prefix_sums, seeded_key, value_bucket, value_limits, with_ordinal
+from exposurekit.operators import ordinal
+from exposurekit.operators.ordinal import (
+    cut_points,
+    deepened,
+    exact_quantiles,
+    hash_digits,
+    prefix_sums,
+    seeded_key,
+    value_bucket,
+    value_buckets,
+    value_limits,
+    with_ordinal,
+)
 from exposurekit.operators.skew import hot_keys, lookup_join, number_copies
 
 
@@ -149,3 +161,64 @@ def test_row_keys_differ_where_rows_do(spark):
     df = spark.createDataFrame(rows, "a string, b string, y int")
     assert df.select(text_key(["a", "b"]).alias("k")).distinct().count() == len(rows)
     assert balanced_sample(df, "y", 1, ["a", "b"]).count() == 2
+
+
+# buckets that follow the rows
+
+
+def scattered(spark, n=100_000):
+    """``n`` distinct scores, most of them in narrow ranges, in two groups; and one value with a third of all rows."""
+    return spark.range(n).select(
+        F.when(F.col("id") % 10 < 8, 0.5 + F.col("id") / 1e12).otherwise(F.pow(F.col("id") / n, 9)).alias("v"),
+        (F.col("id") % 5 + 1).alias("w"),
+        (F.col("id") % 3 == 0).cast("int").alias("g"),
+    )
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_prefix_sums_through_a_tree_of_buckets(spark, descending):
+    rows = scattered(spark)
+    for by in (["g"], []):
+        got = prefix_sums(rows, "v", ["w"], by, descending, limit=3000, width=8)
+        frame = Window.partitionBy(*by).orderBy(F.desc("v") if descending else F.asc("v"))
+        want = rows.withColumn("c", F.sum("w").over(frame)).withColumn("a", F.sum("w").over(Window.partitionBy(*by)))
+        joined = got.join(want.select("v", "c", "a"), "v")
+        assert joined.count() == 100_000
+        assert joined.filter("w_cum <> c or w_all <> a").count() == 0
+
+
+def test_no_bucket_of_a_tree_holds_more_than_the_limit(spark):
+    rows = scattered(spark).unionByName(spark.range(50_000).select(F.lit(0.25).alias("v"), F.lit(1).cast("long").alias("w"), F.lit(1).alias("g")))
+    first = value_buckets(rows, "v", width=8)
+    assert first.may_hold() > 3000
+    placed = deepened(rows.withColumn("_bucket", value_bucket(F.col("v"), first.limits, rows.schema["v"].dataType)), "v", ["g"], 3000, 8)
+    leaves = placed.groupBy("_bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("_bucket").collect()
+    assert all(a["hi"] < z["lo"] for a, z in zip(leaves, leaves[1:]))  # paths sort as values do
+    sizes = placed.groupBy("g", "_bucket").agg(F.count("*").alias("n"), F.count_distinct("v").alias("values")).collect()
+    assert all(r["n"] <= 3000 or r["values"] == 1 for r in sizes) and sum(r["n"] for r in sizes) == 150_000
+    assert max(len(r["_bucket"]) for r in sizes) > 2
+
+
+def test_exact_quantiles_through_a_tree(spark):
+    rng = np.random.default_rng(1)
+    values = [(int(g), float(x)) for g, x in zip(rng.integers(0, 3, 6000), rng.normal(size=6000) ** 5)]
+    values += [(0, 0.25)] * 6000 + [(1, -7.0)] * 3000 + [(3, 1.5), (4, None)]
+    df = spark.createDataFrame(values, "g int, v double")
+    shares = {"a": 0.25, "b": 0.8, "c": 1.0, "d": 0.0, "e": 0.5}
+    got = {r["g"]: r for r in exact_quantiles(df, "v", shares, ["g"], limit=100, width=4).collect()}
+    assert set(got) == {0, 1, 2, 3}
+    for g, row in got.items():
+        mine = [v for k, v in values if k == g]
+        for name, q in shares.items():
+            assert row[name] == pytest.approx(np.quantile(mine, q), abs=1e-9)
+
+
+def test_hash_buckets_follow_the_rows(spark, monkeypatch):
+    assert [hash_digits(n) for n in (0, 10**6, 2 * 10**6, 10**9, 10**12)] == [1, 1, 2, 4, 6]
+    monkeypatch.setattr(ordinal, "OFFSETS_AT_ONCE", 16)  # offsets in two steps, joined by shuffle
+    rows = spark.range(20_000).withColumn("g", F.when(F.col("id") % 5 < 3, F.col("id") % 5))
+    for by in ([], ["g"]):
+        placed = with_ordinal(rows, "id", 42, by, digits=3)
+        whole = Window.partitionBy(*by).orderBy(seeded_key(F.col("id"), 42), "id")
+        expected = rows.select("id", (F.row_number().over(whole) - 1).alias("want"))
+        assert placed.join(expected, "id").filter("ordinal = want").count() == 20_000
