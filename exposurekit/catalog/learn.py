@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..operators import encode, models, profile, ranking, resample, responses
 from ..operators.encode import Encoder
+from ..operators.trees import TreeScorer, fit_tree
 from ..session import cut_lineage
 from .registry import query
 from .views import Views, uniform, uniform_sql
@@ -129,33 +130,131 @@ def fit_gbt(v: Views):
     return test_facts(v, models.fit_gbt)
 
 
-@query("fit_sparse_tree", MODEL_VIEWS, FIT_SQL)
+DEPTH = 6
+TREE_FEATURES = {f: i for i, f in enumerate(FEATURES)}
+
+
+def walked(name: str, keys: str, start: str, left: str, values: str) -> str:
+    """``{name}{d}`` ({keys}, node) for d = 0..DEPTH: where rows stand after d splits, by the tables ``split0``, ``split1``, ..."""
+    out = [f"{name}0 as materialized ({start})"]
+    for d in range(DEPTH):
+        out.append(
+            f"""{name}{d + 1} as materialized (select {", ".join(f"w.{k.strip()}" for k in keys.split(","))},
+                case when s.node is null then w.node when {left} then 2 * w.node else 2 * w.node + 1 end node
+              from {name}{d} w left join split{d} s on s.node = w.node left join {values})"""
+        )
+    return ", ".join(out)
+
+
+LEFT = "case when s.lv is not null then l.lv = s.lv when l.val is null then s.g = 1 else l.val <= s.bound end"
+
+
+def tree_sql() -> str:
+    """The exact tree of the train rows, level by level: split0..split5 (node, f, lv, bound, g, gain) and at0..at6 of all rows."""
+    purity = "(({p}) * ({p}) + (({n}) - ({p})) * (({n}) - ({p}))) / ({n})"
+    pure = lambda n, p: purity.format(n=f"({n})::double", p=f"({p})::double")
+    texts = [f"select row_id, {i} f, coalesce({f}::varchar, 'nan') lv, null::double val from rows" for f, i in TREE_FEATURES.items() if f in CATEGORICAL]
+    texts += [f"select row_id, {i}, null, {f}::double from rows" for f, i in TREE_FEATURES.items() if f in NUMERIC]
+    out = [MODEL_ROWS_SQL, f"long as materialized ({' union all '.join(texts)})", "at0 as materialized (select row_id, clicked, part, 1::bigint node from rows)"]
+    for d in range(DEPTH):
+        out.append(
+            f"""tot{d} as materialized (select node, count(*) an, sum(clicked)::bigint ap from at{d}
+                where part = 'train' and node >= {1 << d} and node < {2 << d} group by node having sum(clicked) > 0 and sum(clicked) < count(*)),
+            cell{d} as materialized (select a.node, l.f, l.lv, l.val, count(*) n, sum(a.clicked)::bigint p
+                from at{d} a join tot{d} using (node) join long l using (row_id) where a.part = 'train' group by a.node, l.f, l.lv, l.val),
+            gap{d} as (select node, f, n gn, p gp from cell{d} where lv is null and val is null),
+            run{d} as (select node, f, val, sum(n) over w cn, sum(p) over w cp, sum(n) over (partition by node, f) alln,
+                lead(val) over (partition by node, f order by val) nextval
+                from cell{d} where val is not null window w as (partition by node, f order by val)),
+            side{d} as (
+                select node, f, lv, null::double val, null::double bound, -1 g, false alls, n ln, p lp from cell{d} where lv is not null
+                union all select node, f, null, case when cn < alln then val end, case when cn < alln then (val + nextval) / 2 else 'infinity'::double end, 0, cn = alln, cn, cp from run{d}
+                union all select node, f, null, val, (val + nextval) / 2, 1, false, cn + gn, cp + gp from run{d} join gap{d} using (node, f) where cn < alln),
+            split{d} as materialized (
+                select node, f, lv, bound, g, score - whole gain from (
+                  select *, row_number() over (partition by node order by score desc, f, g, alls, val, lv) place from (
+                    select side{d}.*, {pure('ln', 'lp')} + {pure('an - ln', 'ap - lp')} score, {pure('an', 'ap')} whole
+                    from side{d} join tot{d} using (node) where ln > 0 and ln < an) where score > whole) where place = 1),
+            at{d + 1} as materialized (select a.row_id, a.clicked, a.part,
+                case when s.node is null then a.node when {LEFT} then 2 * a.node else 2 * a.node + 1 end node
+                from at{d} a left join split{d} s on s.node = a.node left join long l on l.row_id = a.row_id and l.f = s.f)"""
+        )
+    out.append(f"leaf as materialized (select node, sum(clicked)::double / count(*) share from at{DEPTH} where part = 'train' group by node)")
+    out.append(f"splits as materialized ({' union all '.join(f'select * from split{d}' for d in range(DEPTH))})")
+    named = ", ".join(f"({i}, '{f}')" for f, i in TREE_FEATURES.items())
+    out.append(f"named(f, feature) as (values {named})")
+    out.append(
+        """gains as (select feature, f, coalesce(sum(gain), 0) / (select sum(gain) from splits) importance from named left join splits using (f) group by feature, f),
+        own as materialized (select 'SparseTree' as method, feature, row_number() over (order by importance desc, f) as rank, importance from gains)"""
+    )
+    return ", ".join(out)
+
+
+def permuted_sql() -> str:
+    """``swapped`` (method, feature, rank, importance): every row scored anew for every tested column, with its donor's value there."""
+    seed, repeats = DEFAULTS.seed, 5
+    left = f"""case when s.lv is not null and o.f = s.f and o.lv = s.lv then dl.lv = s.lv
+        when s.lv is null and o.f = s.f and o.lv is null then (case when dl.val is null then s.g = 1 else dl.val <= s.bound end) else {LEFT} end"""
+    values = "long l on l.row_id = w.row_id and l.f = s.f left join tested o on o.slot = w.slot left join long dl on dl.row_id = w.donor and dl.f = s.f"
+    return f"""tested as materialized (select row_number() over (order by f, lv) slot, f, lv from (select distinct f, lv from splits)),
+      test as materialized (select row_id, clicked, node from at{DEPTH} where part = 'test'),
+      takers as (select row_id, row_number() over (order by md5('{seed}:rows:' || row_id::varchar), row_id) pos from test),
+      donors as (select row_id, k, row_number() over (partition by k order by md5('{seed}:' || k || ':' || row_id::varchar), row_id) pos
+                 from test, (select unnest(range(1, {repeats + 1})) k)),
+      pairs as (select t.row_id, d.row_id donor, d.k, slot from takers t join donors d using (pos) cross join tested),
+      {walked("sw", "row_id, donor, k, slot", "select row_id, donor, k, slot, 1::bigint node from pairs", left, values)},
+      judged as (select o.f, sum((b.share >= 0.5)::int = t.clicked) - sum((a.share >= 0.5)::int = t.clicked) lost
+        from sw{DEPTH} w join test t using (row_id) join leaf b on b.node = t.node join leaf a on a.node = w.node join tested o using (slot) group by o.f),
+      swapped as materialized (select 'Permutation' as method, feature, row_number() over (order by importance desc, f) as rank, importance from (
+        select feature, f, coalesce(lost, 0)::double / ((select count(*) from test) * {repeats}) importance from named left join judged using (f)))"""
+
+
+def fitted_tree(v: Views) -> tuple[TreeScorer, DataFrame, DataFrame]:
+    _, train, test = model_rows(v)
+    return fit_tree(train, FEATURES, NUMERIC, depth=DEPTH), train, test
+
+
+@query(
+    "fit_sparse_tree",
+    MODEL_VIEWS,
+    f""", {tree_sql()} select row_id, clicked::bigint clicked, round(share, 6) prob, (share >= 0.5)::bigint hard
+       from at{DEPTH} join leaf using (node) where part = 'test'""",
+)
 def fit_sparse_tree(v: Views):
-    return test_facts(v, models.fit_sparse_tree)
+    """Predictions of the exact tree; SQL fits the same tree."""
+    scorer, _, test = fitted_tree(v)
+    return scorer.predict(test).select("row_id", "clicked", "prob", "hard")
 
 
-def ranking_facts(order: DataFrame) -> DataFrame:
-    """Every feature once, whether it leads, and whether ranks count up while importances fall."""
-    ahead = Window.partitionBy("method").orderBy("rank")  # a ranking has as many rows as there are features
-    sound = (F.col("rank") == F.row_number().over(ahead)) & (F.col("importance") <= F.coalesce(F.lag("importance").over(ahead), F.col("importance")))
-    return order.select("method", "feature", (F.col("rank") == 1).cast("int").alias("leads"), sound.cast("int").alias("sound"))
+@query(
+    "fit_sparse_tree_table",
+    MODEL_VIEWS,
+    f""", {tree_sql()}, reached as ({" union ".join(f"select node, clicked, row_id from at{d} where part = 'train'" for d in range(DEPTH + 1))})
+       select node, count(*) n, sum(clicked)::bigint positives, feature, lv as level, case when isinf(bound) then null else round(bound, 6) end as "limit",
+         isinf(coalesce(bound, 0))::bigint every_number, round(gain, 6) gain
+       from reached left join (select * from splits join named using (f)) using (node) group by all""",
+)
+def fit_sparse_tree_table(v: Views):
+    """The fitted tree itself."""
+    scorer, _, _ = fitted_tree(v)
+    every = F.coalesce(F.col("limit") == float("inf"), F.lit(False))
+    table = scorer.table(v.spark).withColumns({"every_number": every.cast("int"), "limit": F.when(~every, F.col("limit"))})
+    return table.select("node", "n", "positives", "feature", "level", "limit", "every_number", "gain")
 
 
-def ranking_facts_sql(method: str) -> str:
-    rows = ", ".join(f"('{f}')" for f in FEATURES)
-    return f"select '{method}' as method, feature, (feature = 'r_score')::bigint leads, 1::bigint sound from (values {rows}) t(feature)"
+RANKED = "method, feature, rank, round(importance, 6) importance"
 
 
-@query("tree_importance_ranking", "", ranking_facts_sql("SparseTree"))
+@query("tree_importance_ranking", MODEL_VIEWS, f", {tree_sql()} select {RANKED} from own")
 def tree_importance_ranking(v: Views):
-    scorer, _, _ = fitted(v, models.fit_sparse_tree)
-    return ranking_facts(ranking.tree_importance_ranking(v.spark, scorer))
+    scorer, _, _ = fitted_tree(v)
+    return ranking.tree_importance_ranking(v.spark, scorer)
 
 
-@query("permutation_ranking", "", ranking_facts_sql("Permutation"))
+@query("permutation_ranking", MODEL_VIEWS, f", {tree_sql()}, {permuted_sql()} select {RANKED} from swapped")
 def permutation_ranking(v: Views):
-    scorer, _, test = fitted(v, models.fit_sparse_tree)
-    return ranking_facts(ranking.permutation_ranking(scorer, test, seed=DEFAULTS.seed))
+    scorer, _, test = fitted_tree(v)
+    return ranking.permutation_ranking(scorer, test, seed=DEFAULTS.seed)
 
 
 ABLATED = ("u_age", "s_country", "r_value")
@@ -285,17 +384,77 @@ def explanation_quality_table(v: Views):
     return ranking.explanation_quality(*studied(v))
 
 
-@query("explanation_quality_fitted")
-def explanation_quality_fitted(v: Views):
-    """The same table for a fitted tree with its own, the permutation, and the random ranking."""
-    scorer, train, test = fitted(v, models.fit_sparse_tree)
+FITTED = ("SparseTree", "Permutation", "Random")
+
+
+def fitted_outcomes_sql() -> str:
+    """``outcomes`` of the fitted tree under its own, the permutation and the random ranking."""
+    control = ", ".join(f"('Random', '{f}', {i})" for i, f in enumerate(ORDERS["Random"], 1))
+    ks = ", ".join(f"('deletion', {k})" for k in DEFAULTS.deletion_ks)
+    mode = lambda c: f"(select coalesce({c}::varchar, 'nan') from train where {c} is not null group by {c} order by count(*) desc, {c} limit 1)"
+    neutral = [f"select {i} f, {mode(f)} lv, null::double val" for f, i in TREE_FEATURES.items() if f in CATEGORICAL]
+    neutral += [f"select {i}, null, (select avg({f}::double) from train)" for f, i in TREE_FEATURES.items() if f in NUMERIC]
+    left = LEFT.replace("l.lv", "(case when x.f is null then l.lv else u.lv end)").replace("l.val", "(case when x.f is null then l.val else u.val end)")
+    values = """long l on l.row_id = w.row_id and l.f = s.f
+        left join killed x on x.method = w.method and x.kind = w.kind and x.k = w.k and x.f = s.f left join neutral u on u.f = s.f"""
+    return f"""{tree_sql()}, {permuted_sql()}, train as (select * from rows where part = 'train'),
+      neutral as materialized ({" union all ".join(neutral)}),
+      ranked as materialized (select method, feature, rank from own union all select method, feature, rank from swapped union all select * from (values {control})),
+      variants as materialized (select method, kind, k from (select distinct method from ranked) cross join
+        (select * from (values {ks}, ('stability', {BOTTOM})) t(kind, k))),
+      killed as materialized (select v.method, v.kind, v.k, named.f from variants v join ranked r using (method) join named using (feature)
+        where (kind = 'deletion' and rank <= k) or (kind = 'stability' and rank > {len(FEATURES)} - k)),
+      {walked("ab", "row_id, method, kind, k", "select row_id, method, kind, k, 1::bigint node from test cross join variants", left, values)},
+      outcomes as materialized (select w.method, w.kind, w.k, w.row_id, ((a.share >= 0.5)::int = t.clicked)::int correct,
+          ((a.share >= 0.5) = (b.share >= 0.5))::int same, ((b.share >= 0.5)::int = t.clicked)::int base_correct
+        from ab{DEPTH} w join test t using (row_id) join leaf a on a.node = w.node join leaf b on b.node = t.node)"""
+
+
+def fitted_study(v: Views) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, rankings) of the fitted tree with its own, the permutation, and the random ranking."""
+    scorer, train, test = fitted_tree(v)
     rankings = (
         ranking.tree_importance_ranking(v.spark, scorer)
         .unionByName(ranking.permutation_ranking(scorer, test, seed=DEFAULTS.seed))
         .unionByName(ranking.random_ranking(v.spark, FEATURES, DEFAULTS.seed))
     )
     impute = profile.impute_values(train, NUMERIC, CATEGORICAL)
-    return ranking.explanation_quality(ranking.variant_outcomes(scorer, test, rankings, impute, DEFAULTS.deletion_ks, bottom=BOTTOM), rankings)
+    return ranking.variant_outcomes(scorer, test, rankings, impute, DEFAULTS.deletion_ks, bottom=BOTTOM), rankings
+
+
+@query("single_deletion_fitted", MODEL_VIEWS, f", {fitted_outcomes_sql()} {DELETIONS_SQL}")
+def single_deletion_fitted(v: Views):
+    return ranking.single_deletion(fitted_study(v)[0])
+
+
+@query("stability_fitted", MODEL_VIEWS, f", {fitted_outcomes_sql()} {STABILITY_SQL}")
+def stability_fitted(v: Views):
+    return ranking.stability(fitted_study(v)[0])
+
+
+@query(
+    "explanation_quality_fitted",
+    MODEL_VIEWS,
+    f""", {fitted_outcomes_sql()}, deletions as ({DELETIONS_SQL}), stable as ({STABILITY_SQL}),
+      tops as (select method, min(feature) filter (rank = 1) top1, string_agg(feature, ',' order by rank) filter (rank <= 8) top from ranked group by method)
+      select method, top1, top, max(acc) filter (k = 1) del1, max(acc) filter (k = 3) del3, max(acc) filter (k = 5) del5,
+      max("drop") filter (k = 5) drop_at_5, any_value(share) stability
+      from tops join deletions using (method) join stable using (method) group by method, top1, top""",
+)
+def explanation_quality_fitted(v: Views):
+    return ranking.explanation_quality(*fitted_study(v))
+
+
+@query(
+    "bootstrap_explanation_fitted",
+    MODEL_VIEWS,
+    f""", {fitted_outcomes_sql()}, found as (
+        select method, 'drop' metric, avg(base_correct - correct) true_value from outcomes where kind = 'deletion' and k = 5 group by method
+        union all select method, 'stability', avg(same) from outcomes where kind = 'stability' group by method)
+      select method, metric, round(true_value, 6) true_value, 1::bigint mean_near, 1::bigint sd_near from found""",
+)
+def bootstrap_explanation_fitted(v: Views):
+    return bootstrap_beside_theory(fitted_study(v)[0], FITTED)
 
 
 @query(
@@ -307,17 +466,21 @@ def explanation_quality_fitted(v: Views):
       select method, metric, round(true_value, 6) true_value, 1::bigint mean_near, 1::bigint sd_near from found""",
 )
 def bootstrap_explanation(v: Views):
+    return bootstrap_beside_theory(studied(v)[0], tuple(ORDERS))
+
+
+def bootstrap_beside_theory(outcomes: DataFrame, methods: tuple[str, ...]) -> DataFrame:
     """Bootstrap mean and deviation beside the value and the deviation that theory gives."""
-    methods = tuple(ORDERS)
-    outcomes = studied(v)[0]
     vectors = ranking.outcome_vectors(outcomes, methods)
     columns = {m: (f"del_{i}", f"same_{i}") for i, m in enumerate(methods)}
     drawn = resample.bootstrap_explanations(vectors, "base_correct", columns, DEFAULTS.bootstrap_draws, DEFAULTS.seed)
     deleted = F.when((F.col("kind") == "deletion") & (F.col("k") == 5), F.col("base_correct") - F.col("correct"))
-    theory = [
-        outcomes.groupBy("method").agg(F.avg(x).alias("true_value"), F.stddev_pop(x).alias("sd_row"), F.count(x).alias("n")).withColumn("metric", F.lit(name))
-        for name, x in (("drop", deleted), ("stability", F.when(F.col("kind") == "stability", F.col("same"))))
-    ]
+    theory = []
+    for name, x in (("drop", deleted), ("stability", F.when(F.col("kind") == "stability", F.col("same")))):
+        n = F.sum(F.when(x.isNotNull(), F.col("n")))
+        mean = F.sum(x * F.col("n")) / n
+        spread = F.sqrt(F.sum(x * x * F.col("n")) / n - mean * mean)
+        theory.append(outcomes.groupBy("method").agg(mean.alias("true_value"), spread.alias("sd_row"), n.alias("n")).withColumn("metric", F.lit(name)))
     return near_theory(drawn, theory[0].unionByName(theory[1]), ["method", "metric"])
 
 

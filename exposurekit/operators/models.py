@@ -96,14 +96,18 @@ class StatedScorer:
     numbers: Mapping[str, float]
     levels: Mapping[tuple[str, str], float]
 
-    def predict(self, df: DataFrame) -> DataFrame:
+    def probability(self, df: DataFrame, neutral: Mapping[str, Column] | None = None) -> Column:
+        """Of class 1; ``neutral``: texts that stand for the values of some features."""
+        value = lambda f: (neutral or {}).get(f, F.col(f))
         total = F.lit(float(self.base))
         for f, weight in self.numbers.items():
-            total = total + F.lit(float(weight)) * F.coalesce(F.col(f).cast("double"), F.lit(0.0))
+            total = total + F.lit(float(weight)) * F.coalesce(value(f).cast("double"), F.lit(0.0))
         for (f, level), weight in self.levels.items():
-            total = total + F.when(F.col(f).cast("string") == level, F.lit(float(weight))).otherwise(F.lit(0.0))
-        prob = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 6)
-        return df.withColumn("prob", prob).withColumn("hard", threshold(F.col("prob")))
+            total = total + F.when(value(f).cast("string") == level, F.lit(float(weight))).otherwise(F.lit(0.0))
+        return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 6)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prob", self.probability(df)).withColumn("hard", threshold(F.col("prob")))
 
 
 def training_set(encoder: Encoder, train: DataFrame, label: str) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from ..functions.columns import threshold
 from ..session import cut_lineage
-from .models import Scorer, swapped_probability
+from .models import Scorer, StatedScorer, swapped_probability
 from .ordinal import with_ordinal
+from .trees import TreeScorer, permutation_losses
 
 
 def as_ranking(spark, method: str, features: Sequence[str], importance: Mapping[str, float]) -> DataFrame:
@@ -43,7 +44,9 @@ def used_slots(model) -> dict[int, float]:
     return {i: float(v) for i, v in enumerate(vector.toArray()) if v != 0}
 
 
-def tree_importance_ranking(spark, scorer: Scorer, method: str = "SparseTree") -> DataFrame:
+def tree_importance_ranking(spark, scorer: Scorer | TreeScorer, method: str = "SparseTree") -> DataFrame:
+    if isinstance(scorer, TreeScorer):
+        return as_ranking(spark, method, scorer.encoder.features, scorer.importances())
     importance = per_feature(scorer.encoder.slots, used_slots(scorer.model))
     return as_ranking(spark, method, scorer.encoder.features, importance)
 
@@ -107,7 +110,7 @@ def permutation_importance(
 
 
 def permutation_ranking(
-    scorer: Scorer,
+    scorer: Scorer | TreeScorer,
     test: DataFrame,
     label: str = "clicked",
     row_id: str = "row_id",
@@ -115,6 +118,12 @@ def permutation_ranking(
     seed: int = 42,
     method: str = "Permutation",
 ) -> DataFrame:
+    if isinstance(scorer, TreeScorer):
+        per_column = permutation_losses(scorer, test, label, row_id, repeats, seed)
+        found = per_column.groupBy("feature").agg(F.sum("lost").alias("lost")).collect()  # features the tree tests
+        n = max(test.count(), 1) * repeats
+        importance = {r["feature"]: r["lost"] / n for r in found}
+        return as_ranking(test.sparkSession, method, scorer.encoder.features, importance)
     # one row per encoded column
     losses = {r["slot"]: r["loss"] for r in permutation_importance(scorer, test, label, row_id, repeats, seed).collect()}
     return as_ranking(test.sparkSession, method, scorer.encoder.features, per_feature(scorer.encoder.slots, losses))
@@ -175,7 +184,7 @@ def ranking_lists(rankings: DataFrame) -> dict[str, list[str]]:
 
 
 def variant_outcomes(
-    scorer: Scorer,
+    scorer: Scorer | TreeScorer | StatedScorer,
     test: DataFrame,
     rankings: DataFrame,
     impute: DataFrame,
@@ -184,44 +193,78 @@ def variant_outcomes(
     label: str = "clicked",
     row_id: str = "row_id",
 ) -> DataFrame:
-    """``row_id, method, kind, k, correct, same`` of every deletion and perturbation.
+    """``row_id, method, kind, k, correct, same, base_correct, n`` of every deletion and perturbation.
 
     ``same`` compares with the row's prediction on the untouched features, which each
     row carries along: one scan of the test rows, no join. The result is written once,
-    since each metric reads it again.
+    since each metric reads it again. ``n``: how many rows have these outcomes. For a
+    scorer that is an expression, all variants of a row are scored side by side and
+    counted at once, so ``row_id`` numbers joint cells of outcomes, not rows.
     """
     variants: dict[str, Sequence[str]] = {}
     for method, order in ranking_lists(rankings).items():
         variants |= {f"deletion:{k}:{method}": order[:k] for k in ks}
         variants[f"stability:{bottom}:{method}"] = order[-bottom:]
+    if hasattr(scorer, "probability"):
+        return _side_by_side(scorer, test, variants, impute, label, row_id)
     features = scorer.encoder.features
     base = scorer.predict(test.select(row_id, label, *features)).drop("prob").withColumnRenamed("hard", "_base")
     rows = ablated_variants(base, variants, features, impute, scorer.encoder.numeric)
     scored = scorer.predict(rows)
-    parts = F.split("variant", ":", 3)
     y = F.col(label)
     outcomes = scored.select(
         row_id,
-        parts[2].alias("method"),
-        parts[0].alias("kind"),
-        parts[1].cast("int").alias("k"),
+        *_variant_columns(),
         (F.col("hard") == y).cast("int").alias("correct"),
         (F.col("hard") == F.col("_base")).cast("int").alias("same"),
         (F.col("_base") == y).cast("int").alias("base_correct"),
+        F.lit(1).cast("long").alias("n"),
     )
     return cut_lineage(outcomes, "outcomes")
 
 
+def _variant_columns() -> list[Column]:
+    parts = F.split("variant", ":", 3)
+    return [parts[2].alias("method"), parts[0].alias("kind"), parts[1].cast("int").alias("k")]
+
+
+def _side_by_side(
+    scorer: TreeScorer | StatedScorer, test: DataFrame, variants: Mapping[str, Sequence[str]], impute: DataFrame, label: str, row_id: str
+) -> DataFrame:
+    """Rows counted by their label, their prediction and those of all variants: no row is repeated or shuffled."""
+    neutral = {r["feature"]: F.lit(r["value"]).cast("string") for r in impute.collect()}  # a row per feature
+    none = F.lit(None).cast("string")
+    hard = [threshold(scorer.probability(test, {f: neutral.get(f, none) for f in killed})) for killed in variants.values()]
+    flags = test.select(F.col(label).alias("_y"), threshold(scorer.probability(test)).alias("_base"), F.array(*hard).alias("_hard"))
+    cells = cut_lineage(flags.groupBy("_y", "_base", "_hard").agg(F.count(F.lit(1)).alias("n")), "outcome-cells")
+    names = F.array(*[F.lit(v) for v in variants])
+    long = cells.withColumn(row_id, F.monotonically_increasing_id()).select(row_id, "_y", "_base", "n", F.explode(F.arrays_zip("_hard", names.alias("variant"))).alias("v"))
+    long = long.select(row_id, "_y", "_base", "n", F.col("v._hard").alias("hard"), F.col("v.variant").alias("variant"))
+    return long.select(
+        row_id,
+        *_variant_columns(),
+        (F.col("hard") == F.col("_y")).cast("int").alias("correct"),
+        (F.col("hard") == F.col("_base")).cast("int").alias("same"),
+        (F.col("_base") == F.col("_y")).cast("int").alias("base_correct"),
+        "n",
+    )
+
+
+def weighted(value: str) -> Column:
+    """Mean of a 0/1 column over ``n`` rows each."""
+    return F.sum(F.col(value) * F.col("n")) / F.sum("n")
+
+
 def single_deletion(outcomes: DataFrame) -> DataFrame:
     """``method, k, acc, drop``: accuracy without the top k features, and the loss against the base."""
     return outcomes.filter(F.col("kind") == "deletion").groupBy("method", "k").agg(
-        F.avg("correct").alias("acc"), (F.avg("base_correct") - F.avg("correct")).alias("drop")
+        weighted("correct").alias("acc"), (weighted("base_correct") - weighted("correct")).alias("drop")
     )
 
 
 def stability(outcomes: DataFrame) -> DataFrame:
     """``method, share``: predictions unchanged without the least important features."""
-    return outcomes.filter(F.col("kind") == "stability").groupBy("method").agg(F.avg("same").alias("share"))
+    return outcomes.filter(F.col("kind") == "stability").groupBy("method").agg(weighted("same").alias("share"))
 
 
 def explanation_quality(outcomes: DataFrame, rankings: DataFrame, ks: Sequence[int] = (1, 3, 5), shown: int = 8) -> DataFrame:
@@ -239,10 +282,10 @@ def explanation_quality(outcomes: DataFrame, rankings: DataFrame, ks: Sequence[i
 
 
 def outcome_vectors(outcomes: DataFrame, methods: Sequence[str], deleted: int = 5, row_id: str = "row_id") -> DataFrame:
-    """One row per test row with the 0/1 columns the explanation bootstrap resamples."""
+    """One row per test row, or joint cell of ``n`` of them, with the 0/1 columns the explanation bootstrap resamples."""
     aggs = [F.max("base_correct").alias("base_correct")]
     for i, method in enumerate(methods):
         mine = F.col("method") == method
         aggs.append(F.max(F.when(mine & (F.col("kind") == "deletion") & (F.col("k") == deleted), F.col("correct"))).alias(f"del_{i}"))
         aggs.append(F.max(F.when(mine & (F.col("kind") == "stability"), F.col("same"))).alias(f"same_{i}"))
-    return outcomes.groupBy(row_id).agg(*aggs)
+    return outcomes.groupBy(row_id, "n").agg(*aggs).drop(row_id)

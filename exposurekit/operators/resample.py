@@ -25,8 +25,9 @@ CELLS_PER_CHUNK = 20_000
 
 
 def joint_cells(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows per combination of the 0/1 ``columns``."""
-    return rows.groupBy(*[F.col(c).cast("int").alias(c) for c in columns]).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per combination of the 0/1 ``columns``; a column ``n`` says how many a row stands for."""
+    n = F.sum("n") if "n" in rows.columns and "n" not in columns else F.count(F.lit(1))
+    return rows.groupBy(*[F.col(c).cast("int").alias(c) for c in columns]).agg(n.alias("n"))
 
 
 def replicates(cells: DataFrame, columns: Sequence[str], draws: int, tasks: int | None, per_chunk: int = CELLS_PER_CHUNK) -> DataFrame:
