@@ -304,6 +304,10 @@ def prefix_sums(
     deep = known.may_hold() > limit
     if deep:
         bucketed = deepened(cut_lineage(bucketed, "cells"), order, group, limit, width)
+    elif by and not known.limits:  # one bucket a group, and no more rows than a window may hold
+        frame = Window.partitionBy(*group).orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = {f"{v}_cum": F.sum(v).over(frame) for v in values} | {f"{v}_all": F.sum(v).over(Window.partitionBy(*group)) for v in values}
+        return grouped.withColumns(sums).select(*cells.columns, *sums)
     whole = Window.partitionBy(*group)
     totals = bucketed.groupBy(*group, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     if deep:

@@ -123,47 +123,48 @@ def purity(n: Column, pos: Column) -> Column:
     return (pos * pos + (n - pos) * (n - pos)) / n
 
 
-def candidates(cells: DataFrame, totals: DataFrame, numeric: Sequence[int], rows: int) -> DataFrame:
-    """(node, f, level, value, gaps_left, score, whole): every split that leaves rows on both sides.
+def best_splits(cells: DataFrame, totals: DataFrame, numeric: Sequence[int], rows: int) -> DataFrame:
+    """(node, f, level, value, gaps_left, left_n, left_pos, score, whole): one row per node that a split makes purer.
 
-    ``value`` is the largest number on the left; null where all numbers go left.
+    ``totals``: (node, all_n, all_pos), a row per node. ``value`` is the largest number
+    on the left; null where all numbers go left. ``rows``: how many cells there are.
     """
-    whole = cells.join(F.broadcast(totals), "node")  # a row per node
+    whole = cells.join(F.broadcast(totals), "node")
 
     def scored(df: DataFrame, n: Column, pos: Column) -> DataFrame:
-        there = df.withColumns({"_l": n, "_p": pos}).filter((F.col("_l") > 0) & (F.col("_l") < F.col("all_n")))
-        score = purity(F.col("_l"), F.col("_p")) + purity(F.col("all_n") - F.col("_l"), F.col("all_pos") - F.col("_p"))
-        return there.select("node", "f", "level", "value", "gaps_left", score.alias("score"), purity(F.col("all_n"), F.col("all_pos")).alias("whole"))
-
-    none = F.lit(None).cast("boolean")
-    out = scored(whole.filter(F.col("level").isNotNull()).withColumn("gaps_left", none), F.col("n"), F.col("pos"))
-    if not numeric:
-        return out
-    numbers = cells.filter(F.col("value").isNotNull()).select("node", "f", "value", "n", "pos")
-    running = prefix_sums(numbers, "value", ["n", "pos"], ["node", "f"], limits=ValueBuckets([], rows))
-    gaps = cells.filter(F.col("f").isin(*numeric) & F.col("value").isNull()).select("node", "f", F.col("n").alias("gap_n"), F.col("pos").alias("gap_pos"))
-    running = running.join(F.broadcast(gaps), ["node", "f"], "left").fillna(0, ["gap_n", "gap_pos"])  # at most a row per node and feature
-    running = running.join(F.broadcast(totals), "node").withColumn("level", F.lit(None).cast("string"))
-    last = F.col("n_cum") == F.col("n_all")
-    right = running.withColumn("gaps_left", F.lit(False)).withColumn("value", F.when(~last, F.col("value")))
-    left = running.filter((F.col("gap_n") > 0) & ~last).withColumn("gaps_left", F.lit(True))
-    return out.unionByName(scored(right, F.col("n_cum"), F.col("pos_cum"))).unionByName(
-        scored(left, F.col("n_cum") + F.col("gap_n"), F.col("pos_cum") + F.col("gap_pos"))
-    )
-
-
-def best_splits(found: DataFrame) -> DataFrame:
-    """One row per node: the split with the largest score, if it is better than none; ties as the module says."""
-    top = found.groupBy("node").agg(F.max("score").alias("top"))
-    first = F.struct("f", F.coalesce(F.col("gaps_left").cast("int"), F.lit(-1)).alias("g"), F.col("value").isNull().alias("all"), "value", "level")
-    best = found.join(F.broadcast(top), "node").filter((F.col("score") == F.col("top")) & (F.col("score") > F.col("whole")))
-    return best.groupBy("node").agg(F.min(first).alias("s"), F.first("score").alias("score"), F.first("whole").alias("whole"))
+        there = df.withColumns({"left_n": n, "left_pos": pos}).filter((F.col("left_n") > 0) & (F.col("left_n") < F.col("all_n")))
+        sides = purity(F.col("left_n"), F.col("left_pos")) + purity(F.col("all_n") - F.col("left_n"), F.col("all_pos") - F.col("left_pos"))
+        there = there.withColumns({"score": sides, "whole": purity(F.col("all_n"), F.col("all_pos"))}).filter(F.col("score") > F.col("whole"))
+        return there.select("node", "f", "level", "value", "gaps_left", "left_n", "left_pos", "score", "whole")
+
+    found = scored(whole.filter(F.col("level").isNotNull()).withColumn("gaps_left", F.lit(None).cast("boolean")), F.col("n"), F.col("pos"))
+    if numeric:
+        numbers = cells.filter(F.col("value").isNotNull()).select("node", "f", "value", "n", "pos")
+        running = prefix_sums(numbers, "value", ["n", "pos"], ["node", "f"], limits=ValueBuckets([], rows))
+        gaps = cells.filter(F.col("f").isin(*numeric) & F.col("value").isNull()).select("node", "f", F.col("n").alias("gap_n"), F.col("pos").alias("gap_pos"))
+        running = running.join(F.broadcast(gaps), ["node", "f"], "left").fillna(0, ["gap_n", "gap_pos"])  # at most a row per node and feature
+        running = running.join(F.broadcast(totals), "node").withColumn("level", F.lit(None).cast("string"))
+        last = F.col("n_cum") == F.col("n_all")
+        right = running.withColumn("gaps_left", F.lit(False)).withColumn("value", F.when(~last, F.col("value")))
+        left = running.filter((F.col("gap_n") > 0) & ~last).withColumn("gaps_left", F.lit(True))
+        found = found.unionByName(scored(right, F.col("n_cum"), F.col("pos_cum")))
+        found = found.unionByName(scored(left, F.col("n_cum") + F.col("gap_n"), F.col("pos_cum") + F.col("gap_pos")))
+    gap_order, every = F.coalesce(F.col("gaps_left").cast("int"), F.lit(-1)), F.col("value").isNull()
+    order = F.struct((-F.col("score")).alias("worse"), "f", gap_order.alias("g"), every.alias("every"), "value", "level")
+    rest = F.struct("f", "level", "value", "gaps_left", "left_n", "left_pos", "score", "whole")
+    return found.groupBy("node").agg(F.min_by(rest, order).alias("s")).select("node", "s.*")
+
+
+def next_numbers(cells: DataFrame, limits: DataFrame) -> DataFrame:
+    """(node, next): the smallest number above each node's limit (node, f, limit)."""
+    above = cells.select("node", "f", "value").join(F.broadcast(limits), ["node", "f"]).filter(F.col("value") > F.col("limit"))
+    return above.groupBy("node").agg(F.min("value").alias("next"))
 
 
 def fit_tree(train: DataFrame, features: Sequence[str], numeric: Sequence[str], label: str = "clicked", depth: int = 6) -> TreeScorer:
     """``train`` should be stored: each of the ``depth`` levels reads it once."""
     features, kinds = list(features), [i for i, f in enumerate(features) if f in numeric]
-    inputs = StatedInputs(tuple(features), tuple(numeric))
+    inputs, spark = StatedInputs(tuple(features), tuple(numeric)), train.sparkSession
     root = train.agg(F.count(label).alias("n"), F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("pos")).first()
     nodes = {1: Node(1, root["n"], root["pos"])}
     train = train.filter(F.col(label).isNotNull())
@@ -173,24 +174,18 @@ def fit_tree(train: DataFrame, features: Sequence[str], numeric: Sequence[str],
             break
         at = routed(nodes, lambda x: F.lit(x.node if x.node in open_ else None).cast("long"), lambda x: goes_left(train, x))
         cells = cut_lineage(cells_of(train, at, features, numeric, label), "tree-cells")
-        rows = [(i, nodes[i].n, nodes[i].positives) for i in sorted(open_)]
-        totals = train.sparkSession.createDataFrame(rows, "node long, all_n long, all_pos long")
-        best = cut_lineage(best_splits(candidates(cells, totals, kinds, cells.count())).select("node", "s.*", "score", "whole"), "tree-splits")
-        # what a chosen split sends left, and the next number above its limit
-        mine = F.coalesce(F.col("c.level") == F.col("s.level"), F.lit(False))
-        up_to = F.col("s.level").isNull() & F.when(F.col("c.value").isNull(), F.col("s.g") == 1).otherwise(F.coalesce(F.col("c.value") <= F.col("s.value"), F.lit(True)))
-        sides = cells.alias("c").join(F.broadcast(best.alias("s")), (F.col("c.node") == F.col("s.node")) & (F.col("c.f") == F.col("s.f")))
-        sides = sides.groupBy(*[F.col(f"s.{c}") for c in ("node", "f", "g", "value", "level", "score", "whole")]).agg(
-            F.sum(F.when(mine | up_to, F.col("c.n")).otherwise(0)).alias("left_n"),
-            F.sum(F.when(mine | up_to, F.col("c.pos")).otherwise(0)).alias("left_pos"),
-            F.min(F.when(F.col("c.value") > F.col("s.value"), F.col("c.value"))).alias("next"),
-        )
-        for s in sides.collect():  # at most a row per node
+        totals = [(i, nodes[i].n, nodes[i].positives) for i in sorted(open_)]
+        totals = spark.createDataFrame(totals, "node long, all_n long, all_pos long")
+        best = best_splits(cells, totals, kinds, cells.count()).collect()  # at most a row per node
+        limits = [(s["node"], s["f"], s["value"]) for s in best if s["value"] is not None]
+        above = {}
+        if limits:
+            above = {r["node"]: r["next"] for r in next_numbers(cells, spark.createDataFrame(limits, "node long, f int, limit double")).collect()}
+        for s in best:
             x, limit = nodes[s["node"]], None
             if s["level"] is None:
-                limit = float("inf") if s["value"] is None else (s["value"] + s["next"]) / 2
-            split = (features[s["f"]], s["level"], limit, None if s["level"] is not None else s["g"] == 1, s["score"] - s["whole"])
-            nodes[x.node] = Node(x.node, x.n, x.positives, *split)
+                limit = float("inf") if s["value"] is None else (s["value"] + above[x.node]) / 2
+            nodes[x.node] = Node(x.node, x.n, x.positives, features[s["f"]], s["level"], limit, s["gaps_left"], s["score"] - s["whole"])
             nodes[2 * x.node] = Node(2 * x.node, s["left_n"], s["left_pos"])
             nodes[2 * x.node + 1] = Node(2 * x.node + 1, x.n - s["left_n"], x.positives - s["left_pos"])
     return TreeScorer(inputs, nodes)
