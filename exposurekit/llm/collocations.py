@@ -35,8 +35,8 @@ LONGEST = 3
 LEAST = 10
 INSIDE = 50  # percent of a phrase's occurrences inside one longer phrase from which on it is dropped
 TOP = 2000
-BLOCK_BYTES = 8 << 20
-BLOCKS = 4  # a task looks at at once
+BLOCK_BYTES = 4 << 20
+BLOCKS = 1  # a task looks at at once
 UNKNOWN = "und"
 
 BREAKS = np.zeros(256, bool)  # between pieces
@@ -76,7 +76,7 @@ def occurrences(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
                 langs = rows.column("lang").dictionary_encode()
                 owner = np.repeat(np.arange(rows.num_rows), np.diff(first))
                 lang = langs.indices.to_numpy()[owner].astype(np.int64)
-                piece = np.cumsum(BREAKS[data])[starts]
+                piece = np.cumsum(BREAKS[data], dtype=np.int32)[starts]
                 fresh = (np.diff(owner, prepend=owner[0]) > 0) | (np.diff(piece, prepend=piece[0]) > 0)
                 distinct = len(words.dictionary)
                 cells, codes, n = _grouped(lang * distinct + words.indices.to_numpy())
