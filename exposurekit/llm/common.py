@@ -160,7 +160,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """Apply ``make()``, built once per task, to every slice of text.
 
     If the work has a ``done``, it is called when the task ends, to give back what it remembers.
@@ -170,7 +170,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
         work = make()
         try:
             for batch in batches:
-                for part in slices(batch, text):
+                for part in slices(batch, text, limit):
                     yield work(part)
         finally:
             getattr(work, "done", lambda: None)()

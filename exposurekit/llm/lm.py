@@ -42,6 +42,7 @@ NOISE = 64  # noise symbols shared by a batch
 RATE = 0.1
 ROUNDS = (1, 8)  # eighths of the training texts up to which each round goes
 CHUNKS = 16
+COUNT_BYTES = 8 << 20  # text counted at once
 
 
 def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +72,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         return work
 
-    return map_slices(docs.select("text"), make, "word string, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("n"))
+    return map_slices(docs.select("text"), make, "word string, cls int, n long", limit=COUNT_BYTES).groupBy("word", "cls").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -111,17 +112,19 @@ class Model:
 
     def symbols(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbol, class and training count of distinct words; the count is -1 outside the head."""
-        cls = class_of(words)
-        found = np.array([self.words.get(w, (-1, -1)) for w in values_of(words)], np.int64).reshape(len(words), 2)
-        return np.where(found[:, 0] >= 0, found[:, 0], SYMBOLS - CLASSES + cls), cls, found[:, 1]
+        cls, none = class_of(words), (-1, -1)
+        found = [self.words.get(w, none) for w in values_of(words)]
+        symbol, count = (np.fromiter((f[i] for f in found), np.int64, len(found)) for i in (0, 1))
+        return np.where(symbol >= 0, symbol, SYMBOLS - CLASSES + cls), cls, count
 
-    def contexts(self, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-        """Symbols of all tokens with ends put in, first token of every row, and the words with their codes."""
+    def contexts(self, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray, tuple]:
+        """Symbols of all tokens with ends put in, first token of every row, and the words with their codes and ``symbols``."""
         words, first = words_of(*lowered(rows.column("text")))
         coded = words.dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
-        symbol = self.symbols(coded.dictionary)[0][codes] if len(codes) else codes
-        return np.insert(symbol, first[1:], 0), first + np.arange(len(first)), first, coded.dictionary, codes
+        told = self.symbols(coded.dictionary)
+        symbol = told[0][codes] if len(codes) else codes
+        return np.insert(symbol, first[1:], 0), first + np.arange(len(first)), first, coded.dictionary, codes, told
 
 
 def preceding(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,11 +143,16 @@ class Trainer:
     """NCE with noise shared by a batch, steps by AdaGrad."""
 
     def __init__(self, params: Params, noise: np.ndarray, seed: int):
-        self.p, self.rng = params, np.random.default_rng(seed)
+        self.rng = np.random.default_rng(seed)
         self.share = np.cumsum(noise)
         self.log_noise = np.log(NOISE * noise).astype(np.float32)
-        self.all = (params.context, params.target, params.bias, params.place)
-        self.sums = [np.full_like(x, 0.1) for x in self.all]
+        self.context, self.place = params.context, params.place
+        self.out = np.concatenate([params.target, params.bias[:, None]], axis=1)  # the bias is the weight of a constant 1
+        self.sums = {id(x): np.full_like(x, 0.1) for x in (self.context, self.out, self.place)}
+
+    @property
+    def params(self) -> Params:
+        return Params(self.context, self.out[:, :-1], self.out[:, -1], self.place)
 
     def learn(self, symbols: np.ndarray, first: np.ndarray) -> None:
         two, one = preceding(symbols, first)
@@ -154,25 +162,30 @@ class Trainer:
             self.step(two[at], one[at], symbols[at])
 
     def step(self, two: np.ndarray, one: np.ndarray, word: np.ndarray) -> None:
-        p = self.p
+        n, width, place = len(word), self.context.shape[1], self.place
         drawn = np.minimum(np.searchsorted(self.share, self.rng.random(NOISE)), SYMBOLS - 1)
-        far, near, target, noise = p.context[two], p.context[one], p.target[word], p.target[drawn]
-        hidden = far * p.place[0] + near * p.place[1]
-        real = _sigmoid(self.log_noise[word] - (hidden * target).sum(1) - p.bias[word])  # 1 - P(from the text)
-        fake = -_sigmoid(hidden @ noise.T + p.bias[drawn] - self.log_noise[drawn])
-        back = real[:, None] * target + fake @ noise
-        touched, moves = _by_symbol(np.concatenate([word, drawn]), np.concatenate([real[:, None] * hidden, fake.T @ hidden]))
-        pulled, pulls = _by_symbol(np.concatenate([word, drawn]), np.concatenate([real, fake.sum(0)]))
-        seen, turns = _by_symbol(np.concatenate([two, one]), np.concatenate([back * p.place[0], back * p.place[1]]))
-        self._move(0, seen, turns)
-        self._move(1, touched, moves)
-        self._move(2, pulled, pulls)
-        self._move(3, slice(None), np.stack([(back * far).sum(0), (back * near).sum(0)]))
-
-    def _move(self, which: int, rows: np.ndarray | slice, gradient: np.ndarray) -> None:
-        total = self.sums[which][rows] + gradient * gradient
-        self.sums[which][rows] = total
-        self.all[which][rows] += RATE * gradient / np.sqrt(total)
+        both = self.context[np.concatenate([two, one])]
+        far, near, target, noise = both[:n], both[n:], self.out[word], self.out[drawn]
+        hidden = np.ones((n, width + 1), np.float32)
+        np.multiply(far, place[0], out=hidden[:, :width])
+        hidden[:, :width] += near * place[1]
+        real = _sigmoid(self.log_noise[word] - np.einsum("ij,ij->i", hidden, target))  # 1 - P(from the text)
+        fake = _sigmoid(hidden @ noise.T - self.log_noise[drawn])
+        back = real[:, None] * target[:, :width] - fake @ noise[:, :width]
+        self._move(self.out, *_by_symbol(np.concatenate([word, drawn]), np.concatenate([real[:, None] * hidden, -(fake.T @ hidden)])))
+        turns = np.stack([np.einsum("ij,ij->j", back, far), np.einsum("ij,ij->j", back, near)])
+        np.multiply(back, place[0], out=both[:n])
+        np.multiply(back, place[1], out=both[n:])
+        self._move(self.context, *_by_symbol(np.concatenate([two, one]), both))
+        self._move(place, slice(None), turns)
+
+    def _move(self, of: np.ndarray, rows: np.ndarray | slice, gradient: np.ndarray) -> None:
+        sums = self.sums[id(of)]
+        total = sums[rows]
+        total += gradient * gradient
+        if not isinstance(rows, slice):
+            sums[rows] = total
+        of[rows] += RATE * gradient / np.sqrt(total)
 
 
 def _by_symbol(symbols: np.ndarray, gradients: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +197,12 @@ def _by_symbol(symbols: np.ndarray, gradients: np.ndarray) -> tuple[np.ndarray,
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
 
 
 def _round(docs: DataFrame, model: Model, seed: int) -> Params:
@@ -202,7 +220,7 @@ def _round(docs: DataFrame, model: Model, seed: int) -> Params:
                 trainer.learn(symbols, first)
                 weight += len(symbols)
         if trainer is not None:
-            parts = np.array_split(trainer.p.flat(), CHUNKS)
+            parts = np.array_split(trainer.params.flat(), CHUNKS)
             yield pa.RecordBatch.from_pydict(
                 {"chunk": list(range(CHUNKS)), "weight": [float(weight)] * CHUNKS, "values": [x.astype("<f4").tobytes() for x in parts]}
             )
@@ -304,10 +322,9 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         end_base = np.log10((model.ends if model.ends else 0) + 1) - below
         for batch in batches:
             for rows in slices(batch, "text"):
-                symbols, starts, first, words, codes = model.contexts(rows)
+                symbols, starts, first, words, codes, (symbol, cls, count) = model.contexts(rows)
                 two, one = preceding(symbols, starts)
                 total = sums_by_row(scorer(two, one, symbols) / np.log(10), starts)
-                symbol, cls, count = model.symbols(words)
                 common = count >= 0
                 logs = np.log10(np.maximum(count, 0) + 1)
                 base = sums_by_row(np.where(common, logs - below, 0)[codes], first) + end_base
