@@ -2,14 +2,16 @@
 
 Texts fall into pieces, pieces into words. The relation of length one has a row
 (place, word) for every occurrence; places count up, with a gap between pieces and
-texts. It is written in blocks of whole texts, sorted by place, bucketed by block.
-For each length the groups of all blocks are counted together, and groups that occur
-often enough get a number. A block's relation is then semi-joined with the numbers of
-its frequent groups and extended: the relation of length k merge-joined with itself,
-place against next place, gives the occurrences of length k + 1, since two phrases of
-k words at neighbouring places make one of k + 1. So only occurrences all of whose
-parts are frequent live on, and blocks never meet: what is shuffled are blocks' group
-counts and the numbers sent back.
+texts. Relations are written in blocks of whole texts, sorted by place, bucketed by
+block. For each length the groups of all blocks are counted together, those that occur
+often enough are numbered by frequency, and a block's relation is semi-joined with the
+numbers of its frequent groups before it is extended: the relation of length k
+merge-joined with itself, place against next place, gives the occurrences of length
+k + 1, since two phrases of k words at neighbouring places make one of k + 1. So only
+occurrences all of whose parts are frequent live on, and blocks never meet: what is
+shuffled are group counts and the numbers sent back. Which groups a block asks numbers
+for is told by a bitmap of the frequent ones (2^``BITMAP`` bits, whatever there are);
+a group that it lets through by chance has no number.
 
 A frequent group keeps the counts of all its first and last parts, from which every
 cut's score comes; products are decimals of 38 digits, so counts up to 10^14 are exact.
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Bucketed, binary_array, byte_view, slices, stored, tidy, word_spans
+from .common import LOWER, Bucketed, binary_array, byte_view, few_rows, slices, stored, tidy, word_spans
 
 LONGEST = 3
 LEAST = 10
@@ -37,6 +39,9 @@ INSIDE = 50  # percent of a phrase's occurrences inside one longer phrase from w
 TOP = 2000
 BLOCK_BYTES = 4 << 20
 BLOCKS = 1  # a task looks at at once
+PAIRS = 1 << 21  # occurrences a task counts before it hands them on
+BITMAP = 26
+PACKED = 1 << 31  # two smaller numbers are one key
 UNKNOWN = "und"
 
 BREAKS = np.zeros(256, bool)  # between pieces
@@ -44,24 +49,40 @@ BREAKS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 SEPARATORS = BREAKS.copy()
 SEPARATORS[[0x20, 0x09]] = True
 
-RELATION = "block long, places binary, codes binary"
+RELATION = "block long, places binary, ids binary"
 
 
-def _packed(block: int, places: np.ndarray, codes: np.ndarray, groups: pa.StructArray) -> pa.RecordBatch:
-    """One block: places as steps from one occurrence to the next, codes as positions in its list of groups."""
-    lists = pa.ListArray.from_arrays(pa.array([0, len(groups)], pa.int32()), groups)
-    steps = np.diff(places, prepend=0).astype("<i4").tobytes()
-    columns = [pa.array([block]), pa.array([steps], pa.binary()), pa.array([codes.astype("<i4").tobytes()], pa.binary()), lists]
-    return pa.RecordBatch.from_arrays(columns, names=["block", "places", "codes", "groups"])
+def _relation(block: int, places: np.ndarray, ids: np.ndarray, more: dict | None = None) -> pa.RecordBatch:
+    """One block: places as steps from one occurrence to the next."""
+    columns = {
+        "block": pa.array([block]),
+        "places": pa.array([np.diff(places, prepend=0).astype("<i4").tobytes()], pa.binary()),
+        "ids": pa.array([ids.tobytes()], pa.binary()),
+        **(more or {}),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], kind: str = "<i8") -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    """Each block's row, number, places and ids."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            places = np.cumsum(np.frombuffer(row.column("places")[0].as_buffer(), "<i4"), dtype=np.int64)
+            yield row, row.column("block")[0].as_py(), places, np.frombuffer(row.column("ids")[0].as_buffer(), kind)
 
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, each key's position among them, and how often each occurs."""
-    return np.unique(keys, return_inverse=True, return_counts=True)
+    """Distinct keys, the most frequent first; each key's position among them; and how often each occurs."""
+    distinct, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[at], n[order]
 
 
 def occurrences(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """The relation of length one in blocks, with (lang, word, n) of each block's groups."""
+    """The relation of length one in blocks, ids being places in the list ``groups`` of (lang, word, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -88,7 +109,8 @@ def occurrences(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
                     ],
                     names=["lang", "word", "n"],
                 )
-                yield _packed(block, np.arange(len(starts)) + np.cumsum(fresh), codes, groups)
+                lists = pa.ListArray.from_arrays(pa.array([0, len(groups)], pa.int32()), groups)
+                yield _relation(block, np.arange(len(starts)) + np.cumsum(fresh), codes.astype("<i4"), {"groups": lists})
                 block += 1
 
     told = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text")
@@ -102,51 +124,135 @@ def merge_join(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndar
     return i, j[i]
 
 
-def _extended(relation: DataFrame, numbers: DataFrame) -> DataFrame:
-    """The relation one word longer, in blocks, with (first, last, n) of each block's groups.
+def _kept(relation: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The relation of length one, semi-joined with the (code, id) ``of`` of each block's frequent words."""
 
-    ``numbers``: (block, of) with the (code, id) of a block's frequent groups, lying as
-    the relation does.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, block, places, codes in _blocks(batches, "<i4"):
+            of = row.column("of").flatten()
+            known, ids = (of.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            told = np.full(codes.max(initial=-1) + 1, -1, np.int64)
+            told[known] = ids
+            mine = told[codes]
+            yield _relation(block, places[mine >= 0], mine[mine >= 0].astype("<i8"))
+
+    return relation.join(numbers, "block").select("block", "places", "ids", "of").mapInArrow(tidy(run), RELATION)
+
+
+def _longer_kept(relation: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The relation one word longer, semi-joined with the (first, last, id) ``of`` of each block's frequent groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                steps, codes = (np.frombuffer(row.column(c)[0].as_buffer(), "<i4") for c in ("places", "codes"))
-                of = row.column("of").flatten()
-                known, ids = (of.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-                ordered = np.sort(ids)
-                local = np.full(codes.max(initial=-1) + 1, -1, np.int64)
-                local[known] = np.searchsorted(ordered, ids)
-                mine = local[codes]
-                kept = mine >= 0  # the semi-join
-                places, mine = np.cumsum(steps, dtype=np.int64)[kept], mine[kept]
-                a, b = merge_join(places, places)
-                if not len(a):
-                    continue
-                cells, found, n = _grouped(mine[a] * len(ordered) + mine[b])
-                groups = pa.StructArray.from_arrays(
-                    [pa.array(ordered[cells // len(ordered)]), pa.array(ordered[cells % len(ordered)]), pa.array(n)], names=["first", "last", "n"]
-                )
-                yield _packed(row.column("block")[0].as_py(), places[a], found, groups)
+        for row, block, places, ids in _blocks(batches):
+            a, b = merge_join(places, places)
+            of = row.column("of").flatten()
+            first, last, number = (of.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+            ordered = np.unique(ids)
+            size = len(ordered)
+            keys = np.searchsorted(ordered, first) * size + np.searchsorted(ordered, last)  # a block's own, without gaps
+            order = np.argsort(keys)
+            mine = np.searchsorted(ordered, ids[a]) * size + np.searchsorted(ordered, ids[b])
+            at = np.minimum(np.searchsorted(keys[order], mine), len(keys) - 1)
+            there = keys[order][at] == mine
+            yield _relation(block, places[a][there], number[order][at[there]].astype("<i8"))
+
+    return relation.join(numbers, "block").select("block", "places", "ids", "of").mapInArrow(tidy(run), RELATION)
+
 
-    joined = relation.select("block", "places", "codes").join(numbers, "block")
-    return joined.select("block", "places", "codes", "of").mapInArrow(tidy(run), f"{RELATION}, groups array<struct<first:long,last:long,n:long>>")
+def _pair_counts(relation: DataFrame, packed: bool) -> DataFrame:
+    """(first, last, n) of the groups one word longer, over all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            first, last = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
+            if packed:
+                keys, n = np.unique(first << 32 | last, return_counts=True)
+                return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(first), pa.array(last), pa.array(np.ones(len(first), np.int64))], names=["first", "last", "n"])
+
+        for _, _, places, ids in _blocks(batches):
+            a, b = merge_join(places, places)
+            waiting.append((ids[a], ids[b]))
+            size += len(a)
+            if size > PAIRS:
+                yield counted()
+                waiting, size = [], 0
+        if size:
+            yield counted()
+
+    rows = relation.select("block", "places", "ids")
+    if not packed:
+        return rows.mapInArrow(tidy(run), "first long, last long, n long").groupBy("first", "last").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return counts.select(F.shiftright("pair", 32).alias("first"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("last"), "n")
+
+
+def _bits(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Place of each group in the bitmap."""
+    x = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (x >> np.uint64(64 - BITMAP)).astype(np.int64)
+
+
+def bitmap(frequent: DataFrame) -> np.ndarray:
+    """2^``BITMAP`` bits, set at the places of the groups (first, last) of ``frequent``; tasks' bitmaps are merged by tasks."""
+    size, parts = 1 << (BITMAP - 3), 64
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, np.uint8)
+        for batch in batches:
+            at = _bits(*(batch.column(c).to_numpy() for c in ("first", "last")))
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        for i, part in enumerate(np.split(bits, parts)):
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"part": [i], "bits": [part.tobytes()]})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, bits in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist()):
+                found[i] = found.get(i, 0) | np.frombuffer(bits, np.uint8)
+        for i, bits in found.items():
+            yield pa.RecordBatch.from_pydict({"part": [i], "bits": [bits.tobytes()]})
 
+    marked = frequent.select("first", "last").mapInArrow(tidy(mark), "part long, bits binary")
+    out = np.zeros((parts, size // parts), np.uint8)
+    for r in marked.repartition(parts, "part").mapInArrow(merge, "part long, bits binary").collect():
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
 
-def _frequent(relation: DataFrame, by: list[str], least: int, label: str) -> DataFrame:
-    """(id, by, n) of the groups that occur ``least`` times in all blocks together."""
-    cells = relation.select(F.explode("groups").alias("g")).select("g.*")
-    counts = cells.groupBy(*by).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return stored(counts.withColumn("id", F.monotonically_increasing_id()), label)
 
+def _asked(relation: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(block, first, last): a block's groups one word longer that the bitmap lets through."""
+    shared = relation.sparkSession.sparkContext.broadcast(bits)
 
-def _numbers(tables: Bucketed, relation: DataFrame, frequent: DataFrame, by: list[str]) -> DataFrame:
-    """(block, of): the frequent groups of every block, a block's list is no longer than its text."""
-    cells = relation.select("block", F.posexplode("groups").alias("code", "g")).select("block", "code", *[f"g.{c}" for c in by])
-    found = cells.join(frequent.select(*by, "id"), by).select("block", "code", "id")
-    return tables.dealt(found).groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("of"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block, places, ids in _blocks(batches):
+            a, b = merge_join(places, places)
+            first, last = ids[a], ids[b]
+            at = _bits(first, last)
+            there = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            first, last = first[there], last[there]
+            ordered = np.unique(first)
+            code = np.unique(last)
+            keys = np.unique(np.searchsorted(ordered, first) * max(len(code), 1) + np.searchsorted(code, last))
+            columns = [pa.array(np.full(len(keys), block)), pa.array(ordered[keys // max(len(code), 1)]), pa.array(code[keys % max(len(code), 1)])]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "first", "last"])
+
+    return relation.select("block", "places", "ids").mapInArrow(tidy(run), "block long, first long, last long")
+
+
+def _numbered(counts: DataFrame, least: int, by: list[str], label: str) -> DataFrame:
+    """(id, by, n) of the groups that occur ``least`` times; the most frequent have the smallest ids, which have no gaps."""
+    number = F.monotonically_increasing_id()
+    frequent = stored(counts.filter(F.col("n") >= least), f"{label}-counts")
+    ordered = frequent.repartitionByRange(F.desc("n"), *by).sortWithinPartitions(F.desc("n"), *by)
+    ordered = stored(ordered.select(*by, "n", F.shiftright(number, 33).alias("part"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("i")), label)
+    parts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    before = parts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))  # a row per task
+    return ordered.join(F.broadcast(before), "part").select((F.col("before") + F.col("i")).alias("id"), *by, "n")
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, size: int = BLOCK_BYTES) -> tuple[DataFrame, list[DataFrame]]:
@@ -158,17 +264,30 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     """
     spark = docs.sparkSession
     with Bucketed(spark, "block", int(spark.conf.get("spark.sql.shuffle.partitions"))) as tables:
-        relation = tables.put(occurrences(docs, size), "words")
-        cells = relation.select(F.explode("groups").alias("g"))
-        totals = stored(cells.groupBy(F.col("g.lang").alias("lang")).agg(F.sum("g.n").alias("n")), "phrase-totals")
+
+        def listed(found: DataFrame, *columns: str) -> DataFrame:
+            """(block, of): a block's list is no longer than its text."""
+            return tables.dealt(found.select("block", *columns)).groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("of"))
+
+        read = stored(occurrences(docs, size), "words")
+        cells = read.select("block", F.posexplode("groups").alias("code", "g")).select("block", "code", "g.*")
+        totals = stored(cells.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
         by = ["lang", "word"]
-        words = _frequent(relation, by, least, "phrases-1")
+        words = _numbered(cells.groupBy(*by).agg(F.sum("n").alias("n")), least, by, "phrases-1")
         found = [words.select("id", "n", "lang", F.col("word").alias("phrase"), "word", F.array("n").alias("firsts"), F.array("n").alias("lasts"))]
-        counted = words
+        numbers = listed(cells.select("block", "code", *by).join(words.select(*by, "id"), by), "code", "id")
+        with few_rows(spark, BLOCKS):
+            relation = tables.put(_kept(tables.dealt(read.select("block", "places", "ids")), numbers), "phrases_1", rows=BLOCKS)
         for k in range(2, longest + 1):
-            relation = tables.put(_extended(relation, _numbers(tables, relation, counted, by)), f"phrases_{k}", rows=BLOCKS)
             by = ["first", "last"]
-            counted = _frequent(relation, by, least, f"phrases-{k}")
+            packed = found[-1].count() < PACKED
+            with few_rows(spark, BLOCKS):
+                counted = _numbered(_pair_counts(relation, packed), least, by, f"phrases-{k}")
+            if k < longest:
+                with few_rows(spark, BLOCKS):
+                    asked = stored(_asked(relation, bitmap(counted)), f"phrases-{k}-asked")
+                numbers = listed(asked.join(counted.select(*by, "id"), by), *by, "id")
+                relation = tables.put(_longer_kept(relation, numbers), f"phrases_{k}", rows=BLOCKS)
             before = found[-1]
             start = before.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("start"), "firsts")
             end = before.select(F.col("id").alias("last"), "word", "lasts")

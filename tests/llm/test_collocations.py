@@ -57,7 +57,9 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("size, longest, least, inside, top", [(300, 3, 10, 50, 2000), (8 << 20, 4, 4, 80, 15)])
-def test_phrases_equal_plain_ones(spark, size, longest, least, inside, top):
+def test_phrases_equal_plain_ones(spark, monkeypatch, size, longest, least, inside, top):
+    if size == 300:
+        monkeypatch.setattr(collocations, "PACKED", 0)  # two numbers are two keys
     rows = corpus(size)
     got = collocations.collocations(frame(spark, rows), longest, least, inside, top, size)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -86,6 +88,15 @@ def test_merge_join_of_places():
         assert list(zip(left[i], right[j])) == [(x, x + 1) for x in left if x + 1 in right]
 
 
+def test_the_bitmap_knows_all_frequent_groups(spark):
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 1 << 40, size=(500, 2))]
+    bits = collocations.bitmap(spark.createDataFrame(pairs, "first long, last long").repartition(3))
+    held = lambda p: (bits[(at := collocations._bits(*np.array(p).T)) >> 3] >> (at & 7).astype(np.uint8)) & 1
+    assert held(pairs).all() and bits.nbytes == 1 << (collocations.BITMAP - 3)
+    assert held(rng.integers(0, 1 << 40, size=(5000, 2))).mean() < 0.01
+
+
 def test_no_words(spark):
     for rows in ([], [(None, "de"), (" . ", None)]):
         assert collocations.collocations(frame(spark, rows)).collect() == []
