@@ -314,6 +314,22 @@ def test_masks_hold_the_speakers_words(spark):
     assert chat.rotate(empty).count() == 0
 
 
+def test_parts_of_a_long_dialogue_are_the_whole_of_it(spark):
+    rows = [(1, 0, "system", "be kind")] + [(1, i, "ann" if i % 2 else "bob", f"tüxt {i}") for i in range(1, 300)] + [(1, 300, "cid", "late")]
+    rows += [(2, 0, "system", "alone")] + [(2, i, "system", "x") for i in range(1, 300)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    parts = {}
+    for r in sorted(chat.rotate(frame).collect(), key=lambda r: r.part):
+        parts.setdefault((r.conv_id, r.perspective), []).append(r)
+    assert set(parts) == {(1, "ann"), (1, "bob"), (1, "cid")}
+    for (_, who), own in parts.items():
+        assert [r.part for r in own] == [0, 1] and sum(r.n_turns for r in own) == 301
+        whole = "".join(r.rendered for r in own)
+        said = [whole[m.start : m.end] for r in own for m in r.masks]
+        assert said == [f"{text}<|im_end|>" for _, _, role, text in rows[:301] if role == who]
+        assert whole.startswith("<|im_start|>system\nbe kind") and whole.count("<|im_start|>assistant") == len(said)
+
+
 # SimHash
 
 
