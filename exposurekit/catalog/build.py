@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULTS
 from ..functions import columns as C
-from ..functions.wording import CARD_FEATURES, COARSE_AGE, GIFT_TIERS, REGIME_TITLES
+from ..functions.wording import CARD_FEATURES, COARSE_AGE, FAILED_RATIONALE, GIFT_TIERS, REGIME_TITLES
 from ..operators import cost, features, profile, sampling
 from ..operators.ordinal import with_ordinal
 from ..operators.skew import lookup_join
 from ..plans import tables as plans
 from ..session import cut_lineage, fresh_path
-from ..sources import sinks, tables
+from ..sources import answers, sinks, tables
 from .registry import query
-from .views import Views
+from .views import Views, uniform, uniform_sql
 
 
 
@@ -110,6 +110,49 @@ def scan_rationales(v: Views):
     return tables.cached_rationales(v.spark, path, train)
 
 
+# two stored batches: seven rows in eight, a fifth of them failed calls; then a second try of half of them
+STATUS_SQL = f"""picked as (select *, {uniform_sql('first', 'row_id')} a, {uniform_sql('fail', 'row_id')} b, {uniform_sql('again', 'row_id')} c from v_rationales),
+    found as (select row_id, label, case when a >= 0.875e0 then 'missing' when b < 0.2e0 and c >= 0.5e0 then 'failed' else 'answered' end status,
+      case when a >= 0.875e0 then null when c < 0.5e0 then 'again: ' || rationale when b >= 0.2e0 then rationale end rationale,
+      case when a >= 0.875e0 then null when c < 0.5e0 then 1 else 0 end::bigint version from picked)"""
+
+
+def partly_answered(v: Views) -> DataFrame:
+    """Status of every row against a store with failed calls, second tries and rows nobody asked for."""
+    path, rows = fresh_path(v.spark, "answers"), v.rationales()
+    first = rows.filter(uniform("first", "row_id") < 0.875)
+    failed = F.when(uniform("fail", "row_id") >= 0.2, F.col("rationale"))
+    answers.add_answers(path, first.withColumn("rationale", failed), 0)
+    again = first.filter(uniform("again", "row_id") < 0.5)
+    answers.add_answers(path, again.withColumn("rationale", F.concat(F.lit("again: "), "rationale")), 1)
+    return answers.completeness(answers.read_store(v.spark, path), rows)
+
+
+@query(
+    "scan_rationales_partial",
+    "v_rationales",
+    f""", {STATUS_SQL} select row_id, status, coalesce(rationale, case when status = 'failed' then '{FAILED_RATIONALE}' end) rationale,
+       case when status <> 'missing' then label end::bigint as label, (status = 'failed')::bigint defaulted,
+       case status when 'failed' then coalesce(version, -1) + 1 when 'missing' then 0 end::bigint attempt from found""",
+)
+def scan_rationales_partial(v: Views):
+    """What is there, what stands in for failed calls, and what is still to be asked for."""
+    found = cut_lineage(partly_answered(v), "answers-found")
+    told, work = answers.with_default(found), answers.work_list(found)
+    joined = found.select("row_id", "status").join(told, "row_id", "left").join(work, "row_id", "left")
+    return joined.select("row_id", "status", "rationale", "label", F.coalesce("defaulted", F.lit(False)).alias("defaulted"), "attempt")
+
+
+@query(
+    "rationale_completeness",
+    "v_rationales",
+    f""", {STATUS_SQL} select count(*) wanted, count(*) filter (status = 'answered') answered, count(*) filter (status = 'failed') failed,
+       count(*) filter (status = 'missing') missing, (count(*) filter (status = 'missing') = 0)::bigint complete from found""",
+)
+def rationale_completeness(v: Views):
+    return answers.summary(partly_answered(v))
+
+
 @query("sink_jsonl", "v_rationales", "select row_id, rationale, label::bigint as label from v_rationales")
 def sink_jsonl(v: Views):
     path = fresh_path(v.spark, "examples")

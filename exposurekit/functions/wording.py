@@ -27,6 +27,7 @@ COARSE_AGE = {
 }
 COARSE_AGE_BANDS = ("<24", "24-40", "40+")
 GIFT_TIERS = ("Low", "Mid", "High")
+FAILED_RATIONALE = "Mixed engagement signals across user activity, streamer niche, and timing."
 BLEND_WEIGHTS = (0.0, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 1.0)
 
 # US dollars per million tokens, in and out
