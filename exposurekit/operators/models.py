@@ -16,6 +16,7 @@ from pyspark.ml.classification import (
     LogisticRegression,
     LogisticRegressionModel,
 )
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,6 +167,11 @@ def evaluate(scored: DataFrame, y: str) -> DataFrame:
     return both.select("metric", round_to(F.col("value"), 4).alias("value"))
 
 
+def by_train(train: DataFrame, test: DataFrame, features: Sequence[str]) -> Encoder:
+    """The encoding whose kinds and levels come from ``train`` alone."""
+    return encode_train_fit(train, features)
+
+
 def group_ablation(
     train: DataFrame,
     test: DataFrame,
@@ -173,30 +179,39 @@ def group_ablation(
     label: str = "clicked",
     learners: Mapping[str, Callable[[Encoder, DataFrame], Scorer]] = LEARNERS,
     parallelism: int = 4,
-    encoding: Callable[[DataFrame, DataFrame, Sequence[str]], Encoder] = lambda train, test, features: encode_train_fit(train, features),
+    encoding: Callable[[DataFrame, DataFrame, Sequence[str]], Encoder] = by_train,
 ) -> DataFrame:
     """``group, model, metric, value`` for every feature group and learner.
 
     ``encoding`` makes an encoder of (train, test, features), for example ``encode_union_fit``.
+    All groups' features are encoded once, train and test written once each; a group is
+    a choice of vector positions of these tables, the ranges of its features.
 
     Fits are independent of each other; up to ``parallelism`` of them run at a time, as in
     Spark ML's own model selection.
     """
-
-    def encode(features: Sequence[str]) -> tuple[Encoder, DataFrame]:
-        encoder = encoding(train, test, features)
-        return encoder, training_set(encoder, train, label)
+    every = list(dict.fromkeys(f for features in groups.values() for f in features))
+    encoder = encoding(train, test, every)
+    rows = [
+        cut_lineage(encoder.transform(df).select(F.col(encoder.output).alias("_all"), F.col(label).cast(kind).alias(name)), stage)
+        for df, kind, name, stage in ((train, "double", "label", "encoded"), (test, test.schema[label].dataType, "y", "encoded-test"))
+    ]
+
+    def chosen(group: str) -> list[DataFrame]:
+        wanted = set(groups[group])
+        slicer = VectorSlicer(inputCol="_all", outputCol=encoder.output, indices=[i for i, f in enumerate(encoder.slots) if f in wanted])
+        return [slicer.transform(df).drop("_all") for df in rows]
 
     def score(job: tuple[str, str]) -> DataFrame:
         group, name = job
-        scorer = learners[name](*encoded[group])
+        encoded, tested = chosen(group)
+        scorer = learners[name](encoder, encoded)
         # predictions are written once; each metric reads two columns of them
-        scored = cut_lineage(scorer.predict(test).select(F.col(label).alias("y"), "prob", "hard"), "scored")
+        scored = cut_lineage(scorer.score_encoded(tested).select("y", "prob", "hard"), "scored")
         return evaluate(scored, "y").select(F.lit(group).alias("group"), F.lit(name).alias("model"), "metric", "value")
 
     spark = train.sparkSession
     jobs = [(group, name) for group in groups for name in learners]
     with ThreadPool(parallelism) as pool:
-        encoded = dict(zip(groups, pool.map(inheritable_thread_target(spark)(encode), groups.values())))
         parts = pool.map(inheritable_thread_target(spark)(score), jobs, chunksize=1)
     return reduce(DataFrame.unionByName, parts)

@@ -121,8 +121,9 @@ def validity_study(
     features: Sequence[str],
     label: str = "clicked",
     learners=models.LEARNERS,
+    encoding=models.by_train,
 ) -> dict[str, DataFrame]:
-    """Feature-group ablation, and scores and agreement of repeated answer runs.
+    """Feature-group ablation (``encoding`` as there), and scores and agreement of repeated answer runs.
 
     ``runs`` maps a run's name to its ``row_id, prob, hard``; the first is the one the
     others are compared with. A run over a resampled test set has its own rows: its
@@ -144,7 +145,7 @@ def validity_study(
     base = scored.filter(F.col("scorer") == first).select("row_id", F.col("hard").alias("_base"))
     same = scored.filter(F.col("scorer") != first).join(base, "row_id")
     return {
-        "ablation": models.group_ablation(train, test, groups, label, learners),
+        "ablation": models.group_ablation(train, test, groups, label, learners, encoding=encoding),
         "scores": score_summary(scored),
         "agreement": same.groupBy("scorer").agg(F.avg((F.col("hard") == F.col("_base")).cast("double")).alias("share")),
     }

@@ -143,6 +143,24 @@ def test_ablation_turns_whole_numbers_into_means(planted):
     assert out[0]["signal"] == pytest.approx(mean) and out[0]["color"] == "blue" and out[0]["level"] == 0
 
 
+def test_groups_share_one_encoded_table(spark, planted):
+    import os
+
+    from exposurekit.session import shared_folder
+
+    train, test, encoder, _ = planted
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    groups = {f"g{i}": encoder.features[: i + 1] for i in range(len(encoder.features))}
+    found = models.group_ablation(train, test, groups, learners={"LogReg": models.fit_logreg})
+    assert found.select("group").distinct().count() == len(groups)
+    written = [x for x in set(os.listdir(folder)) - before if x.startswith("encoded")]
+    assert len(written) == 2  # train and test
+    alone = models.group_ablation(train, test, {"g0": groups["g0"]}, learners={"LogReg": models.fit_logreg})
+    both = alone.withColumnRenamed("value", "own").join(found, ["group", "model", "metric"])
+    assert both.count() == 4 and both.filter("abs(own - value) > 1e-3").count() == 0
+
+
 def test_group_ablation_shape(planted):
     train, test, _, _ = planted
     table = models.group_ablation(
