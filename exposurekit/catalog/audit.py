@@ -8,6 +8,7 @@ from ..config import DEFAULTS
 from ..functions import columns as C
 from ..functions.wording import AGE_BANDS, BLEND_WEIGHTS, COARSE_AGE, COARSE_AGE_BANDS
 from ..operators import ensemble, fairness, metrics, resample, responses
+from ..plans import studies
 from .registry import query
 from .views import Views
 
@@ -311,3 +312,49 @@ def bootstrap_prediction(v: Views):
         (F.abs(F.col("mean") - p) <= slack).cast("int").alias("mean_near"),
         sd_near.otherwise(F.col("sd") > 0).cast("int").alias("sd_near"),
     )
+
+
+# ------------------------------------------------------------------------- studies
+
+SCORES_SQL = """mixed as (select w, y, case when w * p_a + (1e0 - w) * p_b >= 0.5e0 then 1 else 0 end hard
+         from v_predictions, (select unnest([{weights}]) w)),
+       grid as (select w, round_even(acc * 1e4, 0) / 1e4 acc, round_even(f1_macro * 1e4, 0) / 1e4 f1 from {cells})"""
+
+
+@query(
+    "ensemble_study",
+    "v_predictions",
+    f""", {SCORES_SQL.format(weights=WEIGHTS_SQL, cells=cells_sql('mixed', 'w'))},
+       alone as (select 'a' name, y, (p_a >= 0.5e0)::int hard from v_predictions union all select 'b', y, (p_b >= 0.5e0)::int from v_predictions)
+       select name, null::double w, {r4('acc')} acc, {r4('f1_macro')} f1_macro from {cells_sql('alone', 'name')}
+       union all select 'best blend', round(w, 6), round(acc, 6), round(f1, 6) from (select * from grid order by acc desc, w limit 1)""",
+)
+def ensemble_study(v: Views):
+    return studies.ensemble_study(v.predictions(), {"a": "p_a", "b": "p_b"}, "a", "b")["record"]
+
+
+@query(
+    "correction_study",
+    "v_predictions",
+    """select was_right, is_right, count(row_id) n from (values (0::bigint, 0::bigint), (0, 1), (1, 0), (1, 1)) t(was_right, is_right)
+       left join (select row_id, (h_a = y)::bigint was_right, (h_b = y)::bigint is_right from v_predictions) using (was_right, is_right) group by all""",
+)
+def correction_study(v: Views):
+    return studies.correction_study(*two_runs(v))["turned"]
+
+
+@query(
+    "progression_study",
+    "v_iterations",
+    f""", texts as (select iteration, 'Step ' || iteration || chr(10) || 'says yes ' || sum(hard) || ' times   of ' || count(*) as text from v_iterations group by iteration)
+       select iteration, 'Iteration ' || iteration || case when iteration = 0 then ' (initial explanation)'
+           when iteration = (select max(iteration) from v_iterations) then ' (refined explanation)'
+           else ' (after ' || iteration || ' reflection step' || case when iteration > 1 then 's' else '' end || ')' end as label,
+         {r4('acc')} acc, {r4('f1_macro')} f1_macro, {r4('f1_pos')} f1_pos,
+         case when length(flat) > 20 then substr(flat, 1, 20) || ' ...' else flat end excerpt
+       from {cells_sql('v_iterations', 'iteration')} join (select iteration, regexp_replace(text, '\\s+', ' ', 'g') flat from texts) using (iteration)""",
+)
+def progression_study(v: Views):
+    rows = v.iterations()
+    text = F.concat(F.lit("Step "), F.col("iteration").cast("string"), F.lit("\nsays yes "), F.sum("hard").cast("string"), F.lit(" times   of "), F.count(F.lit(1)).cast("string"))
+    return studies.progression_study(rows, rows, rows.groupBy("iteration").agg(text.alias("text")), limit=20)["steps"]

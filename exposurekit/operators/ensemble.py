@@ -37,12 +37,15 @@ def blend_grid(
 
 
 def error_overlap(preds: DataFrame, h1: str, h2: str, y: str = "y") -> DataFrame:
-    """Shares wrong by each and by both scorers, and the correlation of their errors."""
+    """Shares wrong by each and by both scorers, and the correlation of their errors.
+
+    A scorer that is always or never wrong has no correlation (null).
+    """
     e1 = (F.col(h1) != F.col(y)).cast("double")
     e2 = (F.col(h2) != F.col(y)).cast("double")
     return preds.agg(
         F.avg(e1).alias("wrong_1"),
         F.avg(e2).alias("wrong_2"),
         F.avg(e1 * e2).alias("both_wrong"),
-        F.corr(e1, e2).alias("error_corr"),
+        F.when((F.var_pop(e1) > 0) & (F.var_pop(e2) > 0), F.try_divide(F.covar_pop(e1, e2), F.stddev_pop(e1) * F.stddev_pop(e2))).alias("error_corr"),
     )

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions.wording import AGE_BANDS, COARSE_AGE, COARSE_AGE_BANDS, HISTORY_FEATURES
-from ..functions.columns import recode
-from ..operators import fairness, metrics, models, profile, prompts, ranking, resample, sampling
+from ..functions.wording import AGE_BANDS, BLEND_WEIGHTS, COARSE_AGE, COARSE_AGE_BANDS, HISTORY_FEATURES
+from ..functions.columns import normalize_text, recode, round_to, threshold
+from ..operators import ensemble, fairness, metrics, models, profile, prompts, ranking, resample, sampling
 from ..operators.encode import encode_train_fit
 from ..session import cut_lineage
 
@@ -159,3 +159,62 @@ def audit_study(preds: DataFrame, gender: str = "u_gender", age: str = "u_age")
         "rates": fairness.group_rates(rows, [gender, age], levels={age: AGE_BANDS}),
         "recalibrated": fairness.recalibrated_audit(rows, [gender, age, "coarse_age"], levels=levels),
     }
+
+
+def ensemble_study(
+    preds: DataFrame, probs: Mapping[str, str], first: str, second: str, y: str = "y", weights: Sequence[float] = BLEND_WEIGHTS
+) -> dict[str, DataFrame]:
+    """Two scorers blended, beside all scorers alone.
+
+    ``probs`` maps a scorer's name to its probability column of ``preds``. ``record``:
+    ``name, w, acc, f1_macro``, one row per scorer and one for the best blend of
+    ``first`` and ``second``; ``blend``: every weight; ``overlap``: how their errors meet.
+    """
+    blend = cut_lineage(ensemble.blend_grid(preds, probs[first], probs[second], y, weights), "blend")
+    hard = {name: threshold(F.col(c)) for name, c in probs.items()}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), h.alias("hard")) for n, h in hard.items()]))
+    alone = preds.select(F.col(y).alias("y"), each.alias("s")).select("y", "s.*")
+    report = metrics.classification_report(alone, by=["name"]).select("name", F.lit(None).cast("double").alias("w"), "acc", "f1_macro")
+    best = blend.filter("best").select(F.lit("best blend").alias("name"), "w", "acc", F.col("f1").alias("f1_macro"))
+    decided = preds.select(F.col(y).alias("y"), hard[first].alias("_first"), hard[second].alias("_second"))
+    return {"record": report.unionByName(best), "blend": blend, "overlap": ensemble.error_overlap(decided, "_first", "_second")}
+
+
+def correction_study(base: DataFrame, corrected: DataFrame, y: str = "y", on: str = "row_id") -> dict[str, DataFrame]:
+    """Runs without and with correction notes: scores and changes, and which answers turned.
+
+    ``turned``: ``was_right, is_right, n`` for all four cases, also those that do not occur.
+    """
+    pairs = base.select(on, F.col(y).alias("_y"), F.col("hard").alias("_a")).join(corrected.select(on, F.col("hard").alias("_b")), on)
+    counted = pairs.agg(
+        *[F.count_if(((F.col("_a") == F.col("_y")) == F.lit(a)) & ((F.col("_b") == F.col("_y")) == F.lit(b))).alias(f"n{int(a)}{int(b)}") for a in (False, True) for b in (False, True)]
+    )
+    cases = F.array(*[F.struct(F.lit(a).alias("was_right"), F.lit(b).alias("is_right"), F.col(f"n{a}{b}").alias("n")) for a in (0, 1) for b in (0, 1)])
+    return {"effect": metrics.correction_effect(base, corrected, y, on), "turned": counted.select(F.explode(cases).alias("c")).select("c.*")}
+
+
+def progression_study(valid: DataFrame, test: DataFrame, descriptions: DataFrame, limit: int = 220) -> dict[str, DataFrame]:
+    """Refinement step by step, and what it gained on the test rows.
+
+    ``valid`` and ``test`` are ``iteration, y, hard``; ``descriptions`` are ``iteration,
+    text``. ``steps``: scores of every iteration that has validation answers, with a
+    label and an excerpt of its description; ``lift``: test accuracy of the first and the
+    last iteration.
+    """
+    report = metrics.classification_report(valid, by=["iteration"])
+    ends = report.agg(F.min("iteration").alias("first"), F.max("iteration").alias("last"))  # one row
+    step, turns = F.col("iteration").cast("string"), F.col("iteration") - F.col("first")
+    label = (
+        F.when(turns == 0, F.concat(F.lit("Iteration "), step, F.lit(" (initial explanation)")))
+        .when(F.col("iteration") == F.col("last"), F.concat(F.lit("Iteration "), step, F.lit(" (refined explanation)")))
+        .otherwise(F.concat(F.lit("Iteration "), step, F.lit(" (after "), turns.cast("string"), F.when(turns == 1, " reflection step)").otherwise(" reflection steps)")))
+    )
+    texts = descriptions.groupBy("iteration").agg(F.min("text").alias("text"))
+    steps = report.crossJoin(F.broadcast(ends)).join(texts, "iteration", "left")
+    scored = metrics.classification_report(test, by=["iteration"])
+    first, last = F.min_by("acc", "iteration"), F.max_by("acc", "iteration")
+    lift = scored.agg(first.alias("oneshot"), last.alias("refined"), round_to(last - first, 4).alias("lift"))
+    return {
+        "steps": steps.select("iteration", label.alias("label"), "acc", "f1_macro", "f1_pos", normalize_text(F.col("text"), limit).alias("excerpt")),
+        "lift": lift,
+    }

@@ -82,3 +82,32 @@ def test_audit_study(parts, answers):
     assert after["n"] == 300
     spread = {r["stage"]: r["fnr_spread"] for r in out["recalibrated"].filter("dim = 'u_gender'").collect()}
     assert spread["after"] <= spread["before"]
+
+
+def test_correction_and_progression(spark):
+    rows = [(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 0, 1)]
+    base = spark.createDataFrame(rows, "row_id long, y int, hard int")
+    better = spark.createDataFrame([(i, y, y if i != 2 else 0) for i, y, _ in rows], "row_id long, y int, hard int")
+    found = studies.correction_study(base, better)
+    assert {(r.was_right, r.is_right): r.n for r in found["turned"].collect()} == {(0, 0): 0, (0, 1): 2, (1, 0): 1, (1, 1): 1}
+    assert found["effect"].first().changed == 3
+    steps = base.withColumn("iteration", F.lit(0)).unionByName(base.withColumn("iteration", F.lit(1))).unionByName(better.withColumn("iteration", F.lit(2)))
+    texts = spark.createDataFrame([(0, "  first\n words "), (2, "a " * 200)], "iteration int, text string")
+    got = studies.progression_study(steps, steps, texts, limit=9)
+    told = {r.iteration: (r.label, r.acc, r.excerpt) for r in got["steps"].collect()}
+    assert told == {
+        0: ("Iteration 0 (initial explanation)", 0.5, "first wor ..."),
+        1: ("Iteration 1 (after 1 reflection step)", 0.5, None),
+        2: ("Iteration 2 (refined explanation)", 0.75, "a a a a a ..."),
+    }
+    assert got["lift"].first().asDict() == {"oneshot": 0.5, "refined": 0.75, "lift": 0.25}
+
+
+def test_ensemble_record(spark):
+    rows = [(i, i % 2, 0.9 if i % 2 else 0.1, 0.5, 0.2) for i in range(20)]
+    preds = spark.createDataFrame(rows, "row_id long, y int, good double, even double, low double")
+    found = studies.ensemble_study(preds, {"good": "good", "even": "even", "low": "low"}, "good", "even")
+    record = {r["name"]: (r.w, r.acc) for r in found["record"].collect()}
+    assert record["good"] == (None, 1.0) and record["even"] == (None, 0.5) and record["low"] == (None, 0.5)
+    assert record["best blend"][1] == 1.0 and found["blend"].count() == 9
+    assert found["overlap"].first().both_wrong == 0.0
