@@ -232,7 +232,7 @@ def cluster(
     with Bucketed(spark, "block", max(spark.sparkContext.defaultParallelism, -(-n // BUCKET))) as tables:
         table = tables.put(packed, "cluster-blocks")
         drift, sums = np.zeros(k), np.zeros((k, width + 1), object)
-        state = tables.put(_started(table, c), "cluster-state", rows=BLOCKS)
+        state = tables.put(_started(table, c), "cluster-state", there=True, rows=BLOCKS)
         for turn in range(rounds + 1):
             if looked is not None:
                 looked.append(state.agg(F.sum("looked")).first()[0])
@@ -244,7 +244,7 @@ def cluster(
             largest = np.sort(way)[::-1]
             others = np.where(np.arange(k) == way.argmax(), largest[min(1, k - 1)], largest[0]) if k > 1 else np.zeros(1)
             drift, c = drift + way + others, new
-            state = tables.put(_again(table.join(state, "block"), c, drift), "cluster-state", rows=BLOCKS)
+            state = tables.put(_again(table.join(state, "block"), c, drift), "cluster-state", there=True, rows=BLOCKS)
         with few_rows(spark, BLOCKS):
             told = stored(_told(table.join(state, "block"), c), "cluster-rows")
     inertia = told.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(20,0)")).alias("s")).collect()

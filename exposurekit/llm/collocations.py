@@ -124,29 +124,59 @@ def merge_join(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndar
     return i, j[i]
 
 
+def _listed(tables: Bucketed, found: DataFrame, label: str) -> DataFrame:
+    """One row per block, with each other column of ``found`` as little-endian 64-bit integers; no longer than the block's text."""
+    columns = [c for c in found.columns if c != "block"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, waiting = None, []
+
+        def told() -> pa.RecordBatch:
+            packed = [pa.array([np.concatenate(x).astype("<i8").tobytes()], pa.binary()) for x in zip(*waiting)]
+            return pa.RecordBatch.from_arrays([pa.array([block]), *packed], names=["block", *columns])
+
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low < high and blocks[low] != block:
+                    if waiting:
+                        yield told()
+                    block, waiting = int(blocks[low]), []
+                if low < high:
+                    waiting.append([batch.column(c).slice(low, high - low).to_numpy() for c in columns])
+        if waiting:
+            yield told()
+
+    ordered = tables.dealt(found.select("block", *[F.col(c).cast("long").alias(c) for c in columns])).sortWithinPartitions("block")
+    return tables.put(ordered.mapInArrow(tidy(run), ", ".join(["block long", *(f"{c} binary" for c in columns)])), label, there=True)
+
+
+def _numbers_of(row: pa.RecordBatch, *columns: str) -> list[np.ndarray]:
+    return [np.frombuffer(row.column(c)[0].as_buffer(), "<i8") for c in columns]
+
+
 def _kept(relation: DataFrame, numbers: DataFrame) -> DataFrame:
-    """The relation of length one, semi-joined with the (code, id) ``of`` of each block's frequent words."""
+    """The relation of length one, semi-joined with the (code, id) of each block's frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, block, places, codes in _blocks(batches, "<i4"):
-            of = row.column("of").flatten()
-            known, ids = (of.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            known, ids = _numbers_of(row, "code", "id")
             told = np.full(codes.max(initial=-1) + 1, -1, np.int64)
             told[known] = ids
             mine = told[codes]
             yield _relation(block, places[mine >= 0], mine[mine >= 0].astype("<i8"))
 
-    return relation.join(numbers, "block").select("block", "places", "ids", "of").mapInArrow(tidy(run), RELATION)
+    return relation.join(numbers, "block").select("block", "places", "ids", "code", "id").mapInArrow(tidy(run), RELATION)
 
 
 def _longer_kept(relation: DataFrame, numbers: DataFrame) -> DataFrame:
-    """The relation one word longer, semi-joined with the (first, last, id) ``of`` of each block's frequent groups."""
+    """The relation one word longer, semi-joined with the (first, last, id) of each block's frequent groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, block, places, ids in _blocks(batches):
             a, b = merge_join(places, places)
-            of = row.column("of").flatten()
-            first, last, number = (of.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+            first, last, number = _numbers_of(row, "first", "last", "id")
             ordered = np.unique(ids)
             size = len(ordered)
             keys = np.searchsorted(ordered, first) * size + np.searchsorted(ordered, last)  # a block's own, without gaps
@@ -156,7 +186,7 @@ def _longer_kept(relation: DataFrame, numbers: DataFrame) -> DataFrame:
             there = keys[order][at] == mine
             yield _relation(block, places[a][there], number[order][at[there]].astype("<i8"))
 
-    return relation.join(numbers, "block").select("block", "places", "ids", "of").mapInArrow(tidy(run), RELATION)
+    return relation.join(numbers, "block").select("block", "places", "ids", "first", "last", "id").mapInArrow(tidy(run), RELATION)
 
 
 def _pair_counts(relation: DataFrame, packed: bool) -> DataFrame:
@@ -264,30 +294,25 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     """
     spark = docs.sparkSession
     with Bucketed(spark, "block", int(spark.conf.get("spark.sql.shuffle.partitions"))) as tables:
-
-        def listed(found: DataFrame, *columns: str) -> DataFrame:
-            """(block, of): a block's list is no longer than its text."""
-            return tables.dealt(found.select("block", *columns)).groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("of"))
-
         read = stored(occurrences(docs, size), "words")
         cells = read.select("block", F.posexplode("groups").alias("code", "g")).select("block", "code", "g.*")
         totals = stored(cells.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
         by = ["lang", "word"]
         words = _numbered(cells.groupBy(*by).agg(F.sum("n").alias("n")), least, by, "phrases-1")
         found = [words.select("id", "n", "lang", F.col("word").alias("phrase"), "word", F.array("n").alias("firsts"), F.array("n").alias("lasts"))]
-        numbers = listed(cells.select("block", "code", *by).join(words.select(*by, "id"), by), "code", "id")
-        with few_rows(spark, BLOCKS):
-            relation = tables.put(_kept(tables.dealt(read.select("block", "places", "ids")), numbers), "phrases_1", rows=BLOCKS)
+        numbers = _listed(tables, cells.select("block", "code", *by).join(words.select(*by, "id"), by).select("block", "code", "id"), "numbers_1")
+        relation = tables.put(_kept(tables.dealt(read.select("block", "places", "ids")), numbers), "phrases_1", there=True, rows=BLOCKS)
         for k in range(2, longest + 1):
             by = ["first", "last"]
             packed = found[-1].count() < PACKED
             with few_rows(spark, BLOCKS):
                 counted = _numbered(_pair_counts(relation, packed), least, by, f"phrases-{k}")
             if k < longest:
+                bits = bitmap(counted)
                 with few_rows(spark, BLOCKS):
-                    asked = stored(_asked(relation, bitmap(counted)), f"phrases-{k}-asked")
-                numbers = listed(asked.join(counted.select(*by, "id"), by), *by, "id")
-                relation = tables.put(_longer_kept(relation, numbers), f"phrases_{k}", rows=BLOCKS)
+                    asked = stored(_asked(relation, bits), f"phrases-{k}-asked")
+                numbers = _listed(tables, asked.join(counted.select(*by, "id"), by).select("block", *by, "id"), f"numbers_{k}")
+                relation = tables.put(_longer_kept(relation, numbers), f"phrases_{k}", there=True, rows=BLOCKS)
             before = found[-1]
             start = before.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("start"), "firsts")
             end = before.select(F.col("id").alias("last"), "word", "lasts")

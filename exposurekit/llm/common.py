@@ -66,12 +66,12 @@ class Bucketed:
         """Rows where a join with the tables wants them."""
         return df.repartition(self.buckets, self.key)
 
-    def put(self, df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
-        """``df`` as such a table. With ``rows``, it is made of such tables and lies as they do; tasks get that many of their rows at a time."""
+    def put(self, df: DataFrame, label: str, there: bool = False, rows: int | None = None) -> DataFrame:
+        """``df`` as such a table; ``there``: its rows lie as the tables' do already. Tasks get ``rows`` rows at a time, if that is given."""
         name = f"llm_{label}_{uuid.uuid4().hex}".replace("-", "_")
-        there = df if rows else self.dealt(df)
+        laid = df if there else self.dealt(df)
         with few_rows(self.spark, rows) if rows else nullcontext():
-            there.write.format("parquet").bucketBy(self.buckets, self.key).option("path", fresh_path(self.spark, f"llm-{label}")).saveAsTable(name)
+            laid.write.format("parquet").bucketBy(self.buckets, self.key).option("path", fresh_path(self.spark, f"llm-{label}")).saveAsTable(name)
         self.names.append(name)
         return self.spark.table(name)
 
