@@ -86,6 +86,23 @@ def test_models_find_the_signal(planted, fit):
     assert scored.filter("hard <> int(prob >= 0.5)").count() == 0
 
 
+def test_boosted_trees_stop_early(planted):
+    """The part of the fit that only tables of ``early_stop_rows`` rows reach."""
+    _, test, encoder, encoded = planted
+    scorer = models.fit_gbt(encoder, encoded, rounds=40, early_stop_rows=100, validation_share=0.2, tol=0.01)
+    assert scorer.model.getValidationTol() == 0.01 and 0 < scorer.model.getNumTrees < 40
+    report = metrics.classification_report(scorer.predict(test), y="clicked").first()
+    assert report["acc"] > 0.75
+
+
+def test_group_ablation_reaches_the_early_stop(planted):
+    train, test, _, _ = planted
+    learner = lambda e, t: models.fit_gbt(e, t, rounds=10, early_stop_rows=100)
+    table = models.group_ablation(train, test, {"with": ["color", "signal"], "without": ["color", "noise"]}, learners={"GBT": learner}).collect()
+    value = {(r["group"], r["metric"]): r["value"] for r in table}
+    assert len(value) == 8 and value[("with", "auc")] > value[("without", "auc")] + 0.2
+
+
 def test_rankings_put_the_signal_first(spark, planted):
     train, test, encoder, encoded = planted
     scorer = models.fit_sparse_tree(encoder, encoded)
