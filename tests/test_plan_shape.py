@@ -86,3 +86,19 @@ def test_stage_folders_are_removed_after_a_run(spark):
         assert set(os.listdir(place)) - before
         fresh_path(spark, "never written")
     assert set(os.listdir(place)) - before == set() and release(spark) == 0
+
+
+@pytest.mark.parametrize("name", ["gift_sessions", "gift_tier", "tier_distribution", "price_summary"])
+def test_a_task_holds_its_share_of_many_lines_only(spark, small, monkeypatch, name):
+    """Sessions are summed where lines meet their orders: no task has more than about ``LINES_PER_TASK`` lines of them."""
+    import __spark_entry__
+    from exposurekit.catalog import views
+
+    query = __spark_entry__.queries()[name]
+    plain = sorted(map(tuple, query(spark, small).collect()))
+    monkeypatch.setattr(views, "FEW_LINES", 1_000, raising=False)
+    monkeypatch.setattr(views, "LINES_PER_TASK", 200, raising=False)
+    sessions = features.gift_sessions(views.Views(spark, small).gift())
+    shares = sessions.groupBy(F.spark_partition_id()).agg(F.sum("gift_count").alias("n"))
+    assert shares.agg(F.max("n")).first()[0] < 2 * 200
+    assert sorted(map(tuple, query(spark, small).collect())) == plain
