@@ -429,7 +429,8 @@ def static_table(v: Views):
        left join v_cat_rate c on r.live_content_category = c.live_content_category""",
 )
 def history_table(v: Views):
-    return plans.history_table(v.log(), v.user(), v.streamer(), v.room(), Views.room_order)
+    # lines meet their orders once, every pass over the log reads the stored result
+    return plans.history_table(cut_lineage(v.log(), "log"), v.user(), v.streamer(), v.room(), Views.room_order)
 
 
 @query(
@@ -700,11 +701,11 @@ REGIME_SQL = f"""h as {HISTORY_ROWS_SQL},
 
 def history_rows(v: Views):
     """The whole label window with its history features."""
-    hist, later = features.time_window_split(v.exposures(), "timestamp")
-    g = features.global_rate(hist).scalar()
-    rooms = features.dedupe_first(v.room(), "live_id", Views.room_order).select(
-        "live_id", F.col("live_content_category").alias("r_content_category")
-    )
+    # lines meet their orders twice, for the log and for the rooms; every pass reads the stored results
+    log = cut_lineage(v.exposures().drop("category"), "log")
+    hist, later = features.time_window_split(log, "timestamp", settled=True)
+    g = F.lit(features.global_rate(hist).first()[0]).cast("double")
+    rooms = cut_lineage(plans.first_rooms(v.room(), Views.room_order).select("live_id", F.col("live_content_category").alias("r_content_category")), "rooms")
     rates = [features.smoothed_rate(hist, f"{p}_id", p, g=g) for p in ("user", "streamer")]
     base = later.select("row_id", "user_id", "streamer_id", "live_id", "clicked")
     rated = features.join_history(base, *rates, g, ["row_id"])

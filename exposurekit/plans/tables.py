@@ -47,10 +47,23 @@ def identified(log: DataFrame, name: str = "row_id") -> DataFrame:
     return number_copies(log).withColumn(name, text_key([*columns, "copy"])).drop("copy")
 
 
-def room_features(room: DataFrame, keys: DataFrame, order_by: Sequence[str], duration: bool = False) -> DataFrame:
-    """Type and category (and length) of the rooms that occur in ``keys``, one row per room."""
+TIMES = ("start_timestamp", "end_timestamp")
+
+
+def first_rooms(room: DataFrame, order_by: Sequence[str], duration: bool = False) -> DataFrame:
+    """The first row of each room; only the columns that are looked at are sorted and shuffled."""
+    used = ["live_id", "live_type", "live_content_category", *(TIMES if duration else ())]
+    narrow = room.filter(F.col("live_id").isNotNull()).select(*dict.fromkeys([*used, *order_by]))
+    return dedupe_first(narrow, "live_id", order_by).select(*used)
+
+
+def room_features(room: DataFrame, keys: DataFrame, order_by: Sequence[str] | None, duration: bool = False) -> DataFrame:
+    """Type and category (and length) of the rooms that occur in ``keys``, one row per room.
+
+    Without ``order_by`` the table has one row per room already.
+    """
     wanted = restrict_to_keys(room.filter(F.col("live_id").isNotNull()), keys, "live_id")
-    first = dedupe_first(wanted, "live_id", order_by)
+    first = wanted if order_by is None else first_rooms(wanted, order_by, duration)
     if duration:
         first = duration_minutes(first, "start_timestamp", "end_timestamp")
     return first.select(
@@ -111,14 +124,13 @@ def history_table(
         for p in ("user", "streamer")
     ]
     with_rates = join_history(sample, *rates, g, ["row_id"], rows=rows)
+    # the first rows of all rooms are found once, for the category rates and for the sample
+    every_room = cut_lineage(first_rooms(room, room_order), "every-room")
     # at most one room per sampled row
-    rooms = cut_lineage(room_features(room, sample, room_order), "rooms")
+    rooms = cut_lineage(room_features(every_room, sample, None), "rooms")
     joined = join_dims(with_rates, *sampled_dims(keys, user, streamer), rooms, ["row_id"], hot_from=sample, rows=rows)
     categories = sample.select("live_id").join(rooms, "live_id", "left").select("r_content_category")
-    every_room = dedupe_first(room.filter(F.col("live_id").isNotNull()), "live_id", room_order).select(
-        "live_id", F.col("live_content_category").alias("r_content_category")
-    )
-    by_category = category_rate_by_room(hist, every_room, "r_content_category")
+    by_category = category_rate_by_room(hist, every_room.withColumnRenamed("live_content_category", "r_content_category"), "r_content_category")
     rated = join_category_rate(joined, by_category, "r_content_category", g, ["row_id"], hot_from=categories, rows=rows)
     timed = context_time(rated, "timestamp", settings.time_zone)
     return order_columns(timed, ["row_id", *KEYS], ["clicked", *HISTORY_FEATURES], ["u_", "s_"], CONTEXT_FEATURES)

@@ -102,3 +102,29 @@ def test_a_task_holds_its_share_of_many_lines_only(spark, small, monkeypatch, na
     shares = sessions.groupBy(F.spark_partition_id()).agg(F.sum("gift_count").alias("n"))
     assert shares.agg(F.max("n")).first()[0] < 2 * 200
     assert sorted(map(tuple, query(spark, small).collect())) == plain
+
+
+def test_examples_are_found_without_sorting_rows(log):
+    rows = log.select("row_id", "clicked", "user_id")
+    shape = plan(sampling.regime_examples(rows, {"a": F.col("clicked") == 1, "b": F.col("user_id") > 40, "none": F.col("user_id") < 0}, "row_id"))
+    assert "Sort [" not in shape and "hashpartitioning" not in shape and "Generate" in shape
+
+
+@pytest.mark.parametrize("name", ["history_table", "regime_examples"])
+def test_lines_meet_their_orders_for_the_log_and_the_rooms_only(spark, small, monkeypatch, name):
+    """Every later pass reads what was stored of them: jobs that scan lineitem are the two that store."""
+    import __spark_entry__
+    from exposurekit import session
+
+    scans = []
+
+    def watched(df, label):
+        shape = df._jdf.queryExecution().optimizedPlan().toString()
+        scans.extend([label] * ("l_orderkey" in shape))
+        return session.cut_lineage(df, label)
+
+    for module in ("exposurekit.catalog.build", "exposurekit.plans.tables", "exposurekit.operators.sampling"):
+        monkeypatch.setattr(f"{module}.cut_lineage", watched, raising=False)
+    got = __spark_entry__.queries()[name](spark, small)
+    assert got.count() > 0
+    assert len(scans) == 2 and "l_orderkey" not in got._jdf.queryExecution().optimizedPlan().toString()
