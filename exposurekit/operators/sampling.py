@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordinal import cut_points, exact_quantiles, seeded_key, text_key, with_ordinal
 from .profile import unpivot_text
 from .skew import repeat_rows
@@ -170,26 +171,23 @@ def regime_examples(
 ) -> DataFrame:
     """The first row (seeded order) that meets each regime; regimes without a row stay, with nulls.
 
-    ``regimes`` maps a title to a condition over ``df``. A row may serve several.
+    ``regimes`` maps a title to a condition over ``df``. A row may serve several. One pass
+    keeps the best row of each regime; no row is sorted, and one row a task is shuffled.
     """
-    spark = df.sparkSession
-    hits = F.array_compact(F.array(*[F.when(cond, F.lit(title)) for title, cond in regimes.items()]))
     key = F.struct(seeded_key(F.col(row_id), seed), F.col(row_id))
-    columns = df.columns
-    found = (
-        df.select(*columns, F.explode(hits).alias("case"))
-        .groupBy("case")
-        .agg(F.min_by(F.struct(*columns), key).alias("row"))
-    )
-    titles = spark.createDataFrame([(t,) for t in regimes], "case string")
-    return titles.join(found, "case", "left").select("case", "row.*")
+    row = F.struct(*df.columns)
+    found = df.agg(*[F.min_by(row, F.when(cond, key)).alias(f"_{i}") for i, cond in enumerate(regimes.values())])
+    cases = [F.struct(F.lit(title).alias("case"), F.col(f"_{i}").alias("row")) for i, title in enumerate(regimes)]
+    return found.select(F.explode(F.array(*cases)).alias("c")).select("c.case", "c.row.*")
 
 
 def click_regimes(df: DataFrame, titles: Sequence[str], label: str = "clicked") -> dict[str, Column]:
     """The five standing regimes: quartiles of user and streamer rates, of activity, and of category rate."""
 
     long = df.unpivot([], ["user_ctr", "streamer_ctr", "user_n", "cat_ctr"], "column", "value")
-    found = exact_quantiles(long, "value", {"lo": 0.25, "hi": 0.75, "top": 0.80}, by=["column"])
+    # rates and counts repeat: equal values are counted in one pass, and the quantiles' passes read the counts
+    counted = cut_lineage(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "counted")
+    found = exact_quantiles(counted, "value", {"lo": 0.25, "hi": 0.75, "top": 0.80}, by=["column"], weight="n")
 
     def at(column: str, share: str) -> Column:
         return F.max(F.when(F.col("column") == column, F.col(share)))
