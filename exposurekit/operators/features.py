@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import fill_defaults, tier
 from ..functions.wording import GIFT_TIERS
-from .skew import lookup_join
+from .skew import ROWS_PER_TASK, any_hot, lookup_join
 
 
 # --- projections ----------------------------------------------------------------------
@@ -126,10 +126,15 @@ def join_dims(
     ``spread`` identifies a row of ``sample``; ``hot_from`` is a cheaper frame with the
     same keys, where ``sample`` itself carries earlier joins.
     """
-    out, keys = sample, sample if hot_from is None else hot_from
-    for dim, key in ((user, "user_id"), (streamer, "streamer_id"), (room, "live_id")):
-        out = lookup_join(out, dim, [key], spread, hot_from=keys.select(key), rows=rows)
-    return out
+    keys = sample if hot_from is None else hot_from
+    dims = {"live_id": room, "user_id": user, "streamer_id": streamer}
+    hot = any_hot(keys.select(*dims), list(dims)) if rows is None or rows > ROWS_PER_TASK else dict.fromkeys(dims, False)
+    out = sample
+    # rooms first: a log that is dealt out by room already meets them where it is
+    for key, dim in dims.items():
+        out = lookup_join(out, dim, [key], spread, hot_from=keys.select(key)) if hot[key] else out.join(dim, key, "left")
+    added = [c for key in ("user_id", "streamer_id", "live_id") for c in dims[key].columns if c != key]
+    return out.select(*sample.columns, *added)
 
 
 def join_history(

@@ -26,6 +26,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_T
     return counts.filter(hot).select(*keys, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_tasks"))
 
 
+def any_hot(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK, share: float = HOT_SHARE) -> dict[str, bool]:
+    """Whether each of the single ``keys`` columns has a hot value: one pass over ``df`` for all of them."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.xxhash64(c).alias("h")) for i, c in enumerate(keys)])
+    counts = df.select(F.explode(pairs).alias("p")).groupBy("p.k", "p.h").agg(F.count(F.lit(1)).alias("n"))
+    # values of one hash count together, so none that is hot is missed
+    found = {r["k"]: (r["most"], r["n"]) for r in counts.groupBy("k").agg(F.max("n").alias("most"), F.sum("n").alias("n")).collect()}
+    most = {c: found.get(i, (0, 0)) for i, c in enumerate(keys)}
+    return {c: top > rows_per_task and top > n * share for c, (top, n) in most.items()}
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,

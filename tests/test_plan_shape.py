@@ -128,3 +128,12 @@ def test_lines_meet_their_orders_for_the_log_and_the_rooms_only(spark, small, mo
     got = __spark_entry__.queries()[name](spark, small)
     assert got.count() > 0
     assert len(scans) == 2 and "l_orderkey" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_that_are_not_hot_join_without_sub_keys(spark, log, no_broadcast):
+    sample = log.select("row_id", "user_id", F.col("user_id").alias("streamer_id"), F.col("row_id").alias("live_id"))
+    dims = [log.select(F.col("row_id").alias(k), F.col("text").alias(f"t_{k}")) for k in ("user_id", "streamer_id", "live_id")]
+    joined = features.join_dims(sample, *dims, ["row_id"])
+    assert "_sub" not in plan(joined)
+    assert joined.columns == ["row_id", "user_id", "streamer_id", "live_id", "t_user_id", "t_streamer_id", "t_live_id"]
+    assert joined.filter("t_user_id = concat('t', user_id) and t_live_id = concat('t', row_id)").count() == 4000
