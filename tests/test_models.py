@@ -103,6 +103,38 @@ def test_group_ablation_reaches_the_early_stop(planted):
     assert len(value) == 8 and value[("with", "auc")] > value[("without", "auc")] + 0.2
 
 
+@pytest.mark.parametrize("parallelism", [None, 2])
+def test_group_ablation_without_pinned_threads(planted, monkeypatch, parallelism):
+    """PYSPARK_PIN_THREAD=false, where PySpark's gateway is of another class and its thread wrapper gives the session back."""
+    train, test, _, _ = planted
+    monkeypatch.setattr("py4j.clientserver.ClientServer", type("Pinned", (), {}))
+    more = {} if parallelism is None else {"parallelism": parallelism}
+    groups = {"with": ["color", "signal"], "without": ["color", "noise"]}
+    table = models.group_ablation(train, test, groups, learners={"Tree": models.fit_sparse_tree}, **more).collect()
+    value = {(r["group"], r["metric"]): r["value"] for r in table}
+    assert len(value) == 8 and value[("with", "auc")] > value[("without", "auc")] + 0.2
+
+
+def test_group_ablation_holds_one_fit_at_a_time(planted):
+    """Neither the fits nor the scoring of one overlap with another's, and no plan of them is left in the result."""
+    train, test, _, _ = planted
+    running, most = [], []
+
+    def learner(encoder, encoded):
+        running.append(1)
+        most.append(len(running))
+        try:
+            return models.fit_logreg(encoder, encoded)
+        finally:
+            running.pop()
+
+    groups = {"with": ["color", "signal"], "without": ["color", "noise"]}
+    table = models.group_ablation(train, test, groups, learners={"A": learner, "B": learner})
+    assert most == [1, 1, 1, 1] and table.count() == 16
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
 def test_rankings_put_the_signal_first(spark, planted):
     train, test, encoder, encoded = planted
     scorer = models.fit_sparse_tree(encoder, encoded)
