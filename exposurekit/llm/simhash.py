@@ -11,6 +11,9 @@ bit: two fingerprints have such a point in common exactly if they differ in at m
 bits, so each point's smallest member stands for the others. For more than two bits,
 every member's links are looked for under ``max_bits + 1`` whole segments instead.
 
+Joins of these rows sort and merge at any size: Spark takes a table of signatures for
+as small as that of the fingerprints, of which each gives 64, and would broadcast it.
+
 Null texts and texts without words have fingerprint 0, which links like any other.
 Repeated rows share a fingerprint. Missing ids count as no id: ``component_id`` is the
 smallest id that is there.
@@ -30,6 +33,7 @@ from .components import components
 
 BUCKET = 32
 SEED = 42
+MERGE = "merge"  # of joins whose tables Spark sizes too low
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -114,10 +118,11 @@ def links(prints: DataFrame, max_bits: int = 2, bucket: int = BUCKET) -> DataFra
     # small rows that become 64 each, not to be put together before; by a hash of its own, or Spark takes the shuffle for spare
     keyed = variants(prints.repartition(tasks, F.xxhash64(F.lit("spread"), "fp")), parts)
     sizes = _bucket_sizes(keyed, ["hole", "rest"])
-    shared = stored(keyed.join(sizes, ["hole", "rest"]), "simhash-buckets")
+    shared = stored(keyed.hint(MERGE).join(sizes, ["hole", "rest"]), "simhash-buckets")
     few = shared.filter(F.col("n") <= bucket).drop("n")
     pairs = (
         few.withColumnRenamed("fp", "a")
+        .hint(MERGE)
         .join(few.withColumnRenamed("fp", "b"), ["hole", "rest"])
         .filter((F.col("a") < F.col("b")) & (_apart("a", "b") <= max_bits))
         .select("a", "b")
@@ -139,10 +144,10 @@ def _stars(crowd: DataFrame, max_bits: int) -> DataFrame:
     flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(_bit(i)))
     if max_bits == 1:
         near = crowd.select(F.col("fp").alias("a"), F.explode(flips).alias("fp"))
-        return near.join(crowd, "fp").select("a", F.col("fp").alias("b")).filter("a < b")
+        return near.hint(MERGE).join(crowd, "fp").select("a", F.col("fp").alias("b")).filter("a < b")
     points = crowd.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return points.join(least, "point").select(F.col("fp").alias("a"), "b").filter("a <> b").distinct()
+    return points.hint(MERGE).join(least, "point").select(F.col("fp").alias("a"), "b").filter("a <> b").distinct()
 
 
 def _whole_segments(crowd: DataFrame, max_bits: int) -> DataFrame:
@@ -153,6 +158,7 @@ def _whole_segments(crowd: DataFrame, max_bits: int) -> DataFrame:
     keyed = crowd.select("fp", F.explode(F.array(*keys)).alias("k"))
     return (
         keyed.withColumnRenamed("fp", "a")
+        .hint(MERGE)
         .join(keyed.withColumnRenamed("fp", "b"), "k")
         .filter((F.col("a") < F.col("b")) & (_apart("a", "b") <= max_bits))
         .select("a", "b")

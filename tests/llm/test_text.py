@@ -368,6 +368,20 @@ def test_links_connect_what_is_near(spark, bits, bucket):
     assert all(found.get(x, x) == groups.find(x) for x in signed.values())
 
 
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_signatures_are_never_broadcast(spark, monkeypatch, bits):
+    shapes, before = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    shape = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simhash, "stored", lambda df, label: shapes.append(shape(df)) or common.stored(df, label))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        prints = spark.createDataFrame([(1 << i,) for i in range(40)], "fp long")
+        shapes.append(shape(simhash.links(prints, bits, 2)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(shapes) == 2 and all("SortMergeJoin" in s and "BroadcastExchange" not in s for s in shapes)
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(500, 400), (400, 500), (7, 7)]
     got = {r.id: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
