@@ -13,6 +13,10 @@ shuffled are group counts and the numbers sent back. Which groups a block asks n
 for is told by a bitmap of the frequent ones (2^``BITMAP`` bits, whatever there are);
 a group that it lets through by chance has no number.
 
+Blocks are stored one by one, and buckets hold few of them, so what a task has in memory
+does not grow with the corpus. Tables of groups are joined by sorting at any size: Spark
+sees the size of their packed files and would broadcast them.
+
 A frequent group keeps the counts of all its first and last parts, from which every
 cut's score comes; products are decimals of 38 digits, so counts up to 10^14 are exact.
 
@@ -31,14 +35,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Bucketed, binary_array, byte_view, few_rows, slices, stored, tidy, word_spans
+from .common import LOWER, MERGE, Bucketed, binary_array, byte_view, even_slices, few_rows, stored, tidy, word_spans
 
 LONGEST = 3
 LEAST = 10
 INSIDE = 50  # percent of a phrase's occurrences inside one longer phrase from which on it is dropped
 TOP = 2000
 BLOCK_BYTES = 4 << 20
-BLOCKS = 1  # a task looks at at once
+BLOCKS = 1  # a task looks at at once, and Parquet writes and reads
+ROWS = 250  # texts a task gets at once
+BUCKET = 4  # blocks a bucket holds on average
 PAIRS = 1 << 21  # occurrences a task counts before it hands them on
 BITMAP = 26
 PACKED = 1 << 31  # two smaller numbers are one key
@@ -86,32 +92,31 @@ def occurrences(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for rows in slices(batch, "text", size):
-                data, offsets = byte_view(rows.column("text"))
-                data = LOWER[data]
-                starts, ends, first = word_spans(data, offsets, SEPARATORS)
-                if not len(starts):
-                    continue
-                words = binary_array(data[~SEPARATORS[data]], np.concatenate([[0], np.cumsum(ends - starts)])).dictionary_encode()
-                langs = rows.column("lang").dictionary_encode()
-                owner = np.repeat(np.arange(rows.num_rows), np.diff(first))
-                lang = langs.indices.to_numpy()[owner].astype(np.int64)
-                piece = np.cumsum(BREAKS[data], dtype=np.int32)[starts]
-                fresh = (np.diff(owner, prepend=owner[0]) > 0) | (np.diff(piece, prepend=piece[0]) > 0)
-                distinct = len(words.dictionary)
-                cells, codes, n = _grouped(lang * distinct + words.indices.to_numpy())
-                groups = pa.StructArray.from_arrays(
-                    [
-                        langs.dictionary.take(pa.array(cells // distinct)),
-                        words.dictionary.take(pa.array(cells % distinct)).cast(pa.binary()).cast(pa.string()),
-                        pa.array(n),
-                    ],
-                    names=["lang", "word", "n"],
-                )
-                lists = pa.ListArray.from_arrays(pa.array([0, len(groups)], pa.int32()), groups)
-                yield _relation(block, np.arange(len(starts)) + np.cumsum(fresh), codes.astype("<i4"), {"groups": lists})
-                block += 1
+        for rows in even_slices(batches, "text", size):
+            data, offsets = byte_view(rows.column("text"))
+            data = LOWER[data]
+            starts, ends, first = word_spans(data, offsets, SEPARATORS)
+            if not len(starts):
+                continue
+            words = binary_array(data[~SEPARATORS[data]], np.concatenate([[0], np.cumsum(ends - starts)])).dictionary_encode()
+            langs = rows.column("lang").dictionary_encode()
+            owner = np.repeat(np.arange(rows.num_rows), np.diff(first))
+            lang = langs.indices.to_numpy()[owner].astype(np.int64)
+            piece = np.cumsum(BREAKS[data], dtype=np.int32)[starts]
+            fresh = (np.diff(owner, prepend=owner[0]) > 0) | (np.diff(piece, prepend=piece[0]) > 0)
+            distinct = len(words.dictionary)
+            cells, codes, n = _grouped(lang * distinct + words.indices.to_numpy())
+            groups = pa.StructArray.from_arrays(
+                [
+                    langs.dictionary.take(pa.array(cells // distinct)),
+                    words.dictionary.take(pa.array(cells % distinct)).cast(pa.binary()).cast(pa.string()),
+                    pa.array(n),
+                ],
+                names=["lang", "word", "n"],
+            )
+            lists = pa.ListArray.from_arrays(pa.array([0, len(groups)], pa.int32()), groups)
+            yield _relation(block, np.arange(len(starts)) + np.cumsum(fresh), codes.astype("<i4"), {"groups": lists})
+            block += 1
 
     told = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text")
     return told.mapInArrow(tidy(run), f"{RELATION}, groups array<struct<lang:string,word:string,n:long>>")
@@ -149,7 +154,8 @@ def _listed(tables: Bucketed, found: DataFrame, label: str) -> DataFrame:
             yield told()
 
     ordered = tables.dealt(found.select("block", *[F.col(c).cast("long").alias(c) for c in columns])).sortWithinPartitions("block")
-    return tables.put(ordered.mapInArrow(tidy(run), ", ".join(["block long", *(f"{c} binary" for c in columns)])), label, there=True)
+    listed = ordered.mapInArrow(tidy(run), ", ".join(["block long", *(f"{c} binary" for c in columns)]))
+    return tables.put(listed, label, there=True, stored_rows=BLOCKS)
 
 
 def _numbers_of(row: pa.RecordBatch, *columns: str) -> list[np.ndarray]:
@@ -196,19 +202,23 @@ def _pair_counts(relation: DataFrame, packed: bool) -> DataFrame:
         waiting, size = [], 0
 
         def counted() -> pa.RecordBatch:
-            first, last = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
+            found = np.concatenate(waiting, axis=-1)
+            waiting.clear()
             if packed:
-                keys, n = np.unique(first << 32 | last, return_counts=True)
-                return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
+                found.sort()
+                starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+                n = np.diff(starts, append=len(found))
+                return pa.RecordBatch.from_arrays([pa.array(found[starts]), pa.array(n)], names=["pair", "n"])
+            first, last = found
             return pa.RecordBatch.from_arrays([pa.array(first), pa.array(last), pa.array(np.ones(len(first), np.int64))], names=["first", "last", "n"])
 
         for _, _, places, ids in _blocks(batches):
             a, b = merge_join(places, places)
-            waiting.append((ids[a], ids[b]))
+            waiting.append(ids[a] << 32 | ids[b] if packed else np.stack([ids[a], ids[b]]))
             size += len(a)
             if size > PAIRS:
                 yield counted()
-                waiting, size = [], 0
+                size = 0
         if size:
             yield counted()
 
@@ -293,15 +303,16 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     and ``lasts`` the counts of its first and last 1, 2, ... words.
     """
     spark = docs.sparkSession
-    with Bucketed(spark, "block", int(spark.conf.get("spark.sql.shuffle.partitions"))) as tables:
-        read = stored(occurrences(docs, size), "words")
+    with few_rows(spark, ROWS):
+        read = stored(occurrences(docs, size), "words", BLOCKS)
+    with Bucketed(spark, "block", max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read.count() // BUCKET))) as tables:
         cells = read.select("block", F.posexplode("groups").alias("code", "g")).select("block", "code", "g.*")
         totals = stored(cells.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
         by = ["lang", "word"]
         words = _numbered(cells.groupBy(*by).agg(F.sum("n").alias("n")), least, by, "phrases-1")
         found = [words.select("id", "n", "lang", F.col("word").alias("phrase"), "word", F.array("n").alias("firsts"), F.array("n").alias("lasts"))]
-        numbers = _listed(tables, cells.select("block", "code", *by).join(words.select(*by, "id"), by).select("block", "code", "id"), "numbers_1")
-        relation = tables.put(_kept(tables.dealt(read.select("block", "places", "ids")), numbers), "phrases_1", there=True, rows=BLOCKS)
+        numbers = _listed(tables, cells.select("block", "code", *by).hint(MERGE).join(words.select(*by, "id"), by).select("block", "code", "id"), "numbers_1")
+        relation = tables.put(_kept(tables.dealt(read.select("block", "places", "ids")), numbers), "phrases_1", there=True, rows=BLOCKS, stored_rows=BLOCKS)
         for k in range(2, longest + 1):
             by = ["first", "last"]
             packed = found[-1].count() < PACKED
@@ -311,12 +322,12 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
                 bits = bitmap(counted)
                 with few_rows(spark, BLOCKS):
                     asked = stored(_asked(relation, bits), f"phrases-{k}-asked")
-                numbers = _listed(tables, asked.join(counted.select(*by, "id"), by).select("block", *by, "id"), f"numbers_{k}")
-                relation = tables.put(_longer_kept(relation, numbers), f"phrases_{k}", there=True, rows=BLOCKS)
+                numbers = _listed(tables, asked.hint(MERGE).join(counted.select(*by, "id"), by).select("block", *by, "id"), f"numbers_{k}")
+                relation = tables.put(_longer_kept(relation, numbers), f"phrases_{k}", there=True, rows=BLOCKS, stored_rows=BLOCKS)
             before = found[-1]
             start = before.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("start"), "firsts")
             end = before.select(F.col("id").alias("last"), "word", "lasts")
-            longer = counted.join(start, "first").join(end, "last")
+            longer = counted.join(start.hint(MERGE), "first").join(end.hint(MERGE), "last")
             found.append(
                 stored(
                     longer.select(

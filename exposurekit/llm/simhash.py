@@ -28,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, byte_view, map_slices, stored, word_spans
+from .common import LOWER, MERGE, SPACES, byte_view, map_slices, stored, word_spans
 from .components import components
 
 BUCKET = 32
 SEED = 42
-MERGE = "merge"  # of joins whose tables Spark sizes too low
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:

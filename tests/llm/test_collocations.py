@@ -3,10 +3,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import oracle
-from exposurekit.llm import collocations
+from exposurekit.llm import collocations, common
 from exposurekit.llm.queries import ORACLES, QUERIES
 
 from . import brute
@@ -67,6 +69,38 @@ def test_phrases_equal_plain_ones(spark, monkeypatch, size, longest, least, insi
     assert got == want and len({r[0] for r in got}) > 2
 
 
+def test_blocks_are_stored_one_by_one_in_buckets_of_few(spark, monkeypatch):
+    stored, put, groups, shapes = collocations.stored, common.Bucketed.put, {}, {}
+
+    def noted(df, label):
+        files = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in df.inputFiles()]
+        groups[label] = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+        return df
+
+    def putting(self, df, label, *more, **options):
+        shapes[label] = df._jdf.queryExecution().executedPlan().toString()
+        assert self.buckets * collocations.BUCKET >= len(groups["words"]) > 8 * collocations.BUCKET
+        return noted(put(self, df, label, *more, **options), label)
+
+    monkeypatch.setattr(collocations, "stored", lambda df, label, *rows: noted(stored(df, label, *rows), label))
+    monkeypatch.setattr(common.Bucketed, "put", putting)
+    rows = corpus(5)
+    got = collocations.collocations(frame(spark, rows, parts=1), 3, 10, 50, 2000, 100).collect()
+    assert sorted(map(tuple, got)) == plain(rows, 3, 10, 50, 2000)
+    for label in ("words", "numbers_1", "phrases_1", "numbers_2", "phrases_2"):
+        assert set(groups[label]) == {1}, label
+    assert all("SortMergeJoin" in shapes[f"numbers_{k}"] for k in (1, 2))  # tables of groups are not broadcast
+
+
+def test_slices_go_on_over_batches():
+    texts = ["a" * n for n in (3, 4, 50, 1, 0, 90, 2, 2, 2, *[7] * 40, 1)] + [None]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i : i + 2], pa.string())}) for i in range(0, len(texts), 2)]
+    parts = [p.column("text").to_pylist() for p in common.even_slices(iter([*batches, batches[0].slice(0, 0)]), "text", 40)]
+    assert [t for p in parts for t in p] == texts
+    sizes = [sum(len(t or "") for t in p) for p in parts]
+    assert all(n < 40 + max(len(t or "") for t in p) for n, p in zip(sizes, parts)) and min(sizes[-6:-1]) > 20
+
+
 def test_pieces_end_phrases(spark):
     rows = [("one two", "a")] * 12 + [("one. two", "a"), ("one\ttwo\xa0x two", "a"), ("ONE\x0btwo", "a")] * 10
     got = {r.phrase: r.a for r in collocations.collocations(frame(spark, rows)).collect()}
