@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from exposurekit.llm import vectors
+from exposurekit.llm import simhash, vectors
 from exposurekit.llm.queries import QUERIES
 
 from . import brute
@@ -182,6 +182,21 @@ def test_stages_of_odd_rows(spark, tmp_path):
             assert stage(spark, frame, str(tmp_path)).count() == 5
 
 
+def test_near_duplicates_stage_broadcasts_no_signatures(spark, tmp_path, monkeypatch):
+    """Fingerprints are small when they are read, and 64 times that when they are joined."""
+    shapes, stored = {}, simhash.stored
+
+    def noted(df, label):
+        shapes[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, label)
+
+    monkeypatch.setattr(simhash, "stored", noted)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10MB", "10485760b")
+    docs = corpus(spark)
+    assert dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, str(tmp_path)).count() < docs.count()
+    assert "SortMergeJoin" in shapes["simhash-buckets"] and "BroadcastExchange" not in shapes["simhash-buckets"]
+
+
 def test_stages_are_registered(spark, small):
     import __spark_entry__
 
