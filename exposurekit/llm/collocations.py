@@ -13,9 +13,9 @@ shuffled are group counts and the numbers sent back. Which groups a block asks n
 for is told by a bitmap of the frequent ones (2^``BITMAP`` bits, whatever there are);
 a group that it lets through by chance has no number.
 
-Blocks are stored one by one, and buckets hold few of them, so what a task has in memory
-does not grow with the corpus. Tables of groups are joined by sorting at any size: Spark
-sees the size of their packed files and would broadcast them.
+Blocks are stored one by one, and buckets hold few of them, so the blocks that a task has
+in memory do not grow in number with the corpus. Tables of groups are joined by sorting at
+any size: Spark sees the size of their packed files and would broadcast them.
 
 A frequent group keeps the counts of all its first and last parts, from which every
 cut's score comes; products are decimals of 38 digits, so counts up to 10^14 are exact.
